@@ -37,10 +37,10 @@ BAND = """CASE WHEN n=0 THEN 0.0
 
 
 @query("byt01_byte_histogram", f"""WITH {HIST}
-SELECT doc_id, bv AS byte_hex, c AS n, round(c::DOUBLE/n,6) AS share FROM hist""")
+SELECT doc_id, bv AS byte_hex, c AS n, round(c::DOUBLE/n,4) AS share FROM hist""")
 def byte_histogram(spark, sf):
     return bs.byte_histogram(objects(spark, sf), ["doc_id"]).select(
-        "doc_id", F.lpad(F.hex("byte_value"), 2, "0").alias("byte_hex"), "n", r6("share").alias("share"))
+        "doc_id", F.lpad(F.hex("byte_value"), 2, "0").alias("byte_hex"), "n", r4("share").alias("share"))
 
 
 @query("byt02_shannon_entropy", f"WITH {ENT} SELECT doc_id, round(e,4) AS entropy FROM ent")

@@ -23,6 +23,7 @@ def build_session(master: str, app: str = "blocklens", shuffle_partitions: int =
     """A local session for tests and benchmarks; a cluster job brings its own."""
     builder = (SparkSession.builder.master(master).appName(app)
                .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))
     for key, value in {**DEFAULTS, **(extra or {})}.items():
         builder = builder.config(key, value)
