@@ -211,11 +211,14 @@ def _outcome(column: int) -> str:
 
 
 _FMT = "CASE page_id % 7 " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(ct.FORMATS)) + " END"
-RECOVERED = f"""rec AS (SELECT page_id AS image_id, {_FMT} AS file_type, page_id // 7 % 3 AS variant, CASE WHEN page_id // 7 % 3 = 0 THEN {_outcome(0)} ELSE {_outcome(1)} END AS bytes
- FROM (SELECT page_id, strlen(html) AS n FROM pages))"""
+# cut short, the last-marker formats verify to the end of the medium; the compound file is completed by its zero tail
+_LONG = f"CASE WHEN page_id % 7 IN (2, 3, 4) THEN (((({_outcome(1)}) + 511) // 512) + 2) * 512 WHEN page_id % 7 = 6 THEN {ct.OLE_SQL} ELSE {_outcome(1)} END"
+_LONG = _LONG.replace(ct.PAGES_SQL, "page_bytes")
+RECOVERED = f"""rec AS (SELECT page_id AS image_id, {_FMT} AS file_type, page_id // 7 % 3 AS variant, CASE WHEN page_id // 7 % 3 = 0 THEN {_outcome(0)} ELSE {_LONG} END AS bytes
+ FROM (SELECT page_id, strlen(html) AS n, {ct.PAGES_SQL.replace("n+108","strlen(html)+108")} AS page_bytes FROM pages))"""
 
 
-@query("crv12_recover_image", f"""WITH {RECOVERED} SELECT image_id, CAST(2 AS INT) AS tier, 3 AS start_lba, file_type, bytes AS recovered_bytes, variant = 1 AS partial
+@query("crv12_recover_image", f"""WITH {RECOVERED} SELECT image_id, CAST(2 AS INT) AS tier, 3 AS start_lba, file_type, bytes AS recovered_bytes, variant = 1 AND file_type <> 'ole2' AS partial
 FROM rec WHERE variant < 2""")
 def recover(spark, sf):
     m = cut_lineage(ct.media_of(ct.mixed(spark, sf)))

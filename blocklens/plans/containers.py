@@ -63,12 +63,14 @@ def pdf(body: Column, variant: Column) -> Column:
 
 def archive(body: Column, variant: Column) -> Column:
     n = le(F.octet_length(body), 4)
-    local = F.concat(hx("504B0304140000000000000000" + "00000000" + "00"), n, n, hx("08000000"), F.lit(b"page.htm"), body)
+    head = F.concat(hx("504B0304140000000000000000" + "00000000" + "00"), n, n, hx("08000000"), F.lit(b"page.htm"))
+    local = F.concat(head, body)
     central = F.concat(hx("504B01021400140000000000000000" + "000000" + "0000"), n, n, hx("0800" + "00" * 16), F.lit(b"page.htm"))
     size, at = le(F.octet_length(central), 4), le(F.octet_length(local), 4)
     end = lambda where: F.concat(hx("504B05060000000001000100"), size, where, hx("0000"))
     both = F.concat(local, central)
-    return pick(variant, F.concat(both, end(at)), both, F.concat(both, end(hx("FFFFFF0F"))))
+    # the wrong one has its end record in the first block, pointing past itself
+    return pick(variant, F.concat(both, end(at)), both, F.concat(head, end(hx("FFFFFF0F")), body))
 
 
 def sqlite(body: Column, variant: Column) -> Column:
