@@ -103,6 +103,7 @@ def fold_slices(df: DataFrame, keys: Sequence[str], cut: Column, fold, fold_sche
     so the result equals the sequential fold; states usually forget their past, and two
     rounds suffice.
     """
+    import numpy as np
     import pandas as pd
 
     keys = list(keys)
@@ -127,8 +128,23 @@ def fold_slices(df: DataFrame, keys: Sequence[str], cut: Column, fold, fold_sche
             body[c] = None if out_state is None else out_state[s]
         return body
 
+    def walk(batches):
+        """Groups arrive whole and in order inside a sorted partition; many share one batch."""
+        open_rows = None
+        for pdf in batches:
+            if open_rows is not None:
+                pdf = pd.concat([open_rows, pdf], ignore_index=True)
+            marks = pdf[[*keys, SLICE]]
+            starts = np.flatnonzero((marks != marks.shift()).any(axis=1).to_numpy())
+            done_groups = [run(pdf.iloc[a:z]) for a, z in zip(starts[:-1], starts[1:])]
+            open_rows = pdf.iloc[starts[-1]:]
+            if done_groups:
+                yield pd.concat(done_groups, ignore_index=True)
+        if open_rows is not None and len(open_rows):
+            yield run(open_rows)
+
     def apply(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*keys, SLICE).applyInPandas(run, schema)
+        return rows.repartition(*keys, SLICE).sortWithinPartitions(*keys, SLICE).mapInPandas(walk, schema)
 
     nulls = [F.lit(None).cast(state_type).alias(c) for c in ins]
     done = cut_lineage(apply(sliced.select("*", *nulls)))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["bytes_queries", "range_queries", "rule_queries", "carve_queries", "fs_queries", "raid_queries"]
+MODULES = ["bytes_queries", "range_queries", "rule_queries", "carve_queries", "fs_queries", "raid_queries", "ledger_queries"]
 
 
 def load_all():

@@ -35,7 +35,7 @@ def members(spark, sf):
 
 
 LOGICAL = f"""g AS (SELECT DISTINCT vec_id // {PER_ARRAY} AS array_id FROM embeddings),
- lg AS (SELECT g.array_id, r.i AS array_lba, coalesce((SELECT array_to_string(list_transform(embedding, x -> printf('%02X', CAST(floor((x::DOUBLE + 1) * 100) AS INT))), '') FROM embeddings e
+ lg AS (SELECT g.array_id, r.i AS array_lba, coalesce((SELECT array_to_string([printf('%02X', CAST(floor((x::DOUBLE + 1) * 100) AS INT)) FOR x IN embedding], '') FROM embeddings e
   WHERE e.vec_id = g.array_id * {PER_ARRAY} + r.i), repeat('00', 64)) AS payload_hex, [0, 5, 6][g.array_id % 3 + 1] AS level FROM g, range({PER_ARRAY}) r(i))"""
 
 
