@@ -199,26 +199,17 @@ def greedy_select(sized: DataFrame, keys: Sequence[str], cut_width: int = FOLD_S
     """
     rest = [c for c in sized.columns if c not in (*keys, "lba")]
     first = sized.groupBy(*keys, "lba").agg(F.min_by(F.struct(*rest), "sig_order").alias("_w")).select(*keys, "lba", "_w.*")
-    small = first.select(*keys, "lba", "is_ok", "blocks")
-    typed = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in small.schema.fields)
-
-    def fold(pdf: pd.DataFrame, state):
-        until = -1 if state is None else int(state["until"])
-        pdf = pdf.sort_values("lba")
-        keep = []
-        for lba, whole, n in zip(pdf["lba"], pdf["is_ok"], pdf["blocks"]):
-            keep.append(lba >= until)
-            if lba >= until and whole:
-                until = lba + n
-        return pdf[keep] if any(keep) else pdf.iloc[:0], {"until": str(until)}
-
-    # every slice must report its exit state, so dropped rows are flagged instead of removed
-    def flagged(pdf: pd.DataFrame, state):
-        kept, out = fold(pdf, state)
-        return pdf.assign(taken=pdf["lba"].isin(kept["lba"])), out
-
-    done = slices.fold_slices(small, keys, slices.by_width("lba", cut_width), flagged, typed + ", taken boolean",
-                              ["until"], cut_lineage)
+
+    def step(state, lba, whole, blocks):
+        taken = state is None or lba >= int(state[0])
+        return ((str(lba + blocks),) if taken and whole else state), taken
+
+    def settle(state, slice_no):
+        # a claim that ends inside its slice cannot reach the next one
+        return state if state is not None and int(state[0]) > (slice_no + 1) * cut_width else None
+
+    done = slices.fold_slices(first, keys, ["lba"], slices.by_width("lba", cut_width), step, ["lba", "is_ok", "blocks"],
+                              "taken boolean", ["until"], cut_lineage, settle)
     return first.join(done.where("taken").select(*keys, "lba"), [*keys, "lba"], "left_semi")
 
 
@@ -447,57 +438,56 @@ def _search(headers: DataFrame, chunks: DataFrame, totals: DataFrame, claims: Da
 
 def reassemble_first(headers: DataFrame, chunks: DataFrame, totals: DataFrame, allocated: DataFrame, keys: Sequence[str],
                      radius: int = DEFAULT_RADIUS, python_packs: Mapping[str, Callable] | None = None,
-                     max_expected: int = MAX_EXPECTED, group_limit: int = 10_000) -> DataFrame:
+                     max_expected: int = MAX_EXPECTED, cut_width: int = FOLD_SLICE) -> DataFrame:
     """CRV-11: per start the best assembly that misses everything claimed before it.
 
     Rounds: search every open header under the final claims, then walk the found ones in
-    block order inside islands of overlapping reach. A header is settled when no earlier
-    open header could still take its blocks; the others search again under more claims.
-    The first header of every island settles in each round, so the loop ends, and a header
-    without any assembly is dropped for good because claims only grow. An island longer
-    than ``group_limit`` settles its first rows now and the rest in later rounds.
+    block order. A header is settled when no earlier open header could still take its
+    blocks; the others search again under more claims. The first open header of an image
+    settles in each round, so the loop ends, and a header without any assembly is dropped
+    for good because claims only grow. The walk streams per (image, slice of blocks); rows
+    within reach of the next slice are shown to it as neighbours that may take blocks.
     """
     table = packs_for_tier3() if python_packs is None else python_packs
     keys = list(keys)
     span = max_expected + radius + 1
+    cut_width = max(cut_width, span)
     open_ = headers.select(*keys, "lba", "sig_order", "file_type")
     claims, done = allocated.select(*keys, "start_lba", "block_count"), None
-    key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in headers.select(*keys).schema.fields)
     cols = [*keys, "lba", "sig_order", "file_type", "expected", "split", "gap", "length", "frag2_lba", "frag2_blocks"]
-    schema = (f"{key_types}, lba bigint, sig_order int, file_type string, {FOUND}, frag2_lba bigint, frag2_blocks bigint, settled boolean")
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["lba", "sig_order"])
-        taken: list[tuple[int, int]] = []
-        waiting: list[tuple[int, int]] = []
-        flags = []
-        for r in pdf.itertuples(index=False):
-            mine = [(r.lba, r.lba + r.split), (r.frag2_lba, r.frag2_lba + r.frag2_blocks)]
-            free = not any(a < z2 and a2 < z for a, z in mine for a2, z2 in taken + waiting)
-            flags.append(free)
-            if free:
-                taken += mine
-            else:
-                waiting.append((r.lba, r.lba + span))
-        return pdf[cols].assign(settled=flags)
-
+    walk_cols = [*keys, "lba", "sig_order", "split", "frag2_lba", "frag2_blocks"]
+
+    def walk(batches):
+        current, near = None, []
+        for pdf in batches:
+            flags = []
+            for row in pdf.itertuples(index=False, name=None):
+                *group, ghost, lba, _order, split, frag2, n2 = row
+                if group != current:
+                    current, near = group, []
+                near = [x for x in near if x[1] > lba]
+                mine = ((lba, lba + split), (frag2, frag2 + n2))
+                free = not ghost and not any(a < z2 and a2 < z for a, z in mine for a2, z2 in near)
+                flags.append(free)
+                near += mine if free else [(lba, lba + span)]
+            yield pdf[free_cols][flags]
+
+    free_cols = [*keys, "lba", "sig_order"]
     while True:
-        found = _search(open_, chunks, totals, claims, keys, radius, table, max_expected).select(*cols)
-        found = cut_lineage(found)
-        cut = slices.by_width("lba", FOLD_SLICE)
-        prev = slices.previous_row(found, keys, ["lba", "sig_order"], cut, {"_pl": "lba"})
-        fresh = F.when(F.col("_pl").isNull() | (F.col("lba") - F.col("_pl") > span), 1).otherwise(0).cast("bigint")
-        isl = slices.running_total(prev, keys, ["lba", "sig_order"], cut, fresh, "_isl")
-        isl = slices.row_numbers(isl, [*keys, "_isl"], ["lba", "sig_order"], cut, "_no")
-        now = isl.where(F.col("_no") <= group_limit)
-        walked = cut_lineage(now.groupBy(*keys, "_isl").applyInPandas(settle, schema))
-        fixed = walked.where("settled").drop("settled")
+        found = cut_lineage(_search(open_, chunks, totals, claims, keys, radius, table, max_expected).select(*cols))
+        own = F.floor(F.col("lba") / cut_width).cast("bigint")
+        spill = F.floor((F.col("lba") + span) / cut_width).cast("bigint")
+        shown = found.select(*walk_cols, F.explode(F.sequence(own, spill)).alias("_slice")).withColumn("_ghost", F.col("_slice") != own)
+        shown = shown.select(*keys, "_slice", "_ghost", *walk_cols[len(keys):])
+        types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in shown.select(*free_cols).schema.fields)
+        settled = shown.repartition(*keys, "_slice").sortWithinPartitions(*keys, "_slice", "lba", "sig_order").mapInPandas(walk, types)
+        fixed = cut_lineage(found.join(settled, free_cols, "left_semi"))
         done = fixed if done is None else done.unionByName(fixed)
-        claims = claims.unionByName(fixed.select(*keys, F.col("lba").alias("start_lba"), F.col("split").alias("block_count"))).unionByName(
-            fixed.select(*keys, F.col("frag2_lba").alias("start_lba"), F.col("frag2_blocks").alias("block_count")))
-        open_ = found.join(fixed, [*keys, "lba", "sig_order"], "left_anti").select(*keys, "lba", "sig_order", "file_type")
+        open_ = cut_lineage(found.join(fixed, free_cols, "left_anti").select(*free_cols, "file_type"))
         if open_.isEmpty():
             return done
+        claims = claims.unionByName(fixed.select(*keys, F.col("lba").alias("start_lba"), F.col("split").alias("block_count"))).unionByName(
+            fixed.select(*keys, F.col("frag2_lba").alias("start_lba"), F.col("frag2_blocks").alias("block_count")))
 
 
 def packs_for_tier3() -> dict[str, Callable]:

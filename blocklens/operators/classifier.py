@@ -45,7 +45,7 @@ def train_file_type(train: DataFrame, label: str = "label", rounds: int = 60, de
     if boosted:
         tree = GBTClassifier(labelCol="label_index", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=rate,
                              subsamplingRate=subsample, seed=seed)
-        learner = OneVsRest(classifier=tree, labelCol="label_index", featuresCol="features", rawPredictionCol="raw")
+        learner = OneVsRest(classifier=tree, labelCol="label_index", featuresCol="features")
     else:
         learner = RandomForestClassifier(labelCol="label_index", featuresCol="features", rawPredictionCol="raw", numTrees=rounds,
                                          maxDepth=depth, subsamplingRate=subsample, seed=seed)
@@ -88,10 +88,16 @@ def winner(df: DataFrame, classes: Sequence[str], probs: str = "probs") -> DataF
 
 def classify(features: DataFrame, model: PipelineModel) -> DataFrame:
     """ML-5: distribution per class, winner and its probability."""
-    scored = model.stages[-1].transform(features)
-    raw = vector_to_array("raw")
-    probs = vector_to_array("probability") if "probability" in scored.columns else softmax(raw)
-    out = scored.withColumn("probs", probs).drop("probability", "raw", "prediction")
+    learner = model.stages[-1]
+    if hasattr(learner, "models"):
+        # margin of every per-class ensemble on the shared features, all in one projection chain
+        out = features
+        for i, m in enumerate(learner.models):
+            out = m.copy({m.rawPredictionCol: f"_r{i}", m.probabilityCol: f"_p{i}", m.predictionCol: f"_c{i}"}).transform(out)
+        margins = F.array(*[vector_to_array(f"_r{i}")[1] for i in range(len(learner.models))])
+        out = out.withColumn("probs", softmax(margins)).drop(*[f"_{k}{i}" for i in range(len(learner.models)) for k in "rpc"])
+    else:
+        out = learner.transform(features).withColumn("probs", vector_to_array("probability")).drop("probability", "raw", "prediction")
     return winner(out, classes_of(model))
 
 

@@ -193,17 +193,20 @@ def custody_admit(events: DataFrame, keys=("evidence_id",), slice_width: int = S
     Exact ordered fold in slices of ``event_id``: the state is the last accepted event, and
     a slice is walked again only if the state entering it turns out different.
     """
-    small = attempts_of(events, keys)
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in small.schema.fields)
+    def step(state, kind, has_parties, micros):
+        last = None if state is None else (state[0], None if state[1] is None else int(state[1]))
+        at = None if micros is None or micros != micros else int(micros)
+        why = judge(last, kind, has_parties, at)
+        if why is None:
+            state = (kind, None if at is None else str(at))
+        return state, why
 
-    def fold(pdf: pd.DataFrame, state):
-        pdf = pdf.sort_values("event_id")
-        last = None if state is None else (state["kind"], None if pd.isna(state["at"]) else int(state["at"]))
-        reasons, last = fold_attempts(pdf, last)
-        out = None if last is None else {"kind": last[0], "at": None if last[1] is None else str(last[1])}
-        return pdf.assign(reason=reasons), out
+    def settle(state, _slice):
+        # after a terminal event its time no longer matters
+        return (state[0], None) if state is not None and state[0] in TERMINAL else state
 
-    done = slices.fold_slices(small, list(keys), slices.by_width("event_id", slice_width), fold, types + ", reason string", ["kind", "at"], cut_lineage)
+    done = slices.fold_slices(attempts_of(events, keys), list(keys), ["event_id"], slices.by_width("event_id", slice_width), step,
+                              ["event_type", "has_parties", "micros"], "reason string", ["kind", "at"], cut_lineage, settle)
     return done.select(*keys, "event_id", "event_type", "reason", F.col("reason").isNull().alias("accepted"))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blocklens.operators import slices
@@ -84,12 +84,21 @@ def islands(rows: DataFrame, keys: Sequence[str], start: str = "lba", count: Col
             extra: Sequence[Column] = ()) -> DataFrame:
     """Merge records that touch end to start into ranges (each tested against the one before)."""
     n = F.lit(1).cast("bigint") if count is None else count
-    cut = slices.by_width(start, ISLAND_SLICE)
-    with_end = rows.withColumn("_n", n).withColumn("_end", F.col(start) + F.col("_n"))
-    prev = slices.previous_row(with_end, keys, [start], cut, {"_pe": "_end"})
-    flagged = prev.withColumn(
-        "_new", F.when(F.col("_pe").eqNullSafe(F.col(start)), 0).otherwise(1).cast("bigint"))
-    numbered = slices.running_total(flagged, keys, [start], cut, F.col("_new"), "_island")
+    keys = list(keys)
+    cut_rows = (rows.withColumn("_n", n).withColumn("_end", F.col(start) + F.col("_n"))
+                .withColumn("_cut", slices.by_width(start, ISLAND_SLICE)))
+    inside = Window.partitionBy(*keys, "_cut").orderBy(start)
+    marked = cut_rows.withColumn("_pe", F.lag("_end").over(inside)).withColumn(
+        "_new", (F.col("_pe").isNotNull() & (F.col("_pe") != F.col(start))).cast("bigint"))
+    inner = marked.withColumn("_in", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # one row per slice: does its first record continue the last range of the slice before?
+    over = Window.partitionBy(*keys).orderBy("_cut")
+    heads = (inner.groupBy(*keys, "_cut").agg(F.min(start).alias("_s"), F.max_by("_end", start).alias("_e"), F.max("_in").alias("_t"))
+             .withColumn("_opens", (~F.col("_s").eqNullSafe(F.lag("_e").over(over))).cast("bigint"))
+             .withColumn("_off", F.col("_opens") + F.coalesce(F.sum(F.col("_opens") + F.col("_t")).over(
+                 over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+             .select(*keys, "_cut", "_off"))
+    numbered = inner.join(heads, [*keys, "_cut"]).withColumn("_island", F.col("_off") + F.col("_in"))
     return (numbered.groupBy(*keys, "_island")
             .agg(F.min(start).alias("start_lba"), F.sum("_n").alias("block_count"), *extra)
             .drop("_island"))

@@ -92,75 +92,69 @@ def max_so_far(df: DataFrame, keys: Sequence[str], order: Sequence[str], cut: Co
             .drop("_v", "_in", "_before", SLICE))
 
 
-def fold_slices(df: DataFrame, keys: Sequence[str], cut: Column, fold, fold_schema: str,
-                state_fields: Sequence[str], cut_lineage) -> DataFrame:
-    """Exact ordered fold per key, one bounded group per ``(key, slice)``.
-
-    ``fold(pdf, state) -> (pdf, state)`` walks one slice from an entry state (a dict, or
-    None at the start of the key). All slices first run from None; then each slice whose
-    true entry state (exit of the previous non-empty slice) differs runs again, until no
-    entry state changes. After round ``r`` the first ``r`` slices of every key are final,
-    so the result equals the sequential fold; states usually forget their past, and two
-    rounds suffice.
+def fold_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], cut: Column, step, values: Sequence[str],
+                result: str, state_fields: Sequence[str], cut_lineage, settle=None) -> DataFrame:
+    """Exact ordered fold per key over slices; gives keys, order, values and the ``result`` column.
+
+    ``step(state, *values) -> (state, out)`` handles one row; a state is None or a tuple of
+    strings. Rows stream through sorted partitions, so neither a key nor a slice is held in
+    memory. All slices first run from None; then each slice whose true entry state (exit
+    of the previous non-empty slice) differs runs again, until no entry state changes.
+    After round ``r`` the first ``r`` slices of every key are final, so the result equals
+    the sequential fold. ``settle(state, slice_no)`` maps states that no later row can
+    tell apart to one form, which keeps the rounds few.
     """
-    import numpy as np
     import pandas as pd
 
-    keys = list(keys)
+    keys, order, values = list(keys), list(order), list(values)
     ins = [f"_in_{s}" for s in state_fields]
     outs = [f"_out_{s}" for s in state_fields]
-    sliced = df.withColumn(SLICE, cut)
-    state_type = "string"
-    schema = (fold_schema + f", {SLICE} bigint, "
-              + ", ".join(f"{n} {state_type}" for n in ins + outs))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        entry = {s: first[c] for s, c in zip(state_fields, ins)}
-        state = None if all(v is None or v != v for v in entry.values()) else entry
-        slice_no = first[SLICE]
-        body, out_state = fold(pdf.drop(columns=[SLICE, *ins]), state)
-        body = body.copy()
-        body[SLICE] = slice_no
-        for s, c in zip(state_fields, ins):
-            body[c] = None if state is None else state[s]
-        for s, c in zip(state_fields, outs):
-            body[c] = None if out_state is None else out_state[s]
-        return body
+    lean = df.withColumn(SLICE, cut).select(*dict.fromkeys([*keys, SLICE, *order, *values]))
+    kept = lean.columns
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in lean.schema.fields]
+                       + [f"{n} string" for n in ins + outs] + [result])
+    name = result.split()[0]
+    final = settle or (lambda state, _slice: state)
+    blank = (None,) * len(state_fields)
 
     def walk(batches):
-        """Groups arrive whole and in order inside a sorted partition; many share one batch."""
-        open_rows = None
+        current, state = None, None
         for pdf in batches:
-            if open_rows is not None:
-                pdf = pd.concat([open_rows, pdf], ignore_index=True)
-            marks = pdf[[*keys, SLICE]]
-            starts = np.flatnonzero((marks != marks.shift()).any(axis=1).to_numpy())
-            done_groups = [run(pdf.iloc[a:z]) for a, z in zip(starts[:-1], starts[1:])]
-            open_rows = pdf.iloc[starts[-1]:]
-            if done_groups:
-                yield pd.concat(done_groups, ignore_index=True)
-        if open_rows is not None and len(open_rows):
-            yield run(open_rows)
+            groups = pdf[[*keys, SLICE]].itertuples(index=False, name=None)
+            entries = pdf[ins].itertuples(index=False, name=None)
+            rows = pdf[values].itertuples(index=False, name=None)
+            got, states = [], []
+            for group, entry, row in zip(groups, entries, rows):
+                if group != current:
+                    current = group
+                    state = None if all(v is None or v != v for v in entry) else tuple(None if v != v else v for v in entry)
+                state, out = step(state, *row)
+                got.append(out)
+                states.append(final(state, group[-1]) or blank)
+            done = pdf[kept + ins].copy()
+            for i, c in enumerate(outs):
+                done[c] = pd.Series([s[i] for s in states], dtype=object, index=done.index)
+            done[name] = pd.Series(got, dtype=object if "string" in result else None, index=done.index)
+            yield done
 
     def apply(rows: DataFrame) -> DataFrame:
-        return rows.repartition(*keys, SLICE).sortWithinPartitions(*keys, SLICE).mapInPandas(walk, schema)
+        return rows.repartition(*keys, SLICE).sortWithinPartitions(*keys, SLICE, *order).mapInPandas(walk, schema)
 
-    nulls = [F.lit(None).cast(state_type).alias(c) for c in ins]
-    done = cut_lineage(apply(sliced.select("*", *nulls)))
+    nulls = [F.lit(None).cast("string").alias(c) for c in ins]
+    lean = cut_lineage(lean)
+    done = cut_lineage(apply(lean.select("*", *nulls)))
     while True:
         exits = (done.groupBy(*keys, SLICE)
-                 .agg(F.first(F.struct(*ins)).alias("_had"), F.first(F.struct(*outs)).alias("_exit"))
+                 .agg(F.first(F.struct(*ins)).alias("_had"), F.max_by(F.struct(*outs), F.struct(*order)).alias("_exit"))
                  .withColumn("_want", F.lag("_exit").over(_over_slices(keys))))
         differs = None
         for i, o in zip(ins, outs):
             d = ~F.col(f"_had.{i}").eqNullSafe(F.col(f"_want.{o}"))
             differs = d if differs is None else differs | d
         stale = cut_lineage(exits.where(differs).select(
-            *keys, SLICE, *[F.col(f"_want.{o}").alias(f"_new_{i}") for i, o in zip(ins, outs)]))
+            *keys, SLICE, *[F.col(f"_want.{o}").alias(i) for i, o in zip(ins, outs)]))
         if stale.isEmpty():
             return done.drop(SLICE, *ins, *outs)
-        again = (sliced.join(stale, [*keys, SLICE])
-                 .withColumnsRenamed({f"_new_{i}": i for i in ins}))
-        kept = done.join(stale.select(*keys, SLICE), [*keys, SLICE], "left_anti")
-        done = cut_lineage(kept.unionByName(apply(again)))
+        again = lean.join(stale, [*keys, SLICE]).select(*kept, *ins)
+        rest = done.join(stale.select(*keys, SLICE), [*keys, SLICE], "left_anti")
+        done = cut_lineage(rest.unionByName(apply(again)))

@@ -6,13 +6,20 @@ from pyspark.sql import functions as F
 
 from blocklens.operators import classifier as ml
 from blocklens.plans.catalog import query, r6, table
+from blocklens.session import cut_lineage
 
 _MODELS: dict = {}
 
 
-def labelled(spark, sf):
+def featured(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("label"), F.encode("text", "UTF-8").alias("payload"))
-    return ml.stratified_split(ml.features_of(docs, ["doc_id", "label"]), "label", "doc_id")
+    return ml.features_of(docs, ["doc_id", "label"])
+
+
+def labelled(spark, sf):
+    """The split runs on ids and labels alone, so every payload is read and profiled once."""
+    ids = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("label"))
+    return featured(spark, sf).join(ml.stratified_split(ids, "label", "doc_id").drop("label"), "doc_id")
 
 
 def forest(spark, sf):
@@ -32,7 +39,7 @@ def split(spark, sf):
 @query("ml2_train_file_type")
 def train(spark, sf):
     """Boosted ensembles per class, few rounds; test accuracy per class."""
-    data = labelled(spark, sf)
+    data = cut_lineage(labelled(spark, sf))
     model = ml.train_file_type(data.where("is_train"), rounds=3)
     got = ml.classify(data.where("NOT is_train"), model)
     return ml.evaluate_classifier(got).select("class", "support", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
@@ -65,7 +72,7 @@ def importances(spark, sf):
 
 @query("ml5_classify")
 def classify(spark, sf):
-    return ml.classify(labelled(spark, sf), forest(spark, sf)).select("doc_id", "label", "predicted", r6("probability").alias("probability"))
+    return ml.classify(featured(spark, sf), forest(spark, sf)).select("doc_id", "label", "predicted", r6("probability").alias("probability"))
 
 
 PROB = """pb AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, [l_discount * 5, CASE WHEN l_linenumber = 1 THEN 0 ELSE l_tax * 6 END, l_discount * 5] AS probs,
@@ -101,4 +108,4 @@ def consistency(spark, sf):
 @query("ml7_explain")
 def explain(spark, sf):
     m = forest(spark, sf)
-    return ml.explain(ml.classify(labelled(spark, sf), m), m).select("doc_id", "predicted", "basis")
+    return ml.explain(ml.classify(featured(spark, sf), m), m).select("doc_id", "predicted", "basis")

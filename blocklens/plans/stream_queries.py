@@ -12,7 +12,7 @@ from blocklens.plans import carve_queries as cq
 from blocklens.plans import domain as d
 from blocklens.plans import fs_queries as fq
 from blocklens.plans import ledger_queries as lq
-from blocklens.plans.catalog import query, table
+from blocklens.plans.catalog import ORACLES, query, table
 from blocklens.session import checkpoint_root
 from blocklens.sources import signatures, vault
 from blocklens.streaming import jobs
@@ -34,7 +34,7 @@ def replay(stream: DataFrame, mode: str) -> DataFrame:
     q = (stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/state")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(stream.schema).option("basePath", f"{root}/out").parquet(f"{root}/out")
+    return spark.read.schema(stream.schema).option("basePath", f"{root}/out").parquet(f"{root}/out").drop("trigger")
 
 
 @query("str1_health_alerts", f"""WITH {d.TELEMETRY}, r AS (SELECT device_id, date_trunc('hour', ts) AS w, CASE {d.HEALTH} WHEN 'Critical' THEN 3 WHEN 'Warning' THEN 2 WHEN 'Good' THEN 1 ELSE 0 END AS r FROM telemetry)
@@ -44,7 +44,7 @@ def health_alerts(spark, sf):
     return got.select("device_id", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "status", "readings")
 
 
-@query("str2_custody_stream", None)
+@query("str2_custody_stream", ORACLES["cus3_custody_admit"])
 def custody_stream(spark, sf):
     return replay(jobs.custody_stream(shaky_feed(spark, sf)), "append").select("evidence_id", "event_id", "reason", "accepted")
 

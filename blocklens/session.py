@@ -51,3 +51,34 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, whatever the driver's working folder is."""
+    import io
+    import zipfile
+    from pathlib import Path
+
+    from pyarrow import fs as arrow_fs
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, str(Path(root.name) / file.relative_to(root)))
+    target = f"{checkpoint_root(spark)}/{root.name}-{app}.zip"
+    if "://" in target:
+        system, inner = arrow_fs.FileSystem.from_uri(target)
+    else:
+        system, inner = arrow_fs.LocalFileSystem(), target
+    system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(inner) as out:
+        out.write(packed.getvalue())
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)
