@@ -24,7 +24,7 @@ BLOCK = 512
 CHUNK_BLOCKS = 128
 FIRST_WINDOW, WIDE_WINDOW = 2048, 16384
 FOLD_SLICE = 1 << 16
-SIG_LIMIT = 4096
+SIG_LIMIT = 256
 
 # fixed values: gaps tried first, fragment sizes tried, id bases of the three tiers
 LIKELY_GAPS = [8, 16, 32, 4, 64, 24, 40, 128, 256, 512, 1024, 2048]
@@ -38,14 +38,19 @@ PREFIX_FINAL = ["png", "jpeg", "mp4"]
 def match_headers(blocks: DataFrame, signatures: DataFrame, head: str = "head") -> DataFrame:
     """JN-1: blocks whose bytes at the signature's offset equal its header.
 
-    The signature table is counted first. Up to ``SIG_LIMIT`` rows Spark broadcasts it for
-    a nested loop; beyond that the join is an equi-join on the sliced bytes, one slice per
-    distinct (offset, length) of the table.
+    The signature table is a small configuration and is counted first. Up to ``SIG_LIMIT``
+    rows a compiled predicate drops the blocks that match nothing, and the few survivors
+    meet the broadcast table. Beyond that the join is an equi-join on the sliced bytes, one
+    slice per distinct (offset, length) of the table.
     """
-    shapes = signatures.select("header_offset", F.octet_length("header").alias("_len")).distinct()
-    if signatures.limit(SIG_LIMIT + 1).count() <= SIG_LIMIT:
+    sigs = signatures.select("header_offset", "header").limit(SIG_LIMIT + 1).collect()
+    if len(sigs) <= SIG_LIMIT:
+        any_hit = F.lit(False)
+        for s in sigs:
+            any_hit = any_hit | (F.substring(head, s["header_offset"] + 1, len(s["header"])) == F.lit(bytes(s["header"])))
         cond = F.substring(F.col(head), F.col("header_offset") + 1, F.octet_length("header")) == F.col("header")
-        return blocks.join(F.broadcast(signatures), cond)
+        return blocks.where(any_hit).join(F.broadcast(signatures), cond)
+    shapes = signatures.select("header_offset", F.octet_length("header").alias("_len")).distinct()
     kinds = [(r["header_offset"], r["_len"]) for r in shapes.limit(256 + 1).collect()]
     if len(kinds) > 256:
         raise ValueError("more than 256 header shapes in one signature table")
@@ -58,7 +63,7 @@ def match_headers(blocks: DataFrame, signatures: DataFrame, head: str = "head")
 
 def to_chunks(sectors: DataFrame, keys: Sequence[str], chunk_blocks: int = CHUNK_BLOCKS) -> DataFrame:
     """Group a dense sector table to chunks of at most ``chunk_blocks`` rows each."""
-    no = F.floor(F.col("lba") / chunk_blocks).cast("bigint").alias("chunk_no")
+    no = slices.idiv(F.col("lba"), chunk_blocks).alias("chunk_no")
     return (sectors.groupBy(*keys, no).agg(
         F.min("lba").alias("start_lba"), F.count(F.lit(1)).alias("n"),
         F.array_sort(F.collect_list(F.struct("lba", "payload"))).alias("_parts"))
@@ -99,10 +104,10 @@ def candidate_windows(cands: DataFrame, chunks: DataFrame, keys: Sequence[str],
     ``window_blocks / chunk_blocks + 1`` chunks, which bounds the ordered collect.
     """
     ids = list(dict.fromkeys([*keys, "lba", "sig_order", blocks, *carry]))
-    first = F.floor(F.col("lba") / chunk_blocks)
-    last = F.floor((F.col("lba") + F.col(blocks) - 1) / chunk_blocks)
+    first = slices.idiv(F.col("lba"), chunk_blocks)
+    last = slices.idiv(F.col("lba") + F.col(blocks) - 1, chunk_blocks)
     pieces = (cands.select(*ids).where(F.col(blocks) > 0)
-              .withColumn("chunk_no", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint")))))
+              .withColumn("chunk_no", F.explode(F.sequence(first, last))))
     j = pieces.join(chunks.select(*keys, "chunk_no", "start_lba", "n", "payload"), [*keys, "chunk_no"])
     lo = F.greatest("lba", "start_lba")
     hi = F.least(F.col("lba") + F.col(blocks), F.col("start_lba") + F.col("n"))
@@ -283,8 +288,8 @@ def extent_payload(entries: DataFrame, chunks: DataFrame, keys: Sequence[str], b
     ext = (entries.select(*keys, "entry_id", F.posexplode(loc["extents"]).alias("_no", "_x"))
            .select(*keys, "entry_id", "_no", F.col("_x.start_lba").alias("_s"), F.col("_x.block_count").alias("_c"))
            .where("_c > 0")
-           .withColumn("chunk_no", F.explode(F.sequence(F.floor(F.col("_s") / chunk_blocks).cast("bigint"),
-                                                        F.floor((F.col("_s") + F.col("_c") - 1) / chunk_blocks).cast("bigint")))))
+           .withColumn("chunk_no", F.explode(F.sequence(slices.idiv(F.col("_s"), chunk_blocks),
+                                                        slices.idiv(F.col("_s") + F.col("_c") - 1, chunk_blocks)))))
     j = ext.join(chunks.select(*keys, "chunk_no", "start_lba", "n", "payload"), [*keys, "chunk_no"])
     lo, hi = F.greatest("_s", "start_lba"), F.least(F.col("_s") + F.col("_c"), F.col("start_lba") + F.col("n"))
     part = F.substring(F.col("payload"), ((lo - F.col("start_lba")) * block_size + 1).cast("int"), ((hi - lo) * block_size).cast("int"))
@@ -475,8 +480,8 @@ def reassemble_first(headers: DataFrame, chunks: DataFrame, totals: DataFrame, a
     free_cols = [*keys, "lba", "sig_order"]
     while True:
         found = cut_lineage(_search(open_, chunks, totals, claims, keys, radius, table, max_expected).select(*cols))
-        own = F.floor(F.col("lba") / cut_width).cast("bigint")
-        spill = F.floor((F.col("lba") + span) / cut_width).cast("bigint")
+        own = slices.idiv(F.col("lba"), cut_width)
+        spill = slices.idiv(F.col("lba") + span, cut_width)
         shown = found.select(*walk_cols, F.explode(F.sequence(own, spill)).alias("_slice")).withColumn("_ghost", F.col("_slice") != own)
         shown = shown.select(*keys, "_slice", "_ghost", *walk_cols[len(keys):])
         types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in shown.select(*free_cols).schema.fields)

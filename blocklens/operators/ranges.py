@@ -20,8 +20,8 @@ ISLAND_SLICE = 1 << 16
 
 
 def _bucketed(extents: DataFrame, start: str, count: str, width: int, name: str) -> DataFrame:
-    first = F.floor(F.col(start) / width).cast("bigint")
-    last = F.floor((F.col(start) + F.col(count) - 1) / width).cast("bigint")
+    first = slices.idiv(F.col(start), width)
+    last = slices.idiv(F.col(start) + F.col(count) - 1, width)
     return (extents.where(F.col(count) > 0)
             .withColumn(name, F.explode(F.sequence(first, last))))
 
@@ -36,7 +36,7 @@ def points_in_ranges(points: DataFrame, extents: DataFrame, keys: Sequence[str],
     right = _bucketed(extents, start, count, width, "_b")
     ren = {k: f"_r_{k}" for k in keys}
     right = right.withColumnsRenamed({**ren, start: "_s", count: "_c"})
-    left = points.withColumn("_pb", F.floor(F.col(lba) / width).cast("bigint"))
+    left = points.withColumn("_pb", slices.idiv(F.col(lba), width))
     cond = F.col("_pb") == F.col("_b")
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"_r_{k}"))
@@ -58,7 +58,7 @@ def overlap_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], a_range=("a_s
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"_r_{k}"))
     cond = (cond & (a_s < b_s + b_c) & (a_s + a_c > b_s)
-            & (F.floor(F.greatest(a_s, b_s) / width).cast("bigint") == F.col("_ab")))
+            & (slices.idiv(F.greatest(a_s, b_s), width) == F.col("_ab")))
     return left.join(right, cond).drop("_ab", "_bb", *[f"_r_{k}" for k in keys])
 
 

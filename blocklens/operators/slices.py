@@ -20,7 +20,12 @@ SLICE = "_slice"
 def by_width(order: str | Column, width: int) -> Column:
     """Slice number of an integer axis."""
     axis = F.col(order) if isinstance(order, str) else order
-    return F.floor(axis / F.lit(width)).cast("bigint")
+    return idiv(axis, width)
+
+
+def idiv(a: Column, b: int) -> Column:
+    """Exact integer division of a non-negative bigint column."""
+    return F.call_function("div", a.cast("bigint"), F.lit(b).cast("bigint"))
 
 
 def by_hours(ts: str | Column, hours: int = 24) -> Column:

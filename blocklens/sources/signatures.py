@@ -44,6 +44,6 @@ def read_signatures(spark: SparkSession, path: str) -> DataFrame:
 
 def append_signatures(base: DataFrame, more: DataFrame) -> DataFrame:
     """Register further signatures after the existing ones."""
-    top = base.agg((F.coalesce(F.max("sig_order"), F.lit(-1)) + 1).alias("_top"))
-    shifted = more.join(F.broadcast(top)).withColumn("sig_order", (F.col("sig_order") + F.col("_top")).cast("int"))
+    top = base.agg(F.max("sig_order")).first()[0]
+    shifted = more.withColumn("sig_order", (F.col("sig_order") + F.lit(-1 if top is None else top) + 1).cast("int"))
     return base.unionByName(shifted.select(*base.columns))
