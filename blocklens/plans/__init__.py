@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["bytes_queries", "range_queries", "rule_queries", "carve_queries", "fs_queries", "raid_queries", "ledger_queries", "report_queries", "ml_queries", "stream_queries"]
+MODULES = ["bytes_queries", "range_queries", "rule_queries", "carve_queries", "fs_queries", "raid_queries", "ledger_queries", "report_queries", "ml_queries", "stream_queries", "io_queries"]
 
 
 def load_all():

@@ -32,9 +32,9 @@ def _bytes(numbers):
     return F.when(numbers.isNotNull(), F.unhex(F.array_join(F.transform(numbers, lambda x: F.lpad(F.hex(x), 2, "0")), "")))
 
 
-def read_signatures(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-3: a JSON array of signatures; a missing offset is 0, order is file order."""
-    raw = spark.read.schema(JSON_SCHEMA).option("multiLine", True).json(path)
+def read_signatures(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """SRC-3: a JSON array of signatures (or JSON lines); a missing offset is 0, order is file order."""
+    raw = spark.read.schema(JSON_SCHEMA).option("multiLine", multi_line).json(path)
     order = Window.orderBy("_id")  # a signature file is one small JSON document
     return (raw.withColumn("_id", F.monotonically_increasing_id())
             .withColumn("sig_order", F.row_number().over(order) - 1)
