@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType
 
 from blocklens.functions import native_packs, packs, scoring
 from blocklens.functions import payload as kern
-from blocklens.operators import filters, ranges, slices
+from blocklens.operators import acquire, byte_stats, filters, ranges, slices
 from blocklens.session import cut_lineage
 
 BLOCK = 512
@@ -278,37 +278,84 @@ def tier2_artifacts(selected: DataFrame, chunks: DataFrame, signatures: DataFram
 
 
 # ---- tier 1 ------------------------------------------------------------------------
-def extent_payload(entries: DataFrame, chunks: DataFrame, keys: Sequence[str], block_size: int = BLOCK,
-                   chunk_blocks: int = CHUNK_BLOCKS) -> DataFrame:
-    """JN-6: bytes of each entry: resident as is, else extents in order, cut to ``size_bytes``.
+MAX_PAYLOAD = 256 << 20
 
-    ``entries`` has ``entry_id``, ``size_bytes`` and ``location<kind, resident, extents>``.
-    """
-    loc = F.col("location")
-    ext = (entries.select(*keys, "entry_id", F.posexplode(loc["extents"]).alias("_no", "_x"))
-           .select(*keys, "entry_id", "_no", F.col("_x.start_lba").alias("_s"), F.col("_x.block_count").alias("_c"))
+
+def _mapped_bytes(block_size: int) -> Column:
+    """Bytes an entry can yield: its extents, cut to its size."""
+    blocks = F.aggregate(F.coalesce("location.extents", F.array().cast(EXTENTS)), F.lit(0).cast("bigint"), lambda a, x: a + x["block_count"])
+    return F.least(blocks * block_size, F.coalesce("size_bytes", blocks * block_size))
+
+
+EXTENTS = "array<struct<start_lba:bigint,block_count:bigint>>"
+
+
+def extent_pieces(entries: DataFrame, chunks: DataFrame, keys: Sequence[str], block_size: int = BLOCK,
+                  chunk_blocks: int = CHUNK_BLOCKS) -> DataFrame:
+    """JN-6 in pieces: ``(keys, entry_id, extent_no, chunk_no, part)``, any file size, not cut to size."""
+    ext = (entries.select(*keys, "entry_id", F.posexplode("location.extents").alias("extent_no", "_x"))
+           .select(*keys, "entry_id", "extent_no", F.col("_x.start_lba").alias("_s"), F.col("_x.block_count").alias("_c"))
            .where("_c > 0")
            .withColumn("chunk_no", F.explode(F.sequence(slices.idiv(F.col("_s"), chunk_blocks),
                                                         slices.idiv(F.col("_s") + F.col("_c") - 1, chunk_blocks)))))
     j = ext.join(chunks.select(*keys, "chunk_no", "start_lba", "n", "payload"), [*keys, "chunk_no"])
     lo, hi = F.greatest("_s", "start_lba"), F.least(F.col("_s") + F.col("_c"), F.col("start_lba") + F.col("n"))
     part = F.substring(F.col("payload"), ((lo - F.col("start_lba")) * block_size + 1).cast("int"), ((hi - lo) * block_size).cast("int"))
-    read = (j.where(hi > lo).groupBy(*keys, "entry_id")
-            .agg(F.array_sort(F.collect_list(F.struct("_no", "chunk_no", part.alias("part")))).alias("_parts"))
+    return j.where(hi > lo).select(*keys, "entry_id", "extent_no", "chunk_no", part.alias("part"))
+
+
+def extent_payload(entries: DataFrame, chunks: DataFrame, keys: Sequence[str], block_size: int = BLOCK,
+                   chunk_blocks: int = CHUNK_BLOCKS, max_payload: int = MAX_PAYLOAD) -> DataFrame:
+    """JN-6: bytes of each entry: resident as is, else extents in order, cut to ``size_bytes``.
+
+    ``entries`` has ``entry_id``, ``size_bytes`` and ``location<kind, resident, extents>``.
+    Entries above ``max_payload`` do not fit a row: their payload is null and
+    ``large_content`` describes them from their pieces.
+    """
+    fits = _mapped_bytes(block_size) <= max_payload
+    read = (extent_pieces(entries.where(fits), chunks, keys, block_size, chunk_blocks).groupBy(*keys, "entry_id")
+            .agg(F.array_sort(F.collect_list(F.struct("extent_no", "chunk_no", "part"))).alias("_parts"))
             .select(*keys, "entry_id", _glue(F.transform("_parts", lambda x: x["part"])).alias("_read")))
     whole = F.coalesce("_read", F.lit(b""))
     cut = F.when(F.col("size_bytes").isNull(), whole).otherwise(
         F.substring(whole, F.lit(1), F.least(F.col("size_bytes"), F.octet_length(whole)).cast("int")))
     return (entries.join(read, [*keys, "entry_id"], "left")
-            .withColumn("payload", F.when(loc["kind"] == "Resident", loc["resident"]).otherwise(cut)).drop("_read"))
+            .withColumn("payload", F.when(F.col("location.kind") == "Resident", F.col("location.resident")).when(fits, cut)).drop("_read"))
+
 
+def large_content(entries: DataFrame, chunks: DataFrame, keys: Sequence[str], block_size: int = BLOCK,
+                  max_payload: int = MAX_PAYLOAD) -> DataFrame:
+    """Length, SHA-256 and entropy of entries above ``max_payload``, without holding any of them.
 
-def tier1_artifacts(entries: DataFrame, chunks: DataFrame, keys: Sequence[str], entropy_score=None) -> DataFrame:
-    """CRV-13: metadata recovery of decoded directory entries."""
-    got = extent_payload(entries, chunks, keys)
+    Pieces are cut to size by their offset, then hashed in a sorted stream and counted by
+    byte value; only 256 numbers per piece are shuffled for the entropy.
+    """
+    ids = [*keys, "entry_id"]
+    large = entries.where((F.col("location.kind") != "Resident") & (_mapped_bytes(block_size) > max_payload))
+    pieces = extent_pieces(large, chunks, keys, block_size).withColumn("_order", F.col("extent_no") * F.lit(1 << 40) + F.col("chunk_no"))
+    lens = slices.running_total(pieces.select(*ids, "_order", F.octet_length("part").cast("bigint").alias("_len")), ids, ["_order"],
+                                slices.by_width("_order", FOLD_SLICE), F.col("_len"), "_at", inclusive=False)
+    cut = (pieces.join(lens, [*ids, "_order"]).join(large.select(*ids, "size_bytes"), ids)
+           .withColumn("_keep", F.least("_len", F.greatest(F.coalesce("size_bytes", F.lit(1 << 62)) - F.col("_at"), F.lit(0))))
+           .where("_keep > 0").select(*ids, F.col("_order").alias("chunk_no"), F.substring(F.col("part"), F.lit(1), F.col("_keep").cast("int")).alias("payload")))
+    digest = acquire.image_digest(cut, ids)
+    counts = (byte_stats.profile(cut, ids, ["histogram"]).select(*ids, F.posexplode("histogram").alias("_b", "_c")).where("_c > 0")
+              .groupBy(*ids, "_b").agg(F.sum("_c").alias("_c")))
+    n = F.sum("_c")
+    ent = counts.groupBy(*ids).agg((F.log2(n) - F.sum(F.col("_c") * F.log2("_c")) / n).alias("byte_entropy"))
+    return digest.join(ent, ids).select(*ids, F.col("bytes").alias("large_bytes"), F.col("image_hash").alias("large_hash"), "byte_entropy")
+
+
+def tier1_artifacts(entries: DataFrame, chunks: DataFrame, keys: Sequence[str], entropy_score=None, max_payload: int = MAX_PAYLOAD) -> DataFrame:
+    """CRV-13: metadata recovery of decoded directory entries.
+
+    Entries too large for a row keep a null payload; their hash, length and entropy come
+    from ``large_content``.
+    """
+    got = extent_payload(entries, chunks, keys, max_payload=max_payload)
     conf = F.col("confidence")
     empty_lost = (F.octet_length("payload") == 0) & (F.coalesce("size_bytes", F.lit(0)) > 0)
-    none = F.array().cast("array<struct<start_lba:bigint,block_count:bigint>>")
+    none = F.array().cast(EXTENTS)
     w = (got.withColumn("file_type", filters.file_type_from_name("name"))
          .withColumn("header_footer", F.lit(1.0)).withColumn("structural", F.lit(1.0))
          .withColumn("metadata", scoring.metadata_score(conf)).withColumn("fragmentation", F.lit(1.0))
@@ -320,7 +367,13 @@ def tier1_artifacts(entries: DataFrame, chunks: DataFrame, keys: Sequence[str],
          .withColumn("original_path", F.col("path"))
          .withColumn("limitations", F.when(empty_lost, "Payload unavailable or overwritten")))
     w = assign_ids(w, keys, 1, "entry_id")
-    return _finish(w, keys, entropy_score)
+    done = _finish(w.where("payload IS NOT NULL"), keys, entropy_score)
+    big = w.where("payload IS NULL").drop("content_hash").join(
+        large_content(entries, chunks, keys, max_payload=max_payload), [*keys, "entry_id"])
+    big = (big.withColumn("entropy", scoring.entropy_consistency(F.col("byte_entropy"), F.col("file_type"), F.lit(False)))
+           .withColumn("confidence_score", scoring.composite()).withColumn("content_hash", F.col("large_hash"))
+           .withColumn("recovered_bytes", F.col("large_bytes")).select(*keys, *ARTIFACT_COLUMNS))
+    return done.unionByName(big)
 
 
 def blocking_extents(entries: DataFrame, keys: Sequence[str]) -> DataFrame:

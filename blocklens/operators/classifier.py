@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from blocklens.functions.payload import FEATURE_NAMES
 from blocklens.operators import byte_stats, slices
+from blocklens.session import cut_lineage
 
 # fixed values: claimed type -> class of the model
 CANONICAL = {"jpg": "jpeg", "docx": "zip", "xlsx": "zip", "pptx": "zip", "db": "sqlite"}
@@ -41,6 +42,7 @@ def features_of(objects: DataFrame, ids: Sequence[str], payload: str = "payload"
 def train_file_type(train: DataFrame, label: str = "label", rounds: int = 60, depth: int = 4, rate: float = 0.1, subsample: float = 0.85,
                     seed: int = 42, boosted: bool = True) -> PipelineModel:
     """ML-2: one boosted ensemble per class, or a random forest as the native multi-class form."""
+    train = cut_lineage(train)  # fitting reads the features many times
     index = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc")
     if boosted:
         tree = GBTClassifier(labelCol="label_index", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=rate,

@@ -130,7 +130,7 @@ SELECT w.image_id, w.lba, w.is_ok, w.blocks FROM w JOIN walk k ON k.image_id = w
 UNION ALL SELECT image_id, lba, is_ok, blocks FROM w WHERE NOT is_ok AND NOT EXISTS (SELECT 1 FROM walk k WHERE k.image_id = w.image_id AND w.lba > k.lba AND w.lba < k.z)""")
 def greedy(spark, sf):
     one = overlapping(spark, sf).groupBy("image_id", "lba", "sig_order").agg(F.bool_and("is_ok").alias("is_ok"), F.max("blocks").alias("blocks"))
-    return carve.greedy_select(one, IMG, cut_width=1024).select("image_id", "lba", "is_ok", "blocks")
+    return carve.greedy_select(one, IMG, cut_width=4096).select("image_id", "lba", "is_ok", "blocks")
 
 
 @query("crv07_assign_ids", """SELECT image_id, lba AS start_lba, 2000 + row_number() OVER (PARTITION BY image_id ORDER BY lba) AS artifact_id

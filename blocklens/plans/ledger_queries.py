@@ -134,7 +134,7 @@ def violations(spark, sf):
     WHEN n.ts < w.lts THEN 'time_backwards' END AS reason FROM w JOIN n ON n.evidence_id = w.evidence_id AND n.rn = w.rn + 1) s)
 SELECT evidence_id, event_id, reason, reason IS NULL AS accepted FROM w""")
 def admit(spark, sf):
-    return ledger.custody_admit(shaky(spark, sf), slice_width=8192).select("evidence_id", "event_id", "reason", "accepted")
+    return ledger.custody_admit(shaky(spark, sf)).select("evidence_id", "event_id", "reason", "accepted")
 
 
 @query("cus4_custody_current", f"""WITH {d.CUSTODY} SELECT evidence_id, arg_max(coalesce(to_party, from_party), event_id) FILTER (coalesce(to_party, from_party) IS NOT NULL) AS current_owner,

@@ -149,6 +149,20 @@ def test_tier1_blocks_carving(spark):
     assert 10 not in {r["start_lba"] for r in rows if r["tier"] == 2}
 
 
+def test_large_entries_match_small_path(spark):
+    img = golden.carve_image()
+    chunks = carve.to_chunks(golden.sectors(spark, img), KEYS)
+    loc = "struct<kind:string,resident:binary,extents:array<struct<start_lba:bigint,block_count:bigint>>>"
+    entries = spark.createDataFrame(
+        [("img", 1, "a.db", "/a.db", 130 * 512 + 7, "Confirmed", ("Fragmented", None, [(100, 100), (10, 90)])),
+         ("img", 2, "b.txt", "/b.txt", 69, "Low", ("Contiguous", None, [(10, 1)]))],
+        f"image_id string, entry_id bigint, name string, path string, size_bytes bigint, confidence string, location {loc}")
+    cols = ["artifact_id", "content_hash", "recovered_bytes", "entropy", "confidence_score"]
+    one = {tuple(r) for r in carve.tier1_artifacts(entries, chunks, KEYS).select(*cols).collect()}
+    two = {tuple(r) for r in carve.tier1_artifacts(entries, chunks, KEYS, max_payload=1024).select(*cols).collect()}
+    assert one == two and len(one) == 2
+
+
 def test_signature_json(spark, tmp_path):
     p = tmp_path / "s.json"
     p.write_text('[{"file_type":"a","header":[1,255],"footer":null,"max_size_bytes":10,"validator_id":"a"},'
