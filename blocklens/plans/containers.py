@@ -35,7 +35,6 @@ def pick(variant: Column, intact: Column, short: Column, wrong: Column) -> Colum
     return F.when(variant == 0, intact).when(variant == 1, short).otherwise(wrong)
 
 
-PNG_HEAD = "89504E470D0A1A0A0000000D49484452000000010000000108020000007B1E8D0A"
 PNG_END = "0000000049454E44AE426082"
 
 

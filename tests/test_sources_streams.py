@@ -103,11 +103,12 @@ def test_audit_streams_over_triggers(spark, tmp_path):
 
 
 def test_late_reading_is_dropped(spark, tmp_path):
+    # lateness is judged by the watermark of the trigger before, so one more trigger lies between
     cols = ("device_id bigint, ts timestamp_ntz, kind string, critical_warnings int, spare_percent int, percentage_used int, media_errors int, "
             "temperature int, uncorrectable int, pending int, reallocated int")
     make = lambda t, temp: spark.sql(f"SELECT 1L device_id, TIMESTAMP_NTZ'{t}' ts, 'hdd' kind, 0 critical_warnings, 100 spare_percent, 0 percentage_used, "
                                      f"0 media_errors, {temp} temperature, 0 uncorrectable, 0 pending, 0 reallocated")
-    for t, temp in [("2026-01-01 00:10:00", 60), ("2026-01-01 05:00:00", 30), ("2026-01-01 00:20:00", 30)]:
+    for t, temp in [("2026-01-01 00:10:00", 60), ("2026-01-01 05:00:00", 30), ("2026-01-01 05:30:00", 30), ("2026-01-01 00:20:00", 30)]:
         make(t, temp).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         time.sleep(1.1)
     feed = vault.stream_ledger(spark, str(tmp_path / "in"), cols, files_per_trigger=1)
