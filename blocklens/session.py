@@ -12,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # payload rows are wide: bound an Arrow batch by bytes as well as by rows
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
@@ -32,24 +34,28 @@ def build_session(master: str, app: str = "blocklens", shuffle_partitions: int =
     return spark
 
 
+_OWN_ROOT: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only on a local master."""
+    """The shared folder the cluster names; a temporary one only on a single-machine master that names none."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    made = tempfile.mkdtemp(prefix="spark-blocklens-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_ROOT:
+        _OWN_ROOT[app] = tempfile.mkdtemp(prefix="spark-blocklens-")
+    return _OWN_ROOT[app]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder, so a lost executor costs a re-read."""
     spark = df.sparkSession
-    root = checkpoint_root(spark)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
     return df.checkpoint(eager=True)
 
 
