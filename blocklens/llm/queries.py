@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["quality"]
+MODULES = ["quality", "exact", "mixing", "licenses", "bpe", "simhash", "language"]
 
 
 def load_all():
