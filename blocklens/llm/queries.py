@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["quality", "exact", "mixing", "licenses", "bpe", "simhash", "language", "substrings"]
+MODULES = ["quality", "exact", "mixing", "licenses", "bpe", "simhash", "language", "substrings", "lines"]
 
 
 def load_all():
