@@ -25,8 +25,8 @@ from blocklens.llm.common import query, table
 
 #: labelled rows that weights are fitted to, at most; pages come in the order of a hash of their ids
 LABELLED_ROWS = 1000
-#: bound of a weight, in plain words
-MOST = 1.5
+#: bound of a weight, in plain words; words of boilerplate containers are left out anyway and only part what lies on either side
+MOST, MOST_BOILER = 1.5, 0.3
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>?""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
@@ -196,7 +196,7 @@ def weights_from(total: Counter) -> dict[str, float]:
     outside = sum(v for (_, i), v in total.items() if not i) + 0.5 * len(kinds)
     raw = {k: math.log((total[k, True] + 0.5) / inside) - math.log((total[k, False] + 0.5) / outside) for k in kinds}
     plain = max(0.1, raw["plain"])
-    return {k: 1.0 if k == "plain" else max(-MOST, min(-0.05, v / plain)) for k, v in raw.items()}
+    return {k: 1.0 if k == "plain" else max(-MOST_BOILER if k == "boiler" else -MOST, min(-0.05, v / plain)) for k, v in raw.items()}
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
