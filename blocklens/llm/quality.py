@@ -122,9 +122,11 @@ def judge(measured: DataFrame, fences: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """Documents that pass, with their own columns: the pipeline's stage. The fences are found in one pass, applied in a second."""
-    fences = thresholds(measure(docs.select("text", "lang", "source")))
+    fences = thresholds(cut_lineage(measure(docs.select("text", "lang", "source")).drop("text")))
     sized = measure(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("kept_row"), docs["text"], docs["lang"], docs["source"]))
-    return judge(sized, fences).filter("kept").select(*[F.col(f"kept_row.`{c}`").alias(c) for c in docs.columns])
+    # the row number keeps the optimiser from unfolding every measure into the filter, where it would be computed again and again
+    numbered = sized.withColumn("row_no", F.monotonically_increasing_id())
+    return judge(numbered, fences).filter("kept and row_no >= 0").select(*[F.col(f"kept_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
