@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
+from pyspark.sql.window import Window
 
 from blocklens.functions import native_packs, packs, scoring
 from blocklens.functions import payload as kern
@@ -23,8 +24,9 @@ from blocklens.session import cut_lineage
 BLOCK = 512
 CHUNK_BLOCKS = 128
 FIRST_WINDOW, WIDE_WINDOW = 2048, 16384
+# windows grow by this factor while a candidate still ends early, up to WIDEST blocks (a window is one row)
+WIDENING, WIDEST = 8, 1 << 18
 FOLD_SLICE = 1 << 16
-SIG_LIMIT = 256
 
 # fixed values: gaps tried first, fragment sizes tried, id bases of the three tiers
 LIKELY_GAPS = [8, 16, 32, 4, 64, 24, 40, 128, 256, 512, 1024, 2048]
@@ -38,36 +40,44 @@ PREFIX_FINAL = ["png", "jpeg", "mp4"]
 def match_headers(blocks: DataFrame, signatures: DataFrame, head: str = "head") -> DataFrame:
     """JN-1: blocks whose bytes at the signature's offset equal its header.
 
-    The signature table is a small configuration and is counted first. Up to ``SIG_LIMIT``
-    rows a compiled predicate drops the blocks that match nothing, and the few survivors
-    meet the broadcast table. Beyond that the join is an equi-join on the sliced bytes, one
-    slice per distinct (offset, length) of the table.
+    Signatures of equal (offset, length) are looked up together: a compiled set test per such shape drops the blocks
+    that match nothing, and the few survivors meet the table in an equi-join on the sliced bytes, one slice per shape. The
+    signature table is configuration; any number of rows and shapes takes the same plan.
     """
-    sigs = signatures.select("header_offset", "header").limit(SIG_LIMIT + 1).collect()
-    if len(sigs) <= SIG_LIMIT:
-        any_hit = F.lit(False)
-        for s in sigs:
-            any_hit = any_hit | (F.substring(head, s["header_offset"] + 1, len(s["header"])) == F.lit(bytes(s["header"])))
-        cond = F.substring(F.col(head), F.col("header_offset") + 1, F.octet_length("header")) == F.col("header")
-        return blocks.where(any_hit).join(F.broadcast(signatures), cond)
-    shapes = signatures.select("header_offset", F.octet_length("header").alias("_len")).distinct()
-    kinds = [(r["header_offset"], r["_len"]) for r in shapes.limit(256 + 1).collect()]
-    if len(kinds) > 256:
-        raise ValueError("more than 256 header shapes in one signature table")
-    probe = F.explode(F.array(*[F.struct(F.lit(o).alias("_o"), F.lit(n).alias("_n"),
-                                         F.substring(head, o + 1, n).alias("_k")) for o, n in kinds]))
-    return (blocks.withColumn("_probe", probe).select("*", "_probe.*").drop("_probe")
+    shapes: dict[tuple[int, int], list[bytes]] = {}
+    for s in signatures.select("header_offset", "header").distinct().collect():
+        shapes.setdefault((s["header_offset"], len(s["header"])), []).append(bytes(s["header"]))
+    any_hit, kinds = F.lit(False), sorted(shapes)
+    for o, n in kinds:
+        any_hit = any_hit | F.substring(head, o + 1, n).isin(shapes[o, n])
+    probe = F.explode(F.array(*[F.struct(F.lit(o).alias("_o"), F.lit(n).alias("_n"), F.substring(head, o + 1, n).alias("_k")) for o, n in kinds])
+                      if kinds else F.array().cast("array<struct<_o:int,_n:int,_k:binary>>"))
+    return (blocks.where(any_hit).withColumn("_probe", probe).select("*", "_probe.*").drop("_probe")
             .join(signatures, (F.col("_o") == F.col("header_offset")) & (F.col("_n") == F.octet_length("header"))
                   & (F.col("_k") == F.col("header"))).drop("_o", "_n", "_k"))
 
 
+def head_reach(signatures: DataFrame, block_size: int = BLOCK) -> int:
+    """Bytes of a block that some signature looks at; a header never reaches past its block."""
+    reach = signatures.agg(F.max(F.col("header_offset") + F.octet_length("header"))).first()[0]
+    return min(int(reach or 1), block_size)
+
+
 def to_chunks(sectors: DataFrame, keys: Sequence[str], chunk_blocks: int = CHUNK_BLOCKS) -> DataFrame:
-    """Group a dense sector table to chunks of at most ``chunk_blocks`` rows each."""
+    """Group a sector table to chunks of at most ``chunk_blocks`` rows each; absent sectors end a chunk's row."""
     no = slices.idiv(F.col("lba"), chunk_blocks).alias("chunk_no")
-    return (sectors.groupBy(*keys, no).agg(
+    placed = sectors.select("*", no)
+    run = F.col("lba") - F.row_number().over(Window.partitionBy(*keys, "chunk_no").orderBy("lba"))
+    return (placed.withColumn("_run", run).groupBy(*keys, "chunk_no", "_run").agg(
         F.min("lba").alias("start_lba"), F.count(F.lit(1)).alias("n"),
         F.array_sort(F.collect_list(F.struct("lba", "payload"))).alias("_parts"))
-        .withColumn("payload", _glue(F.transform("_parts", lambda x: x["payload"]))).drop("_parts"))
+        .withColumn("payload", _glue(F.transform("_parts", lambda x: x["payload"]))).drop("_parts", "_run"))
+
+
+def by_place(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Chunk rows under the numbers ``lba div CHUNK_BLOCKS`` they cover, whatever size they were read in."""
+    cover = F.sequence(slices.idiv(F.col("start_lba"), CHUNK_BLOCKS), slices.idiv(F.col("start_lba") + F.col("n") - 1, CHUNK_BLOCKS))
+    return chunks.where("n > 0").select(*keys, F.explode(cover).alias("chunk_no"), "start_lba", "n", "payload")
 
 
 def _glue(parts: Column) -> Column:
@@ -97,25 +107,27 @@ def candidates(blocks: DataFrame, signatures: DataFrame, keys: Sequence[str], al
 
 
 def candidate_windows(cands: DataFrame, chunks: DataFrame, keys: Sequence[str], blocks: str = "window_blocks",
-                      chunk_blocks: int = CHUNK_BLOCKS, block_size: int = BLOCK, carry: Sequence[str] = ()) -> DataFrame:
-    """JN-5: the bytes of ``[lba, lba + window_blocks)`` per candidate.
+                      block_size: int = BLOCK, carry: Sequence[str] = ()) -> DataFrame:
+    """JN-5: the bytes of ``[lba, lba + window_blocks)`` per candidate; none if a block of it is absent.
 
-    An equi-join on (keys, chunk_no); a candidate touches at most
-    ``window_blocks / chunk_blocks + 1`` chunks, which bounds the ordered collect.
+    An equi-join on (keys, place); a candidate touches at most ``window_blocks / CHUNK_BLOCKS + 1`` places, which bounds
+    the ordered collect.
     """
     ids = list(dict.fromkeys([*keys, "lba", "sig_order", blocks, *carry]))
-    first = slices.idiv(F.col("lba"), chunk_blocks)
-    last = slices.idiv(F.col("lba") + F.col(blocks) - 1, chunk_blocks)
+    first = slices.idiv(F.col("lba"), CHUNK_BLOCKS)
+    last = slices.idiv(F.col("lba") + F.col(blocks) - 1, CHUNK_BLOCKS)
     pieces = (cands.select(*ids).where(F.col(blocks) > 0)
               .withColumn("chunk_no", F.explode(F.sequence(first, last))))
-    j = pieces.join(chunks.select(*keys, "chunk_no", "start_lba", "n", "payload"), [*keys, "chunk_no"])
-    lo = F.greatest("lba", "start_lba")
-    hi = F.least(F.col("lba") + F.col(blocks), F.col("start_lba") + F.col("n"))
+    j = pieces.join(by_place(chunks, keys), [*keys, "chunk_no"])
+    at = F.col("chunk_no") * CHUNK_BLOCKS
+    lo = F.greatest(F.col("lba"), F.col("start_lba"), at)
+    hi = F.least(F.col("lba") + F.col(blocks), F.col("start_lba") + F.col("n"), at + CHUNK_BLOCKS)
     part = F.substring(F.col("payload"), ((lo - F.col("start_lba")) * block_size + 1).cast("int"),
                        ((hi - lo) * block_size).cast("int"))
     return (j.where(hi > lo).groupBy(*ids)
-            .agg(F.array_sort(F.collect_list(F.struct(F.col("chunk_no"), part.alias("part")))).alias("_parts"))
-            .withColumn("payload", _glue(F.transform("_parts", lambda x: x["part"]))).drop("_parts"))
+            .agg(F.sum(hi - lo).alias("_read"), F.array_sort(F.collect_list(F.struct(lo.alias("at"), part.alias("part")))).alias("_parts"))
+            .where(F.col("_read") == F.col(blocks))
+            .withColumn("payload", _glue(F.transform("_parts", lambda x: x["part"]))).drop("_parts", "_read"))
 
 
 def windowed(cands: DataFrame, totals: DataFrame, keys: Sequence[str], max_blocks: int, block_size: int = BLOCK) -> DataFrame:
@@ -159,20 +171,25 @@ CARRY = ["file_type", "validator_id", "max_size_bytes", "limit_blocks"]
 
 
 def judged(cands: DataFrame, chunks: DataFrame, totals: DataFrame, keys: Sequence[str], first_window: int = FIRST_WINDOW,
-           wide_window: int = WIDE_WINDOW, **registry) -> DataFrame:
+           wide_window: int = WIDE_WINDOW, widest: int = WIDEST, **registry) -> DataFrame:
     """CRV-2 plus CRV-3: small rows ``(keys, lba, sig_order, file_type, verdict, length, ...)``.
 
-    Candidates still at EOF in the first window run once more in the wide one, when the
-    format allows more; that verdict is adopted if OK or EOF.
+    Candidates still at EOF in the first window run again in a wider one, when the format allows more, and again in windows
+    ``WIDENING`` times as wide until none is left or ``widest`` is reached; a wider verdict is adopted if OK or EOF.
     """
     sized = windowed(cands, totals, keys, first_window)
-    first = cut_lineage(validate_candidates(candidate_windows(sized, chunks, keys, carry=CARRY), **registry).drop("payload"))
-    again = expand_window(first, chunks, keys, wide_window, **registry)
-    on = [*keys, "lba", "sig_order"]
-    j = first.join(again, on, "left")
-    use = F.col("wide_verdict").isin("OK", "EOF")
-    picks = [F.when(use, F.col(f"wide_{c}")).otherwise(F.col(c)).alias(c) for c in ("verdict", "length", "reason", "window_bytes")]
-    return j.select(*on, *CARRY, *picks)
+    now = cut_lineage(validate_candidates(candidate_windows(sized, chunks, keys, carry=CARRY), **registry).drop("payload"))
+    on, window = [*keys, "lba", "sig_order"], wide_window
+    while True:
+        again = expand_window(now, chunks, keys, window, **registry)
+        j = now.join(again, on, "left")
+        use = F.col("wide_verdict").isin("OK", "EOF")
+        picks = [F.when(use, F.col(f"wide_{c}")).otherwise(F.col(c)).alias(c) for c in ("verdict", "length", "reason", "window_bytes")]
+        wider = F.when(F.col("wide_verdict").isNotNull(), F.least("limit_blocks", F.lit(window)).cast("bigint")).otherwise(F.col("window_blocks"))
+        now = cut_lineage(j.select(*on, *CARRY, wider.alias("window_blocks"), *picks))
+        if window >= widest or now.where(f"verdict = 'EOF' AND limit_blocks > window_blocks AND window_blocks >= {window}").isEmpty():
+            return now.drop("window_blocks")
+        window = min(window * WIDENING, widest)
 
 
 def expand_window(validated: DataFrame, chunks: DataFrame, keys: Sequence[str], wide_window: int = WIDE_WINDOW, **registry) -> DataFrame:
@@ -290,37 +307,44 @@ def _mapped_bytes(block_size: int) -> Column:
 EXTENTS = "array<struct<start_lba:bigint,block_count:bigint>>"
 
 
-def extent_pieces(entries: DataFrame, chunks: DataFrame, keys: Sequence[str], block_size: int = BLOCK,
-                  chunk_blocks: int = CHUNK_BLOCKS) -> DataFrame:
-    """JN-6 in pieces: ``(keys, entry_id, extent_no, chunk_no, part)``, any file size, not cut to size."""
+def extent_pieces(entries: DataFrame, chunks: DataFrame, keys: Sequence[str], block_size: int = BLOCK) -> DataFrame:
+    """JN-6 in pieces: ``(keys, entry_id, extent_no, chunk_no, blocks, part)``, any file size, not cut to size; ``chunk_no`` orders them."""
     ext = (entries.select(*keys, "entry_id", F.posexplode("location.extents").alias("extent_no", "_x"))
            .select(*keys, "entry_id", "extent_no", F.col("_x.start_lba").alias("_s"), F.col("_x.block_count").alias("_c"))
            .where("_c > 0")
-           .withColumn("chunk_no", F.explode(F.sequence(slices.idiv(F.col("_s"), chunk_blocks),
-                                                        slices.idiv(F.col("_s") + F.col("_c") - 1, chunk_blocks)))))
-    j = ext.join(chunks.select(*keys, "chunk_no", "start_lba", "n", "payload"), [*keys, "chunk_no"])
-    lo, hi = F.greatest("_s", "start_lba"), F.least(F.col("_s") + F.col("_c"), F.col("start_lba") + F.col("n"))
+           .withColumn("chunk_no", F.explode(F.sequence(slices.idiv(F.col("_s"), CHUNK_BLOCKS),
+                                                        slices.idiv(F.col("_s") + F.col("_c") - 1, CHUNK_BLOCKS)))))
+    j = ext.join(by_place(chunks, keys), [*keys, "chunk_no"])
+    at = F.col("chunk_no") * CHUNK_BLOCKS
+    lo = F.greatest(F.col("_s"), F.col("start_lba"), at)
+    hi = F.least(F.col("_s") + F.col("_c"), F.col("start_lba") + F.col("n"), at + CHUNK_BLOCKS)
     part = F.substring(F.col("payload"), ((lo - F.col("start_lba")) * block_size + 1).cast("int"), ((hi - lo) * block_size).cast("int"))
-    return j.where(hi > lo).select(*keys, "entry_id", "extent_no", "chunk_no", part.alias("part"))
+    return j.where(hi > lo).select(*keys, "entry_id", "extent_no", lo.alias("chunk_no"), (hi - lo).alias("blocks"), part.alias("part"))
+
+
+def _mapped_blocks() -> Column:
+    """Blocks an entry's extents name."""
+    return F.aggregate(F.coalesce("location.extents", F.array().cast(EXTENTS)), F.lit(0).cast("bigint"), lambda a, x: a + F.greatest(x["block_count"], F.lit(0)))
 
 
 def extent_payload(entries: DataFrame, chunks: DataFrame, keys: Sequence[str], block_size: int = BLOCK,
-                   chunk_blocks: int = CHUNK_BLOCKS, max_payload: int = MAX_PAYLOAD) -> DataFrame:
-    """JN-6: bytes of each entry: resident as is, else extents in order, cut to ``size_bytes``.
+                   max_payload: int = MAX_PAYLOAD) -> DataFrame:
+    """JN-6: bytes of each entry: resident as is, else extents in order, cut to ``size_bytes``; empty if a block is absent.
 
     ``entries`` has ``entry_id``, ``size_bytes`` and ``location<kind, resident, extents>``.
     Entries above ``max_payload`` do not fit a row: their payload is null and
     ``large_content`` describes them from their pieces.
     """
     fits = _mapped_bytes(block_size) <= max_payload
-    read = (extent_pieces(entries.where(fits), chunks, keys, block_size, chunk_blocks).groupBy(*keys, "entry_id")
-            .agg(F.array_sort(F.collect_list(F.struct("extent_no", "chunk_no", "part"))).alias("_parts"))
-            .select(*keys, "entry_id", _glue(F.transform("_parts", lambda x: x["part"])).alias("_read")))
-    whole = F.coalesce("_read", F.lit(b""))
+    read = (extent_pieces(entries.where(fits), chunks, keys, block_size).groupBy(*keys, "entry_id")
+            .agg(F.sum("blocks").alias("_blocks"), F.array_sort(F.collect_list(F.struct("extent_no", "chunk_no", "part"))).alias("_parts"))
+            .select(*keys, "entry_id", "_blocks", _glue(F.transform("_parts", lambda x: x["part"])).alias("_read")))
+    whole = F.when(F.col("_blocks") == _mapped_blocks(), F.col("_read")).otherwise(F.lit(b""))
     cut = F.when(F.col("size_bytes").isNull(), whole).otherwise(
         F.substring(whole, F.lit(1), F.least(F.col("size_bytes"), F.octet_length(whole)).cast("int")))
+    resident = F.coalesce("location.resident", F.lit(b""))
     return (entries.join(read, [*keys, "entry_id"], "left")
-            .withColumn("payload", F.when(F.col("location.kind") == "Resident", F.col("location.resident")).when(fits, cut)).drop("_read"))
+            .withColumn("payload", F.when(F.col("location.kind") == "Resident", resident).when(fits, cut)).drop("_read", "_blocks"))
 
 
 def large_content(entries: DataFrame, chunks: DataFrame, keys: Sequence[str], block_size: int = BLOCK,
@@ -332,7 +356,10 @@ def large_content(entries: DataFrame, chunks: DataFrame, keys: Sequence[str], bl
     """
     ids = [*keys, "entry_id"]
     large = entries.where((F.col("location.kind") != "Resident") & (_mapped_bytes(block_size) > max_payload))
-    pieces = extent_pieces(large, chunks, keys, block_size).withColumn("_order", F.col("extent_no") * F.lit(1 << 40) + F.col("chunk_no"))
+    every = extent_pieces(large, chunks, keys, block_size)
+    whole = (every.groupBy(*ids).agg(F.sum("blocks").alias("_blocks")).join(large.select(*ids, _mapped_blocks().alias("_mapped")), ids)
+             .where("_blocks = _mapped").select(*ids))
+    pieces = every.join(whole, ids, "left_semi").withColumn("_order", F.col("extent_no") * F.lit(1 << 40) + F.col("chunk_no"))
     lens = slices.running_total(pieces.select(*ids, "_order", F.octet_length("part").cast("bigint").alias("_len")), ids, ["_order"],
                                 slices.by_width("_order", FOLD_SLICE), F.col("_len"), "_at", inclusive=False)
     cut = (pieces.join(lens, [*ids, "_order"]).join(large.select(*ids, "size_bytes"), ids)
@@ -369,10 +396,14 @@ def tier1_artifacts(entries: DataFrame, chunks: DataFrame, keys: Sequence[str],
     w = assign_ids(w, keys, 1, "entry_id")
     done = _finish(w.where("payload IS NOT NULL"), keys, entropy_score)
     big = w.where("payload IS NULL").drop("content_hash").join(
-        large_content(entries, chunks, keys, max_payload=max_payload), [*keys, "entry_id"])
-    big = (big.withColumn("entropy", scoring.entropy_consistency(F.col("byte_entropy"), F.col("file_type"), F.lit(False)))
-           .withColumn("confidence_score", scoring.composite()).withColumn("content_hash", F.col("large_hash"))
-           .withColumn("recovered_bytes", F.col("large_bytes")).select(*keys, *ARTIFACT_COLUMNS))
+        large_content(entries, chunks, keys, max_payload=max_payload), [*keys, "entry_id"], "left")
+    # an entry of which blocks are absent is kept, with empty content
+    lost = F.col("large_hash").isNull()
+    big = (big.withColumn("entropy", scoring.entropy_consistency(F.col("byte_entropy"), F.col("file_type"), lost))
+           .withColumn("limitations", F.when(lost, "Payload unavailable or overwritten"))
+           .withColumn("payload", F.when(lost, F.lit(b"")))
+           .withColumn("confidence_score", scoring.composite()).withColumn("content_hash", F.coalesce("large_hash", F.sha2("payload", 256)))
+           .withColumn("recovered_bytes", F.coalesce("large_bytes", F.lit(0).cast("bigint"))).select(*keys, *ARTIFACT_COLUMNS))
     return done.unionByName(big)
 
 
@@ -389,10 +420,6 @@ def gap_plan(radius: int = DEFAULT_RADIUS) -> list[int]:
     return first + [g for g in range(1, radius + 1) if g not in set(first)]
 
 
-def gap_table(spark: SparkSession, radius: int = DEFAULT_RADIUS) -> DataFrame:
-    return spark.createDataFrame([(i, g) for i, g in enumerate(gap_plan(radius))], "gap_rank int, gap bigint")
-
-
 def fragment_candidates(headers: DataFrame, totals: DataFrame, allocated: DataFrame, keys: Sequence[str], radius: int,
                         max_expected: int = MAX_EXPECTED) -> DataFrame:
     """CRV-9: every (size, split, gap) of a header whose two fragments are free and on the medium.
@@ -557,7 +584,7 @@ def tier3_artifacts(found: DataFrame, chunks: DataFrame, keys: Sequence[str], ra
                     block_size: int = BLOCK) -> DataFrame:
     """Rows for reassembled objects; both fragments are read again by position."""
     entries = found.select(*keys, "lba", "sig_order", "file_type", "gap", "length", "split", "frag2_lba", "frag2_blocks",
-                           (F.col("lba") * 64 + F.col("sig_order")).alias("entry_id"), F.col("length").alias("size_bytes"),
+                           F.struct("lba", "sig_order").alias("entry_id"), F.col("length").alias("size_bytes"),
                            F.struct(F.lit("Fragmented").alias("kind"), F.lit(None).cast("binary").alias("resident"),
                                     F.array(_extent(F.col("lba"), F.col("split")), _extent(F.col("frag2_lba"), F.col("frag2_blocks")))
                                     .alias("extents")).alias("location"))
@@ -581,13 +608,14 @@ def supersede_partials(earlier: DataFrame, tier3: DataFrame, keys: Sequence[str]
 
 def recover_image(chunks: DataFrame, signatures: DataFrame, keys: Sequence[str] = ("image_id",), entries: DataFrame | None = None,
                   tiers: Sequence[int] = (1, 2, 3), types: Sequence[str] | None = None, radius: int = DEFAULT_RADIUS,
-                  entropy_score=None, head_bytes: int = 64) -> DataFrame:
+                  entropy_score=None, head_bytes: int | None = None, max_expected: int = MAX_EXPECTED, widest: int = WIDEST) -> DataFrame:
     """CRV-12: tiers 1, 2, 3 in order; extents claimed by one tier are closed to the next.
 
     ``entries`` are the decoded directory entries of the wanted partition (offset applied
     upstream), with ``confidence``.
     """
     keys = list(keys)
+    head_bytes = head_reach(signatures) if head_bytes is None else head_bytes
     totals = cut_lineage(total_blocks(chunks, keys))
     empty = totals.select(*keys, F.lit(0).cast("bigint").alias("start_lba"), F.lit(0).cast("bigint").alias("block_count")).limit(0)
     claims, out = empty, None
@@ -598,13 +626,13 @@ def recover_image(chunks: DataFrame, signatures: DataFrame, keys: Sequence[str]
     if 2 in tiers or 3 in tiers:
         hits = cut_lineage(candidates(block_heads(chunks, keys, head_bytes), signatures, keys, claims, types))
     if 2 in tiers:
-        chosen = cut_lineage(greedy_select(sized_results(judged(hits, chunks, totals, keys)), keys))
+        chosen = cut_lineage(greedy_select(sized_results(judged(hits, chunks, totals, keys, widest=widest)), keys))
         two = tier2_artifacts(chosen, chunks, signatures, keys, entropy_score)
         out = two if out is None else out.unionByName(two)
         claims = claims.unionByName(chosen.where("is_ok").select(*keys, F.col("lba").alias("start_lba"), F.col("blocks").alias("block_count")))
     if 3 in tiers:
         left = ranges.points_in_ranges(hits, claims, keys, "left_anti")
-        found = reassemble_first(left, chunks, totals, claims, keys, radius)
+        found = reassemble_first(left, chunks, totals, claims, keys, radius, max_expected=max_expected)
         three = tier3_artifacts(found, chunks, keys, radius, entropy_score)
         out = three if out is None else supersede_partials(out, three, keys).unionByName(three)
     return out

@@ -92,17 +92,29 @@ def deleted_extents(entries: DataFrame, fat: DataFrame, volumes: DataFrame, keys
     need = F.greatest(F.ceil(F.col("size") / F.col("cluster_bytes")), F.lit(1))
     last = F.least(F.col("start_cluster") + need - 1, F.col("total_clusters") + 1)
     runs = (e.where("NOT _linked").where(last >= F.col("start_cluster"))
-            .select(*keys, "entry_id", F.posexplode(F.sequence("start_cluster", last)).alias("pos", "cluster"))
-            .withColumn("pos", F.col("pos").cast("bigint")))
+            .select(*keys, "entry_id", "start_cluster", last.alias("_last"))
+            # in pieces, so that no row holds all clusters of a large file
+            .withColumn("_from", F.explode(F.sequence("start_cluster", "_last", F.lit(4096).cast("bigint"))))
+            .withColumn("cluster", F.explode(F.sequence("_from", F.least(F.col("_from") + 4095, F.col("_last")))))
+            .select(*keys, "entry_id", (F.col("cluster") - F.col("start_cluster")).alias("pos"), "cluster"))
     every = chains.unionByName(runs)
     free = fat.where("next = 0").select(*keys, "cluster").withColumn("_free", F.lit(True))
     return every.join(free, [*keys, "cluster"], "left").withColumn("is_free", F.coalesce("_free", F.lit(False))).drop("_free")
 
 
-def deleted_confidence(clusters: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return clusters.groupBy(*keys, "entry_id").agg(
+def deleted_confidence(clusters: DataFrame, keys: Sequence[str], entries: DataFrame | None = None) -> DataFrame:
+    """Clusters and confidence per entry; with ``entries`` also of those without a cluster.
+
+    An entry without clusters (start below 2, or past the volume) is Confirmed if it is empty, else Low.
+    """
+    found = clusters.groupBy(*keys, "entry_id").agg(
         F.count(F.lit(1)).alias("clusters"),
         F.when(F.bool_and("is_free"), "Confirmed").otherwise("Partial").alias("confidence"))
+    if entries is None:
+        return found
+    none = F.when(F.col("size") == 0, "Confirmed").otherwise("Low")
+    return (entries.select(*keys, "entry_id", "size").join(found, [*keys, "entry_id"], "left")
+            .select(*keys, "entry_id", F.coalesce("clusters", F.lit(0).cast("bigint")).alias("clusters"), F.coalesce("confidence", none).alias("confidence")))
 
 
 def free_runs(bitmap: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -90,6 +90,16 @@ def stripes(members: DataFrame, geometry: DataFrame) -> DataFrame:
         F.max(F.when(F.col("role") == "Q", F.col("payload"))).alias("q"))
 
 
+def grid(geometry: DataFrame) -> DataFrame:
+    """Every (array, member lba) that the geometry addresses, in runs of 4096 blocks."""
+    usable = (F.floor(F.greatest(F.col("capacity") - F.col("data_offset"), F.lit(0)) / F.col("chunk")) * F.col("chunk")).cast("bigint")
+    runs = (geometry.select("array_id", *G, usable.alias("_u")).where("_u > 0")
+            .withColumn("_r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_u") - 1) / 4096)))))
+    at = F.explode(F.sequence(F.col("_r") * 4096, F.least((F.col("_r") + 1) * 4096, F.col("_u")) - 1))
+    return (runs.withColumn("_at", at).withColumn("lba", F.col("_at") + F.col("data_offset"))
+            .withColumn("stripe_row", F.floor(F.col("_at") / F.col("chunk")).cast("bigint")).drop("_u", "_r", "_at"))
+
+
 def _columns(data) -> dict[int, np.ndarray]:
     pairs = [(x["data_col"], x["payload"]) if isinstance(x, dict) else (x[0], x[1]) for x in data]
     return {int(c): np.frombuffer(b, dtype=np.uint8) for c, b in pairs}
@@ -103,9 +113,12 @@ def rebuild(members: DataFrame, geometry: DataFrame) -> DataFrame:
     """RAID-4 and RAID-5: absent data blocks of every stripe, or ``recoverable = false``.
 
     Level 5 and one gap: XOR. Level 6: by P, by Q, or two data blocks by P and Q.
-    Level 0, or more gaps than parity: not recoverable.
+    Level 0, or more gaps than parity: not recoverable. Stripes of which no member holds anything come from the
+    geometry, so they are reported too.
     """
-    s = stripes(members, geometry).withColumn("d", data_disks().cast("int"))
+    held = stripes(members, geometry).select("array_id", "lba", "data", "p", "q")
+    s = grid(geometry).join(held, ["array_id", "lba"], "left").withColumn("d", data_disks().cast("int"))
+    s = s.withColumn("data", F.coalesce("data", F.array().cast("array<struct<data_col:int,payload:binary>>")))
     s = s.where(F.size("data") < F.col("d"))
 
     @F.pandas_udf("array<struct<data_col:int,payload:binary>>")

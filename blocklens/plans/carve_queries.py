@@ -50,12 +50,12 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_candidates(spark: SparkSession, sf: str, media: DataFrame) -> DataFrame:
-    return carve.candidates(carve.block_heads(media, IMG, 64), sig_table(spark), IMG)
+    return carve.candidates(carve.block_heads(media, IMG), sig_table(spark), IMG)
 
 
 @query("jn01_match_headers", f"WITH {LAYOUT} SELECT image_id, lba, 'html' AS file_type FROM lay WHERE starts_with(html, '<!DOCTYPE html>')")
 def match_headers(spark, sf):
-    heads = sectors(spark, sf).select("image_id", "lba", F.substring("payload", 1, 64).alias("head"))
+    heads = sectors(spark, sf).select("image_id", "lba", F.col("payload").alias("head"))
     return carve.match_headers(heads, sig_table(spark)).select("image_id", "lba", "file_type")
 
 
@@ -64,7 +64,7 @@ def match_headers(spark, sf):
 def candidates(spark, sf):
     lay = layout(spark, sf)
     taken = lay.where("page_id % 5 = 2").select("image_id", F.col("lba").alias("start_lba"), F.col("blocks").alias("block_count"))
-    heads = sectors(spark, sf).select("image_id", "lba", F.substring("payload", 1, 64).alias("head"))
+    heads = sectors(spark, sf).select("image_id", "lba", F.col("payload").alias("head"))
     return carve.candidates(heads, sig_table(spark), IMG, taken, ["HTML", "png"]).select("image_id", "lba", "file_type")
 
 
@@ -190,7 +190,7 @@ def prefix_reject(spark, sf):
     t = t.withColumn("payload", F.when(F.col("image_id") % 3 == 0, wrong).otherwise(F.col("payload")))
     m = cut_lineage(ct.media_of(t, lead=0, tail=2))
     sig = signatures.signature_rows(spark)
-    hits = carve.candidates(carve.block_heads(m, IMG, 64), sig, IMG, types=["png"])
+    hits = carve.candidates(carve.block_heads(m, IMG), sig, IMG, types=["png"])
     none = hits.select("image_id", F.lit(0).cast("bigint").alias("start_lba"), F.lit(0).cast("bigint").alias("block_count"))
     f = carve.fragment_candidates(hits, carve.total_blocks(m, IMG), none, IMG, 4, max_expected=4)
     return carve.prefix_reject(f, m, IMG).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
@@ -200,7 +200,7 @@ def prefix_reject(spark, sf):
  ({SPLIT_SQL}) * 512 + 12 AS length FROM pages""")
 def reassemble(spark, sf):
     m = cut_lineage(ct.media_of(two_part(spark, sf)))
-    hits = carve.candidates(carve.block_heads(m, IMG, 64), signatures.signature_rows(spark), IMG)
+    hits = carve.candidates(carve.block_heads(m, IMG), signatures.signature_rows(spark), IMG)
     tot = carve.total_blocks(m, IMG)
     none = tot.select("image_id", F.lit(0).cast("bigint").alias("start_lba"), F.lit(0).cast("bigint").alias("block_count"))
     return carve.reassemble_first(hits, m, tot, none, IMG, 64).select("image_id", F.col("lba").cast("int").alias("lba"), "expected", "split", "gap", "length")

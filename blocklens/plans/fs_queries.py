@@ -50,18 +50,24 @@ def follow_chain(spark, sf):
     return fsmeta.follow_chain(fat(spark, sf), starts, 50_000_000_000, VOL).select("file_id", "pos", "cluster", "looped", "out_of_range")
 
 
-@query("fsc4_deleted_extents", f"""WITH RECURSIVE {FAT}, e AS (SELECT s_suppkey AS entry_id, s_suppkey * 100 + 2 AS start, CAST(floor(s_acctbal + 2000) AS BIGINT) AS size FROM supplier),
+@query("fsc4_deleted_extents", f"""WITH RECURSIVE {FAT}, en AS (SELECT s_suppkey AS entry_id, CASE s_suppkey % 10 WHEN 3 THEN 0 WHEN 5 THEN 1 WHEN 7 THEN 60000000000 ELSE s_suppkey * 100 + 2 END AS start,
+  CASE WHEN s_suppkey % 20 IN (3, 5) THEN 0 ELSE CAST(floor(s_acctbal + 2000) AS BIGINT) END AS size FROM supplier),
+ e AS (SELECT * FROM en WHERE start >= 2 AND start < 60000000000),
  l AS (SELECT e.*, coalesce(f.nxt <> 0, false) AS linked FROM e LEFT JOIN fat f ON f.cluster = e.start),
  w(entry_id, cluster, seen) AS (SELECT entry_id, start, [start] FROM l WHERE linked UNION ALL
   SELECT w.entry_id, f.nxt, list_append(w.seen, f.nxt) FROM w JOIN fat f ON f.cluster = w.cluster WHERE f.nxt <> 0 AND f.nxt < 50000000000 AND NOT list_contains(w.seen, f.nxt)),
  a AS (SELECT entry_id, cluster FROM w UNION ALL SELECT entry_id, unnest(range(start, start + greatest((size + 511) // 512, 1))) FROM l WHERE NOT linked)
 SELECT a.entry_id, count(*) AS clusters, CASE WHEN bool_and(coalesce(f.nxt = 0, false)) THEN 'Confirmed' ELSE 'Partial' END AS confidence
-FROM a LEFT JOIN fat f ON f.cluster = a.cluster GROUP BY a.entry_id""")
+FROM a LEFT JOIN fat f ON f.cluster = a.cluster GROUP BY a.entry_id
+UNION ALL SELECT entry_id, 0, CASE WHEN size = 0 THEN 'Confirmed' ELSE 'Low' END FROM en WHERE start < 2 OR start >= 60000000000""")
 def deleted_extents(spark, sf):
-    e = table(spark, sf, "supplier").select(F.lit(1).alias("volume"), F.col("s_suppkey").alias("entry_id"), (F.col("s_suppkey") * 100 + 2).alias("start_cluster"),
-                                            F.floor(F.col("s_acctbal") + 2000).cast("bigint").alias("size"))
+    """Entries that start inside the volume, below cluster 2 and past the end; some are empty."""
+    k = F.col("s_suppkey")
+    start = F.when(k % 10 == 3, 0).when(k % 10 == 5, 1).when(k % 10 == 7, 60_000_000_000).otherwise(k * 100 + 2)
+    size = F.when((k % 20).isin(3, 5), 0).otherwise(F.floor(F.col("s_acctbal") + 2000))
+    e = table(spark, sf, "supplier").select(F.lit(1).alias("volume"), k.alias("entry_id"), start.cast("bigint").alias("start_cluster"), size.cast("bigint").alias("size"))
     vols = e.select("volume").distinct().select("volume", F.lit(512).alias("cluster_bytes"), F.lit(50_000_000_000).alias("total_clusters"))
-    return fsmeta.deleted_confidence(fsmeta.deleted_extents(e, fat(spark, sf), vols, VOL), VOL).select("entry_id", "clusters", "confidence")
+    return fsmeta.deleted_confidence(fsmeta.deleted_extents(e, fat(spark, sf), vols, VOL), VOL, e).select("entry_id", "clusters", "confidence")
 
 
 def extent_entries(spark, sf):

@@ -74,7 +74,8 @@ def xor_rebuild(spark, sf):
     return raid.assemble(left, g).unionByName(got).select("array_id", "array_lba", F.hex("payload").alias("payload_hex"))
 
 
-@query("raid4_unrecoverable", f"WITH {LOGICAL} SELECT array_id, count(*) AS lost FROM lg WHERE level = 0 AND array_lba // 2 % {N} = array_id % {N} GROUP BY 1")
+@query("raid4_unrecoverable", f"""WITH {LOGICAL} SELECT array_id, (96 + array_id) // 2 * 2 * {N} - count(*) FILTER (WHERE array_lba // 2 % {N} <> array_id % {N}) AS lost
+FROM lg WHERE level = 0 GROUP BY array_id""")
 def unrecoverable(spark, sf):
     m, g = members(spark, sf)
     left = m.where(F.col("member_idx") != F.col("array_id") % N)

@@ -23,8 +23,23 @@ def feed(spark: SparkSession, sf: str, name: str = "events") -> DataFrame:
     return vault.stream_ledger(spark, sf, schema, "parquet", pattern=f"{name}.parquet")
 
 
-def replay(stream: DataFrame, mode: str) -> DataFrame:
-    """Run until the input is used up; rows of all triggers, in the shared checkpoint folder."""
+def parted_feed(spark: SparkSession, sf: str, by: str, name: str = "events", files: int = 3) -> DataFrame:
+    """The table in several files, a trigger each, in order of ``by``."""
+    root = f"{checkpoint_root(spark)}/streams/{uuid.uuid4().hex}/in"
+    rows = table(spark, sf, name)
+    at = F.unix_micros(F.col(by).cast("timestamp")) if by == "ts" else F.col(by)
+    cuts = rows.agg(F.percentile_approx(at, [i / files for i in range(1, files)], 1000)).first()[0] or []
+    part = sum((F.when(at > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    for k in range(files):
+        rows.where(part == k).coalesce(1).write.mode("append").parquet(root)
+    return vault.stream_ledger(spark, root, rows.schema, "parquet", files_per_trigger=1)
+
+
+def replay(stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Run until the input is used up; rows of all triggers, in the shared checkpoint folder.
+
+    In update mode a later trigger replaces a key's row: the latest one per ``keys`` is left.
+    """
     spark = stream.sparkSession
     root = f"{checkpoint_root(spark)}/streams/{uuid.uuid4().hex}"
 
@@ -34,13 +49,16 @@ def replay(stream: DataFrame, mode: str) -> DataFrame:
     q = (stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/state")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(stream.schema).option("basePath", f"{root}/out").parquet(f"{root}/out").drop("trigger")
+    rows = spark.read.schema(stream.schema).option("basePath", f"{root}/out").parquet(f"{root}/out")
+    if mode == "update":
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), F.col("trigger").cast("long")).alias("_last")).select("_last.*")
+    return rows.drop("trigger")
 
 
 @query("str1_health_alerts", f"""WITH {d.TELEMETRY}, r AS (SELECT device_id, date_trunc('hour', ts) AS w, CASE {d.HEALTH} WHEN 'Critical' THEN 3 WHEN 'Warning' THEN 2 WHEN 'Good' THEN 1 ELSE 0 END AS r FROM telemetry)
 SELECT device_id, strftime(w, '%Y-%m-%d %H:%M') AS window_start, ['Unknown','Good','Warning','Critical'][max(r) + 1] AS status, count(*) AS readings FROM r GROUP BY device_id, w""")
 def health_alerts(spark, sf):
-    got = replay(jobs.health_alerts(d.telemetry_of(feed(spark, sf))), "update")
+    got = replay(jobs.health_alerts(d.telemetry_of(parted_feed(spark, sf, "ts"))), "update", ("device_id", "window_start"))
     return got.select("device_id", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "status", "readings")
 
 
@@ -76,15 +94,15 @@ def audit_stream(spark, sf):
 @query("str4_progress_stream", f"""WITH p AS (SELECT user_id AS job_id, event_id, event_id * 3 AS current_lba, 20000 AS total_blocks, event_id * 1536 AS bytes_written, {d.K_SQL} % 4 AS bad FROM events)
 SELECT job_id, max(current_lba) AS current_lba, max(bytes_written) AS bytes_written, CAST(sum(bad) AS BIGINT) AS bad_blocks, round(least(max(current_lba) * 100.0::DOUBLE / 20000, 100), 4) AS percent FROM p GROUP BY 1""")
 def progress_stream(spark, sf):
-    p = feed(spark, sf).select(F.col("user_id").alias("job_id"), "event_id", (F.col("event_id") * 3).alias("current_lba"), F.lit(20000).alias("total_blocks"),
+    p = parted_feed(spark, sf, "event_id").select(F.col("user_id").alias("job_id"), "event_id", (F.col("event_id") * 3).alias("current_lba"), F.lit(20000).alias("total_blocks"),
                                (F.col("event_id") * 1536).alias("bytes_written"), (d.k_of() % 4).alias("bad_blocks"))
-    got = replay(jobs.progress_stream(p), "update")
+    got = replay(jobs.progress_stream(p), "update", ("job_id",))
     return got.select("job_id", "current_lba", "bytes_written", "bad_blocks", F.round("percent", 4).alias("percent"))
 
 
 @query("str5_deletion_stream", "SELECT user_id % 4 AS volume, event_id AS usn, user_id AS record_ref FROM events WHERE event_type = 'purchase'")
 def deletion_stream(spark, sf):
-    e = feed(spark, sf)
+    e = parted_feed(spark, sf, "ts")
     twice = fq.journal_of(e).withColumn("_twice", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_twice")
     return replay(jobs.deletion_stream(twice), "append").select("volume", "usn", "record_ref")
 

@@ -1,6 +1,6 @@
 """Raw image source (SRC-1, SRC-2): ``spark.read.format("raw_image")``.
 
-Options: ``paths`` (comma separated), ``block_size`` (512), ``chunk_blocks`` (128),
+Options: ``paths`` (comma separated), ``image_ids`` (as many, comma separated; a path names its image by default), ``block_size`` (512), ``chunk_blocks`` (128),
 ``partition_bytes`` (64 MiB), ``start_lba`` and ``end_lba`` (inclusive, clamped to the
 medium). Every partition reads one byte range of one file; a chunk row holds up to
 ``chunk_blocks`` blocks and the last block of a file is padded with zeros.
@@ -8,7 +8,6 @@ medium). Every partition reads one byte range of one file; a chunk row holds up
 
 from __future__ import annotations
 
-import posixpath
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +21,7 @@ SCHEMA = "image_id string, chunk_no bigint, start_lba bigint, n bigint, payload
 @dataclass
 class ByteRange(InputPartition):
     path: str
+    image: str
     first: int
     last: int  # blocks, exclusive
     total: int
@@ -39,6 +39,9 @@ def open_medium(path: str):
 class ImageReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = [p for p in options["paths"].split(",") if p]
+        self.ids = options["image_ids"].split(",") if options.get("image_ids") else self.paths
+        if len(self.ids) != len(self.paths) or len(set(self.ids)) != len(self.ids):
+            raise ValueError("image_ids must name every path once")
         self.block = int(options.get("block_size", 512))
         self.chunk = int(options.get("chunk_blocks", 128))
         self.part = int(options.get("partition_bytes", 64 << 20))
@@ -48,25 +51,24 @@ class ImageReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
         step = max(self.part // (self.block * self.chunk), 1) * self.chunk
-        for path in self.paths:
+        for path, image in zip(self.paths, self.ids):
             with open_medium(path) as f:
                 total = -(-f.size() // self.block)
             stop = total if self.end is None else min(int(self.end) + 1, total)
             # chunk borders stay multiples of the chunk size whatever the range
             first = self.start // self.chunk * self.chunk
             for at in range(first, stop, step):
-                out.append(ByteRange(path, max(at, self.start), min(at + step, stop), total))
+                out.append(ByteRange(path, image, max(at, self.start), min(at + step, stop), total))
         return out
 
     def read(self, partition: ByteRange) -> Iterator[tuple]:
-        name = posixpath.basename(partition.path)
         with open_medium(partition.path) as f:
             at = partition.first
             while at < partition.last:
                 upto = min((at // self.chunk + 1) * self.chunk, partition.last)
                 f.seek(at * self.block)
                 data = f.read((upto - at) * self.block)
-                yield name, at // self.chunk, at, upto - at, data.ljust((upto - at) * self.block, b"\0")
+                yield partition.image, at // self.chunk, at, upto - at, data.ljust((upto - at) * self.block, b"\0")
                 at = upto
 
 

@@ -101,14 +101,15 @@ def deletion_stream(usn: DataFrame, keys: Sequence[str] = ("volume",), delay: st
 
 
 def carve_stream(chunks: DataFrame, signatures: DataFrame, totals: DataFrame, store: str, checkpoint: str,
-                 keys: Sequence[str] = ("image_id",), window_blocks: int = carve.FIRST_WINDOW, head_bytes: int = 64) -> DataStreamWriter:
+                 keys: Sequence[str] = ("image_id",), window_blocks: int = carve.FIRST_WINDOW, head_bytes: int | None = None) -> DataStreamWriter:
     """STR-6: CRV-1 and CRV-2 on chunks as they land, in block order per image.
 
     Every trigger writes folders named by its batch id (landed chunks, positions of open
     candidates, verdicts), so a repeated batch overwrites its own output. A candidate whose
-    window reaches past the landed blocks stays open until a later chunk completes it.
+    window is not wholly covered by landed blocks stays open until a later chunk completes it.
     """
     keys = list(keys)
+    head_bytes = carve.head_reach(signatures) if head_bytes is None else head_bytes
     on = [*keys, "lba", "sig_order"]
     fields = [*keys, "lba", "sig_order", "file_type", "validator_id", "max_size_bytes", "limit_blocks", "window_blocks"]
 

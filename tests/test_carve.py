@@ -103,7 +103,7 @@ def test_wide_window_adopted(spark):
     big = golden.PNG_MAGIC + golden.IHDR + golden.chunk(b"IDAT", b"\x07" * 9000) + golden.chunk(b"IEND", b"")
     chunks = carve.to_chunks(golden.sectors(spark, golden.place(40, {3: big})), KEYS, 8)
     totals = carve.total_blocks(chunks, KEYS)
-    hits = carve.candidates(carve.block_heads(chunks, KEYS, 64), signatures.signature_rows(spark), KEYS)
+    hits = carve.candidates(carve.block_heads(chunks, KEYS), signatures.signature_rows(spark), KEYS)
     # the window helper takes the chunk size from its default; rebuild with 128 for the read
     chunks = carve.to_chunks(golden.sectors(spark, golden.place(40, {3: big})), KEYS)
     got = carve.judged(hits, chunks, totals, KEYS, first_window=4, wide_window=30).collect()
@@ -114,7 +114,7 @@ def test_fragment_rows_and_prefix(spark):
     chunks = carve.to_chunks(golden.sectors(spark, golden.carve_image()), KEYS)
     totals = carve.total_blocks(chunks, KEYS)
     sigs = signatures.signature_rows(spark)
-    hits = carve.candidates(carve.block_heads(chunks, KEYS, 64), sigs, KEYS, types=["PNG"])
+    hits = carve.candidates(carve.block_heads(chunks, KEYS), sigs, KEYS, types=["PNG"])
     none = spark.createDataFrame([("img", 155, 2)], "image_id string, start_lba bigint, block_count bigint")
     rows = carve.fragment_candidates(hits.where("lba in (100, 150)"), totals, none, KEYS, 12, 3)
     assert rows.where("lba = 150 and frag2_lba + frag2_blocks > 155 and frag2_lba < 157").count() == 0
