@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from blocklens.functions import gf256
 from blocklens.operators import fsmeta, raid
@@ -25,7 +26,7 @@ def test_degraded_arrays_read_whole(spark, level, name, n, gone):
     m, g, want = layout(spark, level, name, n)
     if gone:
         m = m.where(~m.member_idx.isin(list(gone)))
-    whole = raid.assemble(m, g).unionByName(raid.rebuild(m, g).select("array_id", "array_lba", "payload")).collect()
+    whole = raid.assemble(m, g).unionByName(raid.rebuild(m, g).where("recoverable").select("array_id", "array_lba", "payload")).collect()
     assert {r["array_lba"]: bytes(r["payload"]) for r in whole} == want and len(whole) == len(want)
 
 
@@ -36,6 +37,14 @@ def test_too_many_gone(spark, level, n, gone):
     assert got.where("NOT recoverable").count() > 0
 
 
+def test_lost_stripe_is_reported(spark):
+    """A stripe of which no member holds anything is on the geometry's grid and not recoverable."""
+    m, g, want = layout(spark, 5, "left_symmetric", 4)
+    g = g.withColumn("capacity", F.lit(3 + 32).cast("bigint"))
+    got = raid.rebuild(m.where("lba < 3 + 4 OR lba >= 3 + 6"), g).collect()
+    assert sorted(r["array_lba"] for r in got) == list(range(12, 18)) and not any(r["recoverable"] for r in got)
+
+
 def test_field_inverse():
     assert all(gf256.EXP[gf256.LOG[a] + gf256.LOG[gf256.inverse(a)]] == 1 for a in range(1, 256))
     assert gf256.power(8) == 0x1D
