@@ -32,8 +32,9 @@ def statistical_check(sectors: DataFrame, totals: DataFrame, keys: Sequence[str]
 
     n is at most 50 000 per medium. The hash is uniform, so the n smallest lie below
     ``(n + 8 sqrt(n) + 40) / N`` of its range but for a chance far under 1e-12; that filter
-    runs in the scan and only its survivors, about n per medium, are ranked. Should it
-    ever keep fewer than n, the missing blocks count as non-conforming.
+    runs in the scan and only its survivors, about n per medium, are ranked. A medium of which
+    it keeps fewer than n (unlucky hashes, or absent blocks) is ranked whole, so the sample is
+    the n smallest of what can be read in every case.
     """
     keys = list(keys)
     need = totals.withColumn("sample_size", rules.required_sample_size(F.col("total_blocks"), confidence, defect_rate))
@@ -42,6 +43,10 @@ def statistical_check(sectors: DataFrame, totals: DataFrame, keys: Sequence[str]
     h = F.xxhash64(*keys, F.col("lba"), F.lit(seed))
     near = (sectors.select(*keys, "lba", h.alias("_h")).join(need.select(*keys, "sample_size", limit.alias("_limit")), keys)
             .where(F.col("_h") <= F.col("_limit")))
+    held = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("_held"))
+    short = need.join(held, keys, "left").where(F.coalesce("_held", F.lit(0)) < n).select(*keys, "sample_size")
+    whole = sectors.select(*keys, "lba", h.alias("_h")).join(short, keys)
+    near = near.drop("_limit").join(short.select(*keys), keys, "left_anti").unionByName(whole)
     order = Window.partitionBy(*keys).orderBy("_h", "lba")
     picked = near.withColumn("_r", F.row_number().over(order)).where("_r <= sample_size").select(*keys, "lba")
     tested = sectors.join(picked, [*keys, "lba"], "left_semi").groupBy(*keys).agg(
