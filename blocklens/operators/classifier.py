@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blocklens.functions import scoring
 from blocklens.functions.payload import FEATURE_NAMES
 from blocklens.operators import byte_stats, slices
 from blocklens.session import cut_lineage
@@ -54,6 +55,15 @@ def train_file_type(train: DataFrame, label: str = "label", rounds: int = 60, de
     return Pipeline(stages=[index, learner]).fit(train)
 
 
+def save_model(model: PipelineModel, path: str) -> None:
+    """Stores a fitted classifier with its classes; ``path`` is a shared folder."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def classes_of(model: PipelineModel) -> list[str]:
     return list(model.stages[0].labels)
 
@@ -132,6 +142,19 @@ def target_probability(classes: Sequence[str], file_type: Column, probs: Column)
     return F.when(at > 0, F.element_at(probs, F.greatest(at, F.lit(1)))).otherwise(0.0)
 
 
+def entropy_scorer(model: PipelineModel):
+    """The classifier as the entropy signal of ``carve.recover_image(entropy_score=...)``: ML-6 over the carved payloads."""
+    from blocklens.operators.carve import payload_entropy
+
+    def score(rows: DataFrame) -> DataFrame:
+        keep = rows.columns
+        found = classify(features_of(rows, keep), model)
+        heuristic = scoring.entropy_consistency(payload_entropy("payload"), F.col("file_type"), F.octet_length("payload") == 0)
+        p = target_probability(classes_of(model), F.col("file_type"), F.col("probs"))
+        return found.select(*keep, ml_consistency(F.col("file_type"), F.col("predicted"), p, heuristic).alias("entropy"))
+    return score
+
+
 def explain(classified: DataFrame, model: PipelineModel, k: int = 3) -> DataFrame:
     """ML-7: text of the model's k strongest features with the object's values."""
     ranked = sorted(enumerate(importances_of(model)), key=lambda x: (-x[1], x[0]))[:k]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from blocklens.operators import classifier as ml
+from blocklens.plans import containers as ct
 from blocklens.plans.catalog import query, r6, table
+from blocklens.session import checkpoint_root, cut_lineage
 
-_MODELS: dict = {}
 
 
 def featured(spark, sf):
@@ -22,11 +25,63 @@ def labelled(spark, sf):
 
 
 def forest(spark, sf):
-    """One fitted forest per input folder and session."""
-    key = (sf, spark.sparkContext.applicationId)
-    if key not in _MODELS:
-        _MODELS[key] = ml.train_file_type(labelled(spark, sf).where("is_train"), rounds=20, boosted=False)
-    return _MODELS[key]
+    return ml.train_file_type(labelled(spark, sf).where("is_train"), boosted=False)
+
+
+def files(spark, sf):
+    """Every page wrapped in the file format of its id, whole."""
+    b = ct.bodies(spark, sf)
+    out = None
+    for i, f in enumerate(ct.FORMATS):
+        part = ct.WRAP[f](F.col("body"), F.lit(0))
+        out = F.when(F.col("page_id") % 7 == i, part) if out is None else out.when(F.col("page_id") % 7 == i, part)
+    label = F.element_at(F.array(*[F.lit(f) for f in ct.FORMATS]), (F.col("page_id") % 7 + 1).cast("int"))
+    return b.select("page_id", label.alias("label"), out.alias("payload"))
+
+
+def file_features(spark, sf):
+    f = files(spark, sf)
+    ids = ml.stratified_split(f.select("page_id", "label"), "label", "page_id").drop("label")
+    return cut_lineage(ml.features_of(f, ["page_id", "label"]).join(ids, "page_id"))
+
+
+def file_forest(spark, sf):
+    """Fitted on the training share, stored and loaded again."""
+    data = file_features(spark, sf)
+    at = f"{checkpoint_root(spark)}/models/{uuid.uuid4().hex}"
+    ml.save_model(ml.train_file_type(data.where("is_train"), boosted=False), at)
+    return data, ml.load_model(at)
+
+
+FILES = f"""fl AS (SELECT page_id, {list(ct.FORMATS)!r}[page_id % 7 + 1] AS label FROM pages),
+ sp AS (SELECT page_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || page_id), page_id) * 10 > count(*) OVER (PARTITION BY label) * 7 AS is_test FROM fl)"""
+
+
+@query("ml2_file_types", f"""WITH {FILES}, t AS (SELECT label AS class, count(*) AS support FROM sp WHERE is_test GROUP BY 1)
+SELECT class, support, true AS reliable FROM t UNION ALL SELECT 'macro', CAST(sum(support) AS BIGINT), true FROM t""")
+def file_types(spark, sf):
+    """Held-out quality of the seven formats: macro F1 of 0.95 or more, and of every class."""
+    data, model = file_forest(spark, sf)
+    got = ml.evaluate_classifier(ml.classify(data.where("NOT is_train"), model))
+    return got.select("class", "support", (F.col("f1") >= 0.95).alias("reliable"))
+
+
+@query("ml5_file_classes", f"""WITH {FILES} SELECT page_id, label, 7 AS classes, 1.0::DOUBLE AS total, true AS named FROM sp""")
+def file_classes(spark, sf):
+    """Distributions over the classes add up to one and the winner is one of them."""
+    data, model = file_forest(spark, sf)
+    got = ml.classify(data, model)
+    total = F.aggregate("probs", F.lit(0.0), lambda a, v: a + v)
+    return got.select("page_id", "label", F.size("probs").alias("classes"), F.round(total, 6).alias("total"), F.col("predicted").isin(*ml.classes_of(model)).alias("named"))
+
+
+@query("ml7_file_basis", f"WITH {FILES} SELECT page_id, true AS told FROM sp")
+def file_basis(spark, sf):
+    """The text names the winner, its share and three features with their values."""
+    data, model = file_forest(spark, sf)
+    got = ml.explain(ml.classify(data, model), model)
+    shape = r"^ML Model: \w+ \(\d+\.\d% prob\) \| Top Features: \[\S+: -?\d+\.\d{4}, \S+: -?\d+\.\d{4}, \S+: -?\d+\.\d{4}\]$"
+    return got.select("page_id", (F.col("basis").rlike(shape) & F.col("basis").contains(F.concat(F.lit("Model: "), "predicted", F.lit(" ")))).alias("told"))
 
 
 @query("ml1_stratified_split", """WITH h AS (SELECT doc_id, lang AS label, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS pos, count(*) OVER (PARTITION BY lang) AS n FROM documents)
