@@ -42,6 +42,23 @@ def load(path: str):
     return tokenizer
 
 
+def encode_words(tokenizer, words: list[bytes]) -> list[bytes]:
+    """Packed number of ids and ids of each word; the words are encoded as one text and told apart by the tokens' places."""
+    names = [w.decode("utf-8", "replace") for w in words]
+    found = tokenizer.encode(" ".join(names), add_special_tokens=False)
+    ids = np.array(found.ids, np.int64)
+    begins = np.cumsum([0, *(len(x) + 1 for x in names[:-1])])
+    owner = np.searchsorted(begins, np.array([a for a, _ in found.offsets], np.int64), side="right") - 1
+    many = np.bincount(owner, minlength=len(words))
+    heads = np.arange(len(words)) + np.cumsum(many) - many
+    flat = np.empty(len(ids) + len(words), np.int64)
+    flat[heads] = many
+    flat[np.arange(len(ids)) + owner + 1] = ids
+    data, cuts = wordtable.pack_numbers(flat), np.concatenate([[0], np.cumsum(wordtable.sizes_of(flat))])
+    cuts = cuts[np.append(heads, len(flat))].tolist()
+    return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def _encoder(path: str):
     def solve():
         tokenizer = load(path)
@@ -53,9 +70,7 @@ def _encoder(path: str):
                 new = [w for w in asked if w not in known]
                 for at in range(0, len(new), ENCODE_WORDS):
                     part = new[at:at + ENCODE_WORDS]
-                    for w, e in zip(part, tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                        ids = np.array(e.ids, np.uint32)
-                        known[w] = wordtable.pack_numbers(np.concatenate([np.array([len(ids)], np.uint32), ids]))
+                    known.update(zip(part, encode_words(tokenizer, part)))
                 yield chunk, 0, b"".join(map(known.__getitem__, asked))
         return answer
     return solve

@@ -71,12 +71,18 @@ def buckets_of(words: list[bytes], n: int) -> np.ndarray:
     return (np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) % np.uint64(n)).astype(np.uint32)
 
 
-def pack_numbers(values: np.ndarray) -> bytes:
-    """Variable-length numbers, seven bits a byte, low bits first."""
-    v = values.astype(np.uint64)
-    size = np.ones(len(v), np.int64)
+def sizes_of(values: np.ndarray) -> np.ndarray:
+    """Bytes of each number as ``pack_numbers`` writes it."""
+    size = np.ones(len(values), np.int64)
     for k in range(1, 5):
-        size += v >= np.uint64(1 << (7 * k))
+        size += values >= 1 << (7 * k)
+    return size
+
+
+def pack_numbers(values: np.ndarray) -> bytes:
+    """Variable-length numbers below 2 ** 35, seven bits a byte, low bits first."""
+    v = values.astype(np.int64)
+    size = sizes_of(v)
     ends = np.cumsum(size)
     out = np.empty(int(ends[-1]) if len(v) else 0, np.uint8)
     at = ends - size
@@ -84,8 +90,7 @@ def pack_numbers(values: np.ndarray) -> bytes:
         more = size > k
         if not more.any():
             break
-        byte = (v[more] >> np.uint64(7 * k)) & np.uint64(0x7F)
-        out[at[more] + k] = byte | ((size[more] > k + 1).astype(np.uint64) << np.uint64(7))
+        out[at[more] + k] = (v[more] >> (7 * k)) & 0x7F | (size[more] > k + 1).astype(np.int64) << 7
     return out.tobytes()
 
 
@@ -93,10 +98,15 @@ def unpack_numbers(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     if not len(raw):
         return np.zeros(0, np.int64)
-    last = raw < 0x80
-    starts = np.flatnonzero(np.concatenate([[True], last[:-1]]))
-    within = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
-    return np.add.reduceat((raw & 0x7F).astype(np.int64) << (7 * within), starts)
+    starts = np.flatnonzero(np.concatenate([[True], raw[:-1] < 0x80]))
+    values = (raw[starts] & 0x7F).astype(np.int64)
+    ends = np.append(starts[1:], len(raw))
+    for k in range(1, 5):
+        longer = np.flatnonzero(ends - starts > k)
+        if not len(longer):
+            break
+        values[longer] |= (raw[starts[longer] + k] & 0x7F).astype(np.int64) << (7 * k)
+    return values
 
 
 ASKED = "bucket int, chunk binary, words binary, extra binary"
