@@ -1,4 +1,3 @@
-import random
 import sys
 from pathlib import Path
 
@@ -6,17 +5,13 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+from plain import prose  # noqa: E402
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: columns that operators use themselves
 EXTRA = ["n_words", "row_", "size", "digest", "kept", "others_", "fingerprint", "copies", "bucket", "gone"]
 
 
-def prose(seed: int, n: int) -> list[str]:
-    rng = random.Random(seed)
-    syllables = ["an", "ble", "ed", "er", "ing", "ion", "ou", "re", "st", "th", "é", "ß", "ñ"]
-    return ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(n)]
-
-
 def corpus() -> list[tuple]:
     """Nulls everywhere, empty, blank and very long texts, exact and near copies, shared passages and lines, repeated rows."""
     passage, rows = " ".join(prose(900, 70)), []

@@ -173,14 +173,13 @@ def test_substring_dedup(docs, rows, nothing):
 
 def test_substring_dedup_offsets_and_ties(spark, tmp_path):
     """Repeats of 49, 50, 51 and 75 words at every alignment, an interval pieced together from several documents, null and repeated ids."""
-    from conftest import prose
-    base, docs = prose(1, 400), {}
+    base, docs = plain.prose(1, 400), {}
     docs[1] = " ".join(base)
     for k in range(30):
         n = (49, 50, 51, 75)[k % 4]
-        docs[2 + k] = " ".join([*prose(100 + k, k), *base[k * 7:k * 7 + n], *prose(200 + k, 9)])
-    docs[50] = " ".join([*prose(301, 13), *base[100:160], *prose(302, 3)])
-    docs[51] = " ".join([*prose(303, 2), *base[140:200], *prose(304, 5)])
+        docs[2 + k] = " ".join([*plain.prose(100 + k, k), *base[k * 7:k * 7 + n], *plain.prose(200 + k, 9)])
+    docs[50] = " ".join([*plain.prose(301, 13), *base[100:160], *plain.prose(302, 3)])
+    docs[51] = " ".join([*plain.prose(303, 2), *base[140:200], *plain.prose(304, 5)])
     docs[52] = " ".join(base[90:210])
     rows = [*docs.items(), (None, docs[52]), (52, docs[52])]
     path = str(tmp_path / "d")
