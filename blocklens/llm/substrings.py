@@ -189,45 +189,54 @@ def _at_anchors(buckets: int):
     return run
 
 
+def _through(p: np.ndarray, left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
+    """First words of all windows that hold one of the anchors at words ``p`` of a text of ``size`` words, each once."""
+    edges = np.zeros(size + 1, np.int64)
+    some = left + right >= BLOCK
+    np.add.at(edges, p[some] - left[some], 1)
+    np.add.at(edges, p[some] - (BLOCK - right[some]) + 1, -1)
+    return np.flatnonzero(np.cumsum(edges[:-1]) > 0)
+
+
 def _windows(batches):
-    """(w1, w2, doc_id, c1, c2, k): the windows through anchors whose contexts are wanted; the window begins k words before the anchor."""
+    """(w1, w2, doc_id): the windows through anchors whose contexts are wanted, each window of a document once."""
     for rows in _chunks(batches, 3):
         t = Texts([r[1] for r in rows])
         out = []
         for i, (doc_id, _, wanted) in enumerate(rows):
+            low, size = t.first[i], t.first[i + 1] - t.first[i]
             p = _rolling(t, i, BLOCK)
-            left, right, c1, c2 = _contexts_of(t, i, p)
+            left, right, c1, _ = _contexts_of(t, i, p)
             keep = np.isin(c1, np.array(wanted, np.int64).view(np.uint64))
-            p, left, right, c1, c2 = p[keep], left[keep], right[keep], c1[keep], c2[keep]
-            for k in range(BLOCK + 1):
-                ok = (left >= k) & (right >= BLOCK - k)
-                if ok.any():
-                    at = p[ok] - k
-                    out.append((t.window(at, WINDOW, 0), t.window(at, WINDOW, 1), np.full(len(at), doc_id, np.int64), c1[ok], c2[ok], np.full(len(at), k, np.int64)))
+            at = low + _through(p[keep] - low, left[keep], right[keep], size)
+            if len(at):
+                out.append((t.window(at, WINDOW, 0), t.window(at, WINDOW, 1), np.full(len(at), doc_id, np.int64)))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]).view(np.int64)) for i in range(6)], names=["w1", "w2", "doc_id", "c1", "c2", "k"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]).view(np.int64)) for i in range(3)], names=["w1", "w2", "doc_id"])
 
 
 def cut_out(t: Texts, k: int, gone: list[dict] | None) -> np.ndarray:
-    """A mask of the words of text ``k`` that stay.
-
-    ``gone`` names contexts and the first and last of their windows that go (words before the anchor). All windows hold the anchor,
-    so together they cover one stretch.
-    """
-    low, high = t.first[k], t.first[k + 1]
+    """A mask of the words of text ``k`` that stay; ``gone`` names contexts all of whose windows go (kind 0) and single windows (kind 1)."""
+    low, size = t.first[k], t.first[k + 1] - t.first[k]
     if not gone:
-        return np.ones(high - low, bool)
+        return np.ones(size, bool)
+
+    def found(kind: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        pairs = {(g["a"], g["b"]) for g in gone if g["kind"] == kind}
+        at = np.flatnonzero(np.isin(first, np.array([a for a, _ in pairs], np.int64).view(np.uint64)))
+        ok = [j for j, a, b in zip(at.tolist(), first[at].view(np.int64).tolist(), second[at].view(np.int64).tolist()) if (a, b) in pairs]
+        return np.array(ok, np.int64)
     p = _rolling(t, k, BLOCK)
     left, right, c1, c2 = _contexts_of(t, k, p)
-    span = {(g["c1"], g["c2"]): (g["lo"], g["hi"]) for g in gone}
-    edges = np.zeros(high - low + 1, np.int64)
-    for j in np.flatnonzero(np.isin(c1, np.array([g["c1"] for g in gone], np.int64).view(np.uint64))).tolist():
-        lo, hi = span.get((int(c1[j].view(np.int64)), int(c2[j].view(np.int64))), (0, -1))
-        lo, hi = max(lo, BLOCK - int(right[j])), min(hi, int(left[j]))
-        if lo <= hi:
-            at = int(p[j] - low)
-            edges[at - hi] += 1
-            edges[at - lo + WINDOW] -= 1
+    whole = found(0, c1, c2)
+    starts = [_through(p[whole] - low, left[whole], right[whole], size)]
+    every = _rolling(t, k, WINDOW)
+    if len(every):
+        starts.append(found(1, t.window(every, WINDOW, 0), t.window(every, WINDOW, 1)))
+    edges = np.zeros(size + 1, np.int64)
+    for at in starts:
+        np.add.at(edges, at, 1)
+        np.add.at(edges, at + WINDOW, -1)
     return np.cumsum(edges[:-1]) == 0
 
 
@@ -258,14 +267,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     least = known(contexts.groupBy("anchor", "c1", "c2").agg(F.min("doc_id").alias("m")))
     several = least.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     reps = least.join(several, "anchor").groupBy(F.col("m").alias("doc_id")).agg(F.collect_set("c1").alias("wanted"))
-    windows = known(texts.join(reps, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_windows, "w1 long, w2 long, doc_id long, c1 long, c2 long, k long"))
+    windows = known(texts.join(reps, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_windows, "w1 long, w2 long, doc_id long"))
     early = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("m"))
-    part = windows.join(early, ["w1", "w2"]).filter("m < doc_id").select("doc_id", "c1", "c2", F.col("k").alias("lo"), F.col("k").alias("hi"))
-    whole = contexts.join(least, ["anchor", "c1", "c2"]).filter("m < doc_id").select("doc_id", "c1", "c2", F.lit(0).cast("long").alias("lo"), F.lit(BLOCK).cast("long").alias("hi"))
-    spans = whole.unionByName(part).groupBy("doc_id", "c1", "c2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    gone = spans.groupBy("doc_id").agg(F.collect_list(F.struct("c1", "c2", "lo", "hi")).alias("gone"))
+    part = windows.join(early, ["w1", "w2"]).filter("m < doc_id").select("doc_id", F.lit(1).alias("kind"), F.col("w1").alias("a"), F.col("w2").alias("b"))
+    whole = contexts.join(least, ["anchor", "c1", "c2"]).filter("m < doc_id").select("doc_id", F.lit(0).alias("kind"), F.col("c1").alias("a"), F.col("c2").alias("b"))
+    gone = whole.unionByName(part).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "a", "b")).alias("gone"))
     met = texts.join(gone, "doc_id", "left").select("doc_id", "text", "gone")
-    alone = every.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<c1: long, c2: long, lo: long, hi: long>>").alias("gone"))
+    alone = every.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<kind: int, a: long, b: long>>").alias("gone"))
     return met.unionByName(alone).mapInArrow(_finish, "doc_id long, n_words long, n_removed long, kept string")
 
 
