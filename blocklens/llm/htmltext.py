@@ -247,7 +247,10 @@ def fit_weights(pages: DataFrame, rows: int = LABELLED_ROWS) -> dict[str, float]
                 found.update(counts(page))
         keys = list(found)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([found[k] for k in keys], pa.int64())], names=["kind", "inside", "n"])
-    labelled = pages.filter(F.lower("html").contains("<article")).orderBy(F.xxhash64("page_id"), "page_id").limit(rows).select("html")
+    # narrow rows find the sample, whose few ids are broadcast to fetch the pages
+    key = F.xxhash64("page_id", "html")
+    sample = pages.filter(F.lower("html").contains("<article")).select(key.alias("key")).orderBy("key").limit(rows).distinct()
+    labelled = pages.select("html", key.alias("key")).join(F.broadcast(sample), "key", "left_semi").select("html")
     for r in labelled.mapInArrow(count, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n")).collect():
         total[r["kind"], r["inside"]] += r["n"]
     return weights_from(total)
