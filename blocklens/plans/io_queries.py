@@ -52,11 +52,13 @@ def load_vault(spark, sf):
     return got.select("op_id", "case_id", F.date_format("started_at", "yyyy-MM-dd").alias("started"), "status", F.col("completed_at").isNull().alias("open"))
 
 
-@query("src5_load_objects")
+@query("src5_load_objects", "SELECT s_suppkey, CAST(strlen(s_name) + 1 AS BIGINT) AS length, sha256(s_name || chr(10)) AS content_hash FROM supplier")
 def load_objects(spark, sf):
-    """The table files themselves as objects."""
-    got = vault.load_objects(spark, sf, "*.parquet")
-    return got.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("payload", 256).alias("content_hash"))
+    """A file per supplier, written from the table and loaded as objects."""
+    at = folder(spark)
+    table(spark, sf, "supplier").select("s_suppkey", "s_name").repartition(4, "s_suppkey").write.partitionBy("s_suppkey").text(at)
+    got = vault.load_objects(spark, at, "*.txt")
+    return got.select(F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("bigint").alias("s_suppkey"), "length", F.sha2("payload", 256).alias("content_hash"))
 
 
 @query("acq5_image_digest", """SELECT doc_id % 16 AS image_id, CAST(sum(strlen(text)) AS BIGINT) AS bytes, sha256(string_agg(text, '' ORDER BY doc_id)) AS image_hash FROM documents GROUP BY 1""")

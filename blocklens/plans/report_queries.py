@@ -2,25 +2,38 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from blocklens.operators import ranges, reports
+from blocklens.operators import acquire, ranges, reports
 from blocklens.plans import domain as d
 from blocklens.plans import ledger_queries as lq
 from blocklens.plans import rule_queries as rq
 from blocklens.plans.catalog import query, r6, table
-from blocklens.sources import image
+from blocklens.session import checkpoint_root
+from blocklens.sources import image, vault
 
 SMALL = 25  # items per report part, so that parts occur at test scale
 
 
-@query("src1_read_image")
+MEDIA = 4
+
+
+@query("src1_read_image", f"""SELECT doc_id % {MEDIA} AS medium, CAST(ceil(sum(strlen(coalesce(text, '')) + 1) / 512.0) AS BIGINT) AS blocks, CAST(ceil(sum(strlen(coalesce(text, '')) + 1) / 512.0) AS BIGINT) - 1 AS last_lba,
+ CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes, sha256(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS content_hash FROM documents GROUP BY 1""")
 def read_image(spark, sf):
-    """The Parquet file of the pages itself, read as a raw medium."""
-    from blocklens.operators import byte_stats
-    blocks = image.blocks_of(image.read_image(spark, [f"{sf}/pages.parquet"], partition_bytes=1 << 20))
-    return blocks.groupBy("image_id").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.octet_length("payload")).cast("bigint").alias("bytes"),
-                                          F.count_if(byte_stats.is_zero()).alias("zero_blocks"), F.max("lba").alias("last_lba"))
+    """Documents written to raw media, a file each, and read back as blocks; the padding of the last block is cut off."""
+    at = f"{checkpoint_root(spark)}/io/{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents").select((F.col("doc_id") % MEDIA).alias("medium"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs.repartition(MEDIA, "medium").sortWithinPartitions("medium", "doc_id").select("medium", "text").write.partitionBy("medium").text(at)
+    files = vault.load_objects(spark, at, "*.txt").select("path").collect()  # one path per medium
+    paths = [r["path"].replace("file:/", "file:///", 1) if r["path"].startswith("file:/") and not r["path"].startswith("file://") else r["path"] for r in files]
+    chunks = image.read_image(spark, paths, image_ids=",".join(p.split("medium=")[1].split("/")[0] for p in paths), partition_bytes=1 << 20)
+    size = image.blocks_of(chunks).groupBy("image_id").agg(F.count(F.lit(1)).alias("blocks"), F.max("lba").alias("last_lba"))
+    bare = chunks.withColumn("payload", F.encode(F.rtrim(F.decode("payload", "ISO-8859-1"), F.lit("\0")), "ISO-8859-1"))
+    digest = acquire.image_digest(bare.select("image_id", "chunk_no", "payload"), ["image_id"])
+    return size.join(digest, "image_id").select(F.col("image_id").cast("bigint").alias("medium"), "blocks", "last_lba", "bytes", F.col("image_hash").alias("content_hash"))
 
 
 @query("jn07_artifacts_for_case", f"WITH {d.ARTIFACTS}, {d.OPERATIONS} SELECT o.case_id, a.artifact_id, a.op_id, a.file_type, a.tier FROM artifacts a JOIN operations o USING (op_id)")
