@@ -50,5 +50,14 @@ def unpacked(df: DataFrame, columns: list[str], name: str = "row_", without: tup
     return [F.col(f"{name}.`{c}`").alias(c) for c in columns if c not in without]
 
 
+#: rows of a table of a few numbers per group that may be broadcast: some megabytes
+SMALL_ROWS = 50_000
+
+
+def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df``, a materialised table of narrow rows, broadcast if a count finds it small enough; otherwise the join is left to Spark."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from blocklens.llm.common import SPACE, query, table, text_of
+from blocklens.llm.common import SPACE, query, small_side, table, text_of
 from blocklens.session import cut_lineage
 
 MOST = 3
@@ -63,7 +63,7 @@ def _copies(doc_id: Column, seed: Column | int) -> Column:
 def plan(sized: DataFrame, seeds: int = SEEDS) -> DataFrame:
     """source, source_size, target, rate, seed: what every document needs to know; one row per source."""
     goal = cut_lineage(targets(sized)).select(F.col("source").alias("source_t"), "source_size", "target", "rate")
-    met = sized.join(goal, F.col("source").eqNullSafe(F.col("source_t")))
+    met = sized.join(small_side(goal), F.col("source").eqNullSafe(F.col("source_t")))
     sums = met.groupBy("source_t", "source_size", "target", "rate").agg(*[F.sum(F.col("size") * _copies(F.col("doc_id"), s)).alias(f"s{s}") for s in range(seeds)])
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"s{s}") - F.col("target")).alias("off"), F.lit(s).alias("seed")) for s in range(seeds)]))["seed"]
     return cut_lineage(sums.select("source_t", "source_size", "target", "rate", best.alias("seed")))
@@ -71,14 +71,14 @@ def plan(sized: DataFrame, seeds: int = SEEDS) -> DataFrame:
 
 def copies(sized: DataFrame) -> DataFrame:
     """``sized`` (doc_id, source, size, ...) with source_size, target, rate and the number of copies."""
-    goal = plan(sized.select("doc_id", "source", "size"))
+    goal = small_side(plan(sized.select("doc_id", "source", "size")))
     return sized.join(goal, F.col("source").eqNullSafe(F.col("source_t"))).withColumn("copies", _copies(F.col("doc_id"), F.col("seed")).cast("long")).drop("source_t")
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: every document as often as the mix takes it, with the input's columns."""
     narrow = cut_lineage(docs.select("doc_id", "source", size_of().alias("size")))
-    goal = plan(narrow)
+    goal = small_side(plan(narrow))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row_"), docs["doc_id"].alias("id_"), docs["source"].alias("source_"))
     met = rows.join(goal, F.col("source_").eqNullSafe(F.col("source_t")))
     taken = met.withColumn("copies", _copies(F.col("id_"), F.col("seed")).cast("int")).filter("copies > 0")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from blocklens.llm.common import SPACE, packed, query, table, unpacked, words_of
+from blocklens.llm.common import SPACE, packed, query, small_side, table, unpacked, words_of
 from blocklens.session import cut_lineage
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -112,7 +112,7 @@ def judge(measured: DataFrame, fences: DataFrame) -> DataFrame:
     """``measured`` with ``base_failed`` and ``kept``: the joined filter. A group without a fence (all its rows failed) keeps nothing."""
     keep = [c for c in measured.columns if c not in ("base_failed", "kept")]
     bounds = [c for c in fences.columns if c.startswith(("low_", "high_"))]
-    f = fences.select(F.col("lang").alias("lang_f"), F.col("source").alias("source_f"), F.struct(*bounds).alias("fence_"))
+    f = small_side(fences).select(F.col("lang").alias("lang_f"), F.col("source").alias("source_f"), F.struct(*bounds).alias("fence_"))
     joined = measured.join(f, F.col("lang").eqNullSafe(F.col("lang_f")) & F.col("source").eqNullSafe(F.col("source_f")), "left")
     inside = F.lit(True)
     for r in RATES:
