@@ -203,7 +203,7 @@ def reassemble(spark, sf):
     hits = carve.candidates(carve.block_heads(m, IMG), signatures.signature_rows(spark), IMG)
     tot = carve.total_blocks(m, IMG)
     none = tot.select("image_id", F.lit(0).cast("bigint").alias("start_lba"), F.lit(0).cast("bigint").alias("block_count"))
-    return carve.reassemble_first(hits, m, tot, none, IMG, 64).select("image_id", F.col("lba").cast("int").alias("lba"), "expected", "split", "gap", "length")
+    return carve.reassemble_first(hits, m, tot, none, IMG).select("image_id", F.col("lba").cast("int").alias("lba"), "expected", "split", "gap", "length")
 
 
 def _outcome(column: int) -> str:
@@ -222,7 +222,7 @@ RECOVERED = f"""rec AS (SELECT page_id AS image_id, {_FMT} AS file_type, page_id
 FROM rec WHERE variant < 2""")
 def recover(spark, sf):
     m = cut_lineage(ct.media_of(ct.mixed(spark, sf)))
-    got = carve.recover_image(m, signatures.signature_rows(spark), IMG, radius=64)
+    got = carve.recover_image(m, signatures.signature_rows(spark), IMG)
     return got.select("image_id", "tier", F.col("start_lba").cast("int").alias("start_lba"), "file_type", "recovered_bytes",
                       F.col("limitations").isNotNull().alias("partial"))
 
