@@ -5,6 +5,8 @@ outside the article of a page that marks one, score negative too. The weights ar
 inside and outside the main text of labelled pages: the examples below, and pages of the table that mark their article. One linear
 scan finds the contiguous region of the highest sum; the text blocks in it, without those in boilerplate containers, are the result.
 
+A form is a boilerplate container if it holds controls rather than paragraphs: no more than ``CONTROL_WORDS`` words a control.
+
 Defined results: a null or empty page, and one without words in its body, give the empty text; unclosed tags, comments and
 attributes end at the next tag or the page's end; pages are read whole, whatever their length; repeated rows are read one by one; an
 empty table gives an empty result; other columns are not looked at.
@@ -37,7 +39,7 @@ BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "cente
           "tfoot", "th", "thead", "tr", "ul"}
 CONTAINERS = {"a", "address", "article", "aside", "blockquote", "button", "details", "dialog", "div", "dl", "fieldset", "figure", "footer", "form", "header", "label", "legend",
               "main", "menu", "nav", "ol", "section", "span", "table", "td", "ul", "p"}
-BOILER_TAGS = {"nav", "aside", "footer", "form", "button", "dialog", "fieldset", "label", "legend", "menu"}
+BOILER_TAGS = {"nav", "aside", "footer", "button", "dialog", "fieldset", "label", "legend", "menu"}
 BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 #: parts of class names and ids that mark a container as boilerplate, whatever stands beside them
 BOILER_ALWAYS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "comment", "comments", "commentlist", "disqus", "reply", "replies",
@@ -74,6 +76,21 @@ def _is_boiler(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+#: plain words that outweigh one control of a form
+CONTROL_WORDS = 10
+_FORM_END = re.compile(r"</form", re.I)
+_CONTROL = re.compile(r"<(?:input(?![^>]*type\s*=\s*[\"']?hidden)|select|textarea|button|label)[\s/>]", re.I)
+_CONTROL_TEXT = re.compile(r"<(label|button|select|textarea|legend|script|style)[\s>].*?(?:</\1|\Z)", re.I | re.S)
+
+
+def _is_input_form(page: str, at: int) -> bool:
+    """Does the form whose content begins at ``at`` hold controls rather than paragraphs? One left open ends with the page."""
+    end = _FORM_END.search(page, at)
+    held = page[at:end.start() if end else len(page)]
+    controls = len(_CONTROL.findall(held))
+    return len(_TAG.sub(" ", _CONTROL_TEXT.sub(" ", held)).split()) <= CONTROL_WORDS * max(1, controls)
+
+
 _BODY = re.compile(r"<body[\s>]", re.I)
 _MARK = re.compile(r"<(article|main)(\s[^>]*)?>", re.I)
 _CLOSE = {name: re.compile(f"</{name}", re.I) for name in RAW}
@@ -139,7 +156,9 @@ def tokens(page: str, marks: bool):
                     _, kind = stack.pop()
                     boiler -= kind == "boiler"
                     link -= kind == "link"
-            kind = "boiler" if _is_boiler(name, attributes, bool(inside)) else "link" if name == "a" else "inside" if name in ("article", "main") or "data-main" in attributes else ""
+            # forms do not nest: one inside another is not weighed again
+            controls = name == "form" and not any(x[0] == "form" for x in stack) and _is_input_form(page, at)
+            kind = "boiler" if controls or _is_boiler(name, attributes, bool(inside)) else "link" if name == "a" else "inside" if name in ("article", "main") or "data-main" in attributes else ""
             boiler += kind == "boiler"
             link += kind == "link"
             inside += kind == "inside"
