@@ -7,6 +7,7 @@ from collections import Counter
 import corpus_pipeline
 import plain
 import pytest
+from test_nearcopies import survivors
 
 from blocklens.llm import bpe, mixing, quality
 
@@ -35,8 +36,8 @@ def expected(docs):
     yield kept
     cut = [(d, text, lang, source) for (d, _, lang, source), (text, _) in zip(kept, plain.line_dedup([r[:2] for r in kept]))]
     yield cut
-    roots = plain.components({r[0]: plain.fingerprint(r[1]) for r in cut})
-    single = [r for r in cut if roots[r[0]] == r[0]]
+    stays = survivors({r[0]: r[1] for r in cut})
+    single = [r for r in cut if r[0] in stays]
     yield single
     mixed = [r for r, n in zip(single, copies(single)) for _ in range(n)]
     yield mixed
