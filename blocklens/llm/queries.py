@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["quality", "exact", "mixing", "licenses", "bpe", "simhash", "language", "substrings", "lines", "htmltext", "interaction", "merkle"]
+MODULES = ["quality", "exact", "mixing", "licenses", "bpe", "simhash", "language", "substrings", "lines", "htmltext", "interaction", "merkle", "piecewise"]
 
 
 def load_all():
