@@ -18,14 +18,14 @@ from pyspark.sql.window import Window
 
 from blocklens.functions import native_packs, packs, scoring
 from blocklens.functions import payload as kern
-from blocklens.operators import acquire, byte_stats, filters, ranges, slices
+from blocklens.operators import acquire, byte_stats, filters, longobjects, ranges, slices
 from blocklens.session import cut_lineage
 
 BLOCK = 512
 CHUNK_BLOCKS = 128
 FIRST_WINDOW, WIDE_WINDOW = 2048, 16384
-# windows grow by this factor while a candidate still ends early, up to WIDEST blocks (a window is one row)
-WIDENING, WIDEST = 8, 1 << 18
+# bytes of an object that fit a row; larger ones are judged from marks and described by their pieces
+MAX_PAYLOAD = 256 << 20
 FOLD_SLICE = 1 << 16
 
 # fixed values: gaps tried first, fragment sizes tried, id bases of the three tiers
@@ -171,25 +171,35 @@ CARRY = ["file_type", "validator_id", "max_size_bytes", "limit_blocks"]
 
 
 def judged(cands: DataFrame, chunks: DataFrame, totals: DataFrame, keys: Sequence[str], first_window: int = FIRST_WINDOW,
-           wide_window: int = WIDE_WINDOW, widest: int = WIDEST, **registry) -> DataFrame:
+           wide_window: int = WIDE_WINDOW, **registry) -> DataFrame:
     """CRV-2 plus CRV-3: small rows ``(keys, lba, sig_order, file_type, verdict, length, ...)``.
 
-    Candidates still at EOF in the first window run again in a wider one, when the format allows more, and again in windows
-    ``WIDENING`` times as wide until none is left or ``widest`` is reached; a wider verdict is adopted if OK or EOF.
+    Candidates still at EOF in the first window run again in a wider one, when the format allows more, and then over all blocks the
+    format allows: from the mark index where the format has one (``longobjects``), at any size; other formats in one window of at
+    most ``MAX_PAYLOAD``. A wider verdict is adopted if OK or EOF.
     """
     sized = windowed(cands, totals, keys, first_window)
     now = cut_lineage(validate_candidates(candidate_windows(sized, chunks, keys, carry=CARRY), **registry).drop("payload"))
-    on, window = [*keys, "lba", "sig_order"], wide_window
-    while True:
-        again = expand_window(now, chunks, keys, window, **registry)
-        j = now.join(again, on, "left")
-        use = F.col("wide_verdict").isin("OK", "EOF")
-        picks = [F.when(use, F.col(f"wide_{c}")).otherwise(F.col(c)).alias(c) for c in ("verdict", "length", "reason", "window_bytes")]
-        wider = F.when(F.col("wide_verdict").isNotNull(), F.least("limit_blocks", F.lit(window)).cast("bigint")).otherwise(F.col("window_blocks"))
-        now = cut_lineage(j.select(*on, *CARRY, wider.alias("window_blocks"), *picks))
-        if window >= widest or now.where(f"verdict = 'EOF' AND limit_blocks > window_blocks AND window_blocks >= {window}").isEmpty():
-            return now.drop("window_blocks")
-        window = min(window * WIDENING, widest)
+    now = cut_lineage(_adopted(now, expand_window(now, chunks, keys, wide_window, **registry), keys, wide_window))
+    larger = now.where(f"verdict = 'EOF' AND limit_blocks > window_blocks AND window_blocks >= {wide_window}")
+    if larger.isEmpty():
+        return now.drop("window_blocks")
+    python, native = registry.get("python_packs", packs.PACKS), registry.get("native", native_packs.NATIVE)
+    indexed = [k for k in longobjects.KINDS if python.get(k) is packs.PACKS.get(k) and native.get(k) is native_packs.NATIVE.get(k)]
+    by_mark = F.col("validator_id").isin(indexed)
+    far = longobjects.verdicts(larger.where(by_mark), chunks, keys).join(larger.select(*keys, "lba", "sig_order", (F.col("limit_blocks") * BLOCK).alias("window_bytes")), [*keys, "lba", "sig_order"])
+    far = far.select(*keys, "lba", "sig_order", F.col("verdict").alias("wide_verdict"), F.col("length").alias("wide_length"),
+                     F.lit(None).cast("string").alias("wide_reason"), F.col("window_bytes").alias("wide_window_bytes"))
+    rest = expand_window(larger.where(~by_mark), chunks, keys, MAX_PAYLOAD // BLOCK, **registry)
+    return cut_lineage(_adopted(now, far.unionByName(rest), keys, MAX_PAYLOAD // BLOCK)).drop("window_blocks")
+
+
+def _adopted(now: DataFrame, wider: DataFrame, keys: Sequence[str], window: int) -> DataFrame:
+    on = [*keys, "lba", "sig_order"]
+    use = F.col("wide_verdict").isin("OK", "EOF")
+    picks = [F.when(use, F.col(f"wide_{c}")).otherwise(F.col(c)).alias(c) for c in ("verdict", "length", "reason", "window_bytes")]
+    blocks = F.when(F.col("wide_verdict").isNotNull(), F.least("limit_blocks", F.lit(window)).cast("bigint")).otherwise(F.col("window_blocks"))
+    return now.join(wider, on, "left").select(*on, *CARRY, blocks.alias("window_blocks"), *picks)
 
 
 def expand_window(validated: DataFrame, chunks: DataFrame, keys: Sequence[str], wide_window: int = WIDE_WINDOW, **registry) -> DataFrame:
@@ -270,34 +280,58 @@ def _finish(rows: DataFrame, keys: Sequence[str], entropy_score: Callable[[DataF
 
 
 def tier2_artifacts(selected: DataFrame, chunks: DataFrame, signatures: DataFrame, keys: Sequence[str],
-                    entropy_score=None, block_size: int = BLOCK) -> DataFrame:
-    """Rows for the chosen objects: payload re-read at its own length, trimmed and scored."""
-    sized = selected.withColumn("window_blocks", F.col("blocks"))
-    carry = ["file_type", "verdict", "length", "is_ok", "payload_length", "blocks"]
-    w = candidate_windows(sized, chunks, keys, carry=carry, block_size=block_size)
+                    entropy_score=None, block_size: int = BLOCK, max_payload: int = MAX_PAYLOAD) -> DataFrame:
+    """Rows for the chosen objects: payload re-read at its own length, trimmed and scored.
+
+    Objects too large for a row keep a null payload: their ends are read for the header score, hash and entropy come from
+    ``large_content``, their bytes from ``extent_pieces``.
+    """
+    numbered = cut_lineage(assign_ids(selected.withColumn("start_lba", F.col("lba")), keys, 2))
+    fits = F.col("payload_length") <= max_payload
+    carry = ["file_type", "verdict", "length", "is_ok", "payload_length", "blocks", "artifact_id"]
+    w = candidate_windows(numbered.where(fits).withColumn("window_blocks", F.col("blocks")), chunks, keys, carry=carry, block_size=block_size)
     w = w.withColumn("payload", F.substring(F.col("payload"), F.lit(1), F.col("payload_length").cast("int")))
+    done = _finish(_tier2_scores(w, signatures), keys, entropy_score)
+    large = numbered.where(~fits)
+    if large.isEmpty():
+        return done
+    place = large.select(*keys, "lba", "sig_order", *carry)
+    head = longobjects.peek(place.withColumn("cur", F.col("lba") * block_size), chunks, keys, block_size).withColumnRenamed("bytes", "_head")
+    ends = longobjects.peek(head.withColumn("cur", F.col("lba") * block_size + F.col("payload_length") - block_size), chunks, keys, block_size)
+    scored = _tier2_scores(ends.withColumn("payload", F.concat("_head", "bytes")), signatures)
+    where = F.struct(F.lit("Contiguous").alias("kind"), F.lit(None).cast("binary").alias("resident"), F.col("extents"))
+    entries = scored.select(*keys, F.col("artifact_id").alias("entry_id"), F.col("payload_length").alias("size_bytes"), where.alias("location"))
+    content = large_content(entries, chunks, keys, block_size, max_payload).withColumnRenamed("entry_id", "artifact_id")
+    big = scored.withColumn("payload", F.lit(None).cast("binary")).join(content, [*keys, "artifact_id"])
+    big = big.withColumn("entropy", scoring.entropy_consistency(F.col("byte_entropy"), F.col("file_type"), F.lit(False)))
+    return done.unionByName(_with_content(big, keys))
+
+
+def _with_content(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Result columns of rows whose content is known by ``large_hash`` and ``large_bytes``."""
+    return (rows.withColumn("confidence_score", scoring.composite()).withColumn("content_hash", F.coalesce("large_hash", F.sha2("payload", 256)))
+            .withColumn("recovered_bytes", F.coalesce("large_bytes", F.lit(0).cast("bigint"))).select(*keys, *ARTIFACT_COLUMNS))
+
+
+def _tier2_scores(w: DataFrame, signatures: DataFrame) -> DataFrame:
+    """All signals but the entropy; ``payload`` holds the object, or its two ends."""
     w = w.join(signatures.select("sig_order", "footer"), "sig_order")
-    w = (w.withColumn("header_footer", scoring.header_footer_score(F.col("payload"), F.col("file_type"), F.col("footer"), ~F.col("is_ok")))
-         .withColumn("structural", scoring.structural_score(F.col("verdict"), F.col("file_type"), F.col("length"), F.octet_length("payload")))
+    return (w.withColumn("header_footer", scoring.header_footer_score(F.col("payload"), F.col("file_type"), F.col("footer"), ~F.col("is_ok")))
+         .withColumn("structural", scoring.structural_score(F.col("verdict"), F.col("file_type"), F.col("length"), F.col("payload_length")))
          .withColumn("metadata", F.lit(0.0))
          .withColumn("fragmentation", scoring.fragmentation_score(F.when(F.col("is_ok"), "contiguous").otherwise("partial"), F.lit(0), 1))
          .withColumn("overwrite", scoring.overwrite_score(F.lit(2), F.lit("none")))
          .withColumn("tier", F.lit(2)).withColumn("start_lba", F.col("lba")).withColumn("gap", F.lit(None).cast("bigint"))
          .withColumn("extents", F.array(_extent(F.col("lba"), F.col("blocks"))))
-         .withColumn("expected_bytes", F.when(F.col("is_ok"), F.octet_length("payload")).cast("bigint"))
+         .withColumn("expected_bytes", F.when(F.col("is_ok"), F.col("payload_length")).cast("bigint"))
          .withColumn("original_path", F.lit(None).cast("string"))
          .withColumn("limitations", F.when(~F.col("is_ok"), F.format_string(
-             "Truncated candidate (EOF): %d bytes verified, footer or tail missing", F.col("length")))))
-    w = assign_ids(w, keys, 2)
-    w = w.withColumn("filename", F.format_string("%s_%04d.%s", F.when(F.col("is_ok"), "carved_file").otherwise("carved_partial"),
-                                                 F.col("artifact_id"), F.col("file_type")))
-    return _finish(w, keys, entropy_score)
+             "Truncated candidate (EOF): %d bytes verified, footer or tail missing", F.col("length"))))
+         .withColumn("filename", F.format_string("%s_%04d.%s", F.when(F.col("is_ok"), "carved_file").otherwise("carved_partial"),
+                                                 F.col("artifact_id"), F.col("file_type"))))
 
 
 # ---- tier 1 ------------------------------------------------------------------------
-MAX_PAYLOAD = 256 << 20
-
-
 def _mapped_bytes(block_size: int) -> Column:
     """Bytes an entry can yield: its extents, cut to its size."""
     blocks = F.aggregate(F.coalesce("location.extents", F.array().cast(EXTENTS)), F.lit(0).cast("bigint"), lambda a, x: a + x["block_count"])
@@ -401,10 +435,8 @@ def tier1_artifacts(entries: DataFrame, chunks: DataFrame, keys: Sequence[str],
     lost = F.col("large_hash").isNull()
     big = (big.withColumn("entropy", scoring.entropy_consistency(F.col("byte_entropy"), F.col("file_type"), lost))
            .withColumn("limitations", F.when(lost, "Payload unavailable or overwritten"))
-           .withColumn("payload", F.when(lost, F.lit(b"")))
-           .withColumn("confidence_score", scoring.composite()).withColumn("content_hash", F.coalesce("large_hash", F.sha2("payload", 256)))
-           .withColumn("recovered_bytes", F.coalesce("large_bytes", F.lit(0).cast("bigint"))).select(*keys, *ARTIFACT_COLUMNS))
-    return done.unionByName(big)
+           .withColumn("payload", F.when(lost, F.lit(b""))))
+    return done.unionByName(_with_content(big, keys))
 
 
 def blocking_extents(entries: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -608,7 +640,8 @@ def supersede_partials(earlier: DataFrame, tier3: DataFrame, keys: Sequence[str]
 
 def recover_image(chunks: DataFrame, signatures: DataFrame, keys: Sequence[str] = ("image_id",), entries: DataFrame | None = None,
                   tiers: Sequence[int] = (1, 2, 3), types: Sequence[str] | None = None, radius: int = DEFAULT_RADIUS,
-                  entropy_score=None, head_bytes: int | None = None, max_expected: int = MAX_EXPECTED, widest: int = WIDEST) -> DataFrame:
+                  entropy_score=None, head_bytes: int | None = None, max_expected: int = MAX_EXPECTED,
+                  max_payload: int = MAX_PAYLOAD) -> DataFrame:
     """CRV-12: tiers 1, 2, 3 in order; extents claimed by one tier are closed to the next.
 
     ``entries`` are the decoded directory entries of the wanted partition (offset applied
@@ -620,14 +653,14 @@ def recover_image(chunks: DataFrame, signatures: DataFrame, keys: Sequence[str]
     empty = totals.select(*keys, F.lit(0).cast("bigint").alias("start_lba"), F.lit(0).cast("bigint").alias("block_count")).limit(0)
     claims, out = empty, None
     if 1 in tiers and entries is not None:
-        out = tier1_artifacts(entries, chunks, keys, entropy_score)
+        out = tier1_artifacts(entries, chunks, keys, entropy_score, max_payload)
         claims = blocking_extents(entries, keys)
     hits = None
     if 2 in tiers or 3 in tiers:
         hits = cut_lineage(candidates(block_heads(chunks, keys, head_bytes), signatures, keys, claims, types))
     if 2 in tiers:
-        chosen = cut_lineage(greedy_select(sized_results(judged(hits, chunks, totals, keys, widest=widest)), keys))
-        two = tier2_artifacts(chosen, chunks, signatures, keys, entropy_score)
+        chosen = cut_lineage(greedy_select(sized_results(judged(hits, chunks, totals, keys)), keys))
+        two = tier2_artifacts(chosen, chunks, signatures, keys, entropy_score, max_payload=max_payload)
         out = two if out is None else out.unionByName(two)
         claims = claims.unionByName(chosen.where("is_ok").select(*keys, F.col("lba").alias("start_lba"), F.col("blocks").alias("block_count")))
     if 3 in tiers:
