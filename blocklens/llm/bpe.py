@@ -77,14 +77,20 @@ def _encoder(path: str):
 
 
 def _word_ids(replies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all words one after another, where each word begins, and how many it has."""
-    flat = wordtable.unpack_numbers(b"".join(replies))
-    starts, at, sizes = [], 0, flat.tolist()
-    while at < len(sizes):
-        starts.append(at)
-        at += sizes[at] + 1
-    starts = np.array(starts, np.int64)
-    return flat, starts + 1, flat[starts] if len(starts) else starts
+    """Ids of all words one after another, where each word begins, and how many it has; one reply at a time."""
+    parts, begins, base = [], [], 0
+    for reply in replies:
+        flat = wordtable.unpack_numbers(reply)
+        starts, at, sizes = [], 0, flat.tolist()
+        while at < len(sizes):
+            starts.append(at)
+            at += sizes[at] + 1
+        parts.append(flat)
+        begins.append(np.array(starts, np.int64) + base)
+        base += len(flat)
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    starts = np.concatenate(begins) if begins else np.zeros(0, np.int64)
+    return flat, starts + 1, flat[starts]
 
 
 def _finish():

@@ -79,8 +79,14 @@ def sizes_of(values: np.ndarray) -> np.ndarray:
     return size
 
 
+#: numbers and bytes packed or unpacked at once: what the work arrays hold, not the result
+PACK_STEP = 1 << 18
+
+
 def pack_numbers(values: np.ndarray) -> bytes:
     """Variable-length numbers below 2 ** 35, seven bits a byte, low bits first."""
+    if len(values) > PACK_STEP:
+        return b"".join(pack_numbers(values[at:at + PACK_STEP]) for at in range(0, len(values), PACK_STEP))
     v = values.astype(np.int64)
     size = sizes_of(v)
     ends = np.cumsum(size)
@@ -95,9 +101,17 @@ def pack_numbers(values: np.ndarray) -> bytes:
 
 
 def unpack_numbers(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.int64)
+    raw, parts, at = np.frombuffer(data, np.uint8), [], 0
+    while at < len(raw):
+        end = min(at + PACK_STEP, len(raw))
+        while raw[end - 1] >= 0x80:  # a number of at most five bytes goes on
+            end += 1
+        parts.append(_unpack(raw[at:end]))
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def _unpack(raw: np.ndarray) -> np.ndarray:
     starts = np.flatnonzero(np.concatenate([[True], raw[:-1] < 0x80]))
     values = (raw[starts] & 0x7F).astype(np.int64)
     ends = np.append(starts[1:], len(raw))
@@ -210,7 +224,8 @@ def meet(answers: DataFrame, places: DataFrame, finish: Callable[[], Callable],
         done = finish()
         key, replies, head = None, {}, None
         for batch in batches:
-            for chunk, kind, bucket, payload in zip(*[batch.column(k).to_pylist() for k in range(4)]):
+            for at in range(batch.num_rows):
+                chunk, kind, bucket, payload = (batch.column(k)[at].as_py() for k in range(4))
                 if chunk != key:
                     key, replies, head = chunk, {}, None
                 if kind == 0:
