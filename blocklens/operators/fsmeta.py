@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blocklens.operators import ranges
+from blocklens.operators import ranges, slices
 from blocklens.session import cut_lineage
 
 # fixed values: change-journal reason bits
@@ -17,30 +17,62 @@ CONFIDENCE_ORDER = ["Low", "Reconstructed", "Partial", "Confirmed"]
 
 
 def build_paths(dir_entries: DataFrame, roots: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """FSC-1: path of every entry reachable from its root, one join per tree level.
+    """FSC-1: path and depth of every entry reachable from its root, in about log2(depth) rounds of pointer doubling.
 
-    ``dir_entries``: dir_id, entry_id, name, is_dir, unlinked. ``roots``: dir_id. A directory
-    is entered once, so cycles stop; an unlinked one is listed but not entered.
+    ``dir_entries``: dir_id, entry_id, name, is_dir, unlinked. ``roots``: dir_id. A directory is entered once, through its shortest and
+    then its first path, so cycles stop; an unlinked one is listed but not entered.
+
+    A directory with one link has one way up; these ways are doubled, first as numbers, so that cycles are found and left out, then with their
+    names. Roots and directories with several links are anchors, where a way ends; only anchors are compared with each other, in rounds
+    that follow the longest row of such directories. The entries themselves are joined once.
     """
     keys = list(keys)
-    frontier = roots.select(*keys, F.col("dir_id").alias("_at"), F.lit("").alias("_path"))
-    visited = frontier.select(*keys, "_at")
-    levels = None
-    depth = 0
+    tops = roots.select(*keys, F.col("dir_id").alias("_dir")).distinct()
+    enter = cut_lineage(dir_entries.where("is_dir AND NOT unlinked").select(*keys, F.col("entry_id").alias("_dir"), F.col("dir_id").alias("_up"), "name").distinct()
+                        .join(tops, [*keys, "_dir"], "left_anti"))
+    many = enter.groupBy(*keys, "_dir").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys, "_dir")
+    many = cut_lineage(many)
+    anchors = cut_lineage(tops.unionByName(many))
+    marks = slices.few(anchors).select(*keys, F.col("_dir").alias("_up"), F.lit(True).alias("_end"))
+    single = cut_lineage(enter.join(slices.few(many), [*keys, "_dir"], "left_anti").join(marks, [*keys, "_up"], "left").select(
+        *keys, "_dir", "_up", F.concat(F.lit("/"), "name").alias("_piece"), F.lit(1).alias("_d"), F.coalesce("_end", F.lit(False)).alias("_end")))
+    ends = _doubled(single.drop("_piece", "_d"), keys, single.count())
+    ways = _doubled(single.join(ends.select(*keys, "_dir"), [*keys, "_dir"], "left_semi"), keys)
+    # what an anchor's way up passes before the next anchor
+    over = enter.join(slices.few(many), [*keys, "_dir"], "left_semi").select(*keys, "_dir", F.col("_up").alias("_via"), "name")
+    known = ways.select(*keys, F.col("_dir").alias("_via"), "_up", "_piece", "_d").unionByName(
+        anchors.select(*keys, F.col("_dir").alias("_via"), F.col("_dir").alias("_up"), F.lit("").alias("_piece"), F.lit(0).alias("_d")))
+    steps = cut_lineage(over.join(known, [*keys, "_via"]).select(*keys, "_dir", "_up", F.concat("_piece", F.lit("/"), "name").alias("_piece"), (F.col("_d") + 1).alias("_d")))
+    best = cut_lineage(tops.withColumn("_best", F.struct(F.lit(0).alias("depth"), F.lit("").alias("path"))))
+    while True:
+        more = steps.join(best.select(*keys, F.col("_dir").alias("_up"), "_best"), [*keys, "_up"]).select(*keys, "_dir", F.struct(
+            (F.col("_best.depth") + F.col("_d")).alias("depth"), F.concat("_best.path", "_piece").alias("path")).alias("_best"))
+        now = cut_lineage(best.unionByName(more).groupBy(*keys, "_dir").agg(F.min("_best").alias("_best")))
+        if now.join(best, [*keys, "_dir", "_best"], "left_anti").isEmpty():
+            break
+        best = now
+    at = best.select(*keys, F.col("_dir").alias("_up"), "_best")
+    below = ways.join(at, [*keys, "_up"]).select(*keys, F.col("_dir").alias("dir_id"), F.concat("_best.path", "_piece").alias("_path"), (F.col("_best.depth") + F.col("_d")).alias("_d"))
+    dirs = below.unionByName(best.select(*keys, F.col("_dir").alias("dir_id"), F.col("_best.path").alias("_path"), F.col("_best.depth").alias("_d")))
+    return dir_entries.join(dirs, [*keys, "dir_id"]).select(*keys, "entry_id", "name", "is_dir", "unlinked", F.concat("_path", F.lit("/"), "name").alias("path"), (F.col("_d") + 1).alias("depth"))
+
+
+def _doubled(ways: DataFrame, keys: Sequence[str], longest: int | None = None) -> DataFrame:
+    """``ways`` (keys, _dir, _up, _end, and _piece, _d if there) followed until they end; what still goes on after ``longest`` steps is a cycle."""
+    done, now, steps = ways.where("_end"), ways, 1
+    named = "_piece" in ways.columns
     while True:
-        depth += 1
-        level = cut_lineage(
-            dir_entries.join(frontier.withColumnRenamed("_at", "dir_id"), [*keys, "dir_id"])
-            .select(*keys, "entry_id", "name", "is_dir", "unlinked",
-                    F.concat("_path", F.lit("/"), "name").alias("path"), F.lit(depth).alias("depth")))
-        if level.isEmpty():
-            return levels if levels is not None else level
-        levels = level if levels is None else levels.unionByName(level)
-        # two links to one directory: enter through the first path
-        frontier = (level.where("is_dir AND NOT unlinked").groupBy(*keys, F.col("entry_id").alias("_at"))
-                    .agg(F.min("path").alias("_path")).join(visited, [*keys, "_at"], "left_anti"))
-        frontier = cut_lineage(frontier)
-        visited = visited.unionByName(frontier.select(*keys, "_at"))
+        open_ = now.where("NOT _end")
+        if open_.isEmpty() or (longest is not None and steps > longest):
+            return done
+        ahead = now.select(*keys, F.col("_dir").alias("_up"), F.col("_up").alias("_far"), F.col("_end").alias("_stop"),
+                           *([F.col("_piece").alias("_before"), F.col("_d").alias("_more")] if named else []))
+        # ways that end are met by others in every round, so they stay in the table
+        met = open_.drop("_end").join(ahead, [*keys, "_up"]).select(*keys, "_dir", F.col("_far").alias("_up"), F.col("_stop").alias("_end"),
+                                                                     *([F.concat("_before", "_piece").alias("_piece"), (F.col("_d") + F.col("_more")).alias("_d")] if named else []))
+        met = cut_lineage(met)
+        done = done.unionByName(met.where("_end").select(*done.columns))
+        now, steps = cut_lineage(now.where("_end").unionByName(met.select(*now.columns))), steps * 2
 
 
 def follow_chain(table: DataFrame, starts: DataFrame, total: Column | int, keys: Sequence[str], first: int = 2) -> DataFrame:

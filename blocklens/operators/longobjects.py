@@ -30,16 +30,9 @@ BLOCK = 512
 KINDS = ("png", "mp4", "pdf", "zip", "sqlite")
 #: bytes kept at each side of a chunk's border
 SEAM = marks.LOOK + marks.BACK
-#: rows of a narrow table that may be broadcast
-SMALL = 50_000
 _MARK = "kind string, pos long, nxt long, flag long, ref long, opens long, closes long"
 
 
-def few(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """``df``, a written table of narrow rows, broadcast if a count finds it small; otherwise the join is left to Spark."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def _marks_of(kinds: Sequence[str], n_keys: int):
     """Batches (keys, start, size of what precedes, its checksum, bytes, low, high) to mark rows."""
     def run(batches):
@@ -153,7 +146,7 @@ def advance(points: DataFrame, levels: list[DataFrame], keys: Sequence[str]) ->
 def peek(points: DataFrame, chunks: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
     """``points`` with ``bytes``: up to ``width`` bytes from byte ``cur`` on; null where the medium has none."""
     keys = list(keys)
-    where = few(cut_lineage(points.select(*keys, "cur").distinct()))
+    where = slices.few(cut_lineage(points.select(*keys, "cur").distinct()))
     lo, hi = F.greatest(F.col("cur"), F.col("start_lba") * BLOCK), F.least(F.col("cur") + width, (F.col("start_lba") + F.col("n")) * BLOCK)
     # a chunk row lies in one or more slices of blocks, a point in one or two
     width_blocks = ranges.WIDTH
@@ -220,7 +213,7 @@ def verdicts(cands: DataFrame, chunks: DataFrame, keys: Sequence[str]) -> DataFr
     walked = [k for k in kinds if k != "sqlite"]
     index = levels = None
     if walked:
-        bounds = few(cut_lineage(open_.where("kind <> 'sqlite'").groupBy(*keys).agg(F.min("lba").alias("_lo"), F.max(F.col("until") / BLOCK).cast("long").alias("_hi"))))
+        bounds = slices.few(cut_lineage(open_.where("kind <> 'sqlite'").groupBy(*keys).agg(F.min("lba").alias("_lo"), F.max(F.col("until") / BLOCK).cast("long").alias("_hi"))))
         near = chunks.join(bounds, keys).where("start_lba + n > _lo AND start_lba < _hi").drop("_lo", "_hi")
         index = mark_index(near, keys, walked)
     if {"png", "mp4"} & set(kinds):

@@ -80,3 +80,34 @@ def test_zeroed_chain_falls_back_to_run(spark):
     assert by == {1: [2, 3], 2: [6, 7], 3: [3, 4, 5, 6, 7, 8, 9]}
     conf = {r["entry_id"]: r["confidence"] for r in fsmeta.deleted_confidence(got, ["volume"]).collect()}
     assert conf == {1: "Confirmed", 2: "Partial", 3: "Partial"}
+
+
+def plain_paths(rows, roots):
+    """Breadth first; a directory is entered once, through the first path of its level."""
+    level, seen, out, depth = {r: "" for r in roots}, set(roots), [], 0
+    while level:
+        depth += 1
+        found = [(e, d, u, f"{level[a]}/{n}") for a, e, n, d, u in rows if a in level]
+        out += [(e, p, depth) for e, _, _, p in found]
+        level = {}
+        for e, d, u, p in found:
+            if d and not u and e not in seen:
+                level[e] = min(p, level.get(e, p))
+        seen |= set(level)
+    return sorted(out)
+
+
+def test_paths_of_deep_trees_cycles_and_second_links(spark):
+    import random
+    rng = random.Random(4)
+    rows = [(i, i + 1, f"d{i}", True, False) for i in range(150)]  # one long branch
+    rows += [(rng.randrange(150), 1000 + i, f"x{i}", i % 3 > 0, i % 7 == 0) for i in range(120)]
+    rows += [(1000 + i, 2000 + i, f"f{i}", False, False) for i in range(120)]
+    rows += [(rng.randrange(150), 3000 + i % 9, f"m{i}", True, False) for i in range(27)]  # several links, some to each other
+    rows += [(3000 + i, 3000 + (i + 1) % 9, "next", True, False) for i in range(9)] + [(3004, 0, "back to the root", True, False), (3005, 40, "up", True, False)]
+    rows += [(5000, 5001, "a", True, False), (5001, 5002, "b", True, False), (5002, 5000, "c", True, False), (5001, 5003, "lost", False, False)]  # reached from nowhere
+    rows += [(6000, 6001, "dangling", True, False), (6001, 6002, "too", False, False)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "volume int, dir_id long, entry_id long, name string, is_dir boolean, unlinked boolean")
+    got = fsmeta.build_paths(df, spark.createDataFrame([(1, 0)], "volume int, dir_id long"), ["volume"])
+    assert sorted((r["entry_id"], r["path"], r["depth"]) for r in got.collect()) == plain_paths(rows, [0])
+    assert fsmeta.build_paths(df.limit(0), spark.createDataFrame([(1, 0)], "volume int, dir_id long"), ["volume"]).count() == 0
