@@ -225,24 +225,20 @@ def sized_results(validated: DataFrame) -> DataFrame:
 def greedy_select(sized: DataFrame, keys: Sequence[str], cut_width: int = FOLD_SLICE) -> DataFrame:
     """CRV-6: left-to-right choice per image.
 
-    One winner per block (first signature in list order), then an exact ordered fold: an
-    accepted whole object claims its blocks, later starts inside them are dropped,
-    partials claim nothing. The fold runs per (image, slice of blocks), see ``fold_slices``.
+    One winner per block (first signature in list order). An accepted whole object claims its blocks, later starts inside them are dropped,
+    partials claim nothing. Behind every whole object the next choice is the first whole one at or after its end, so the chosen ones are
+    those on the way from an image's first: found by doubling, in rounds that follow the logarithm of the choices.
     """
     rest = [c for c in sized.columns if c not in (*keys, "lba")]
-    first = sized.groupBy(*keys, "lba").agg(F.min_by(F.struct(*rest), "sig_order").alias("_w")).select(*keys, "lba", "_w.*")
-
-    def step(state, lba, whole, blocks):
-        taken = state is None or lba >= int(state[0])
-        return ((str(lba + blocks),) if taken and whole else state), taken
-
-    def settle(state, slice_no):
-        # a claim that ends inside its slice cannot reach the next one
-        return state if state is not None and int(state[0]) > (slice_no + 1) * cut_width else None
-
-    done = slices.fold_slices(first, keys, ["lba"], slices.by_width("lba", cut_width), step, ["lba", "is_ok", "blocks"],
-                              "taken boolean", ["until"], cut_lineage, settle)
-    return first.join(done.where("taken").select(*keys, "lba"), [*keys, "lba"], "left_semi")
+    first = cut_lineage(sized.groupBy(*keys, "lba").agg(F.min_by(F.struct(*rest), "sig_order").alias("_w")).select(*keys, "lba", "_w.*"))
+    whole = first.where("is_ok").select(*keys, F.col("lba").alias("_from"), (F.col("lba") + F.greatest(F.col("blocks"), F.lit(1))).alias("lba"))
+    after = slices.next_at_or_after(whole, first.where("is_ok").select(*keys, "lba"), keys, "lba", cut_width, "_next")
+    ways = after.where("_next IS NOT NULL").select(*keys, F.col("_from").alias("lba"), "_next")
+    heads = first.where("is_ok").groupBy(*keys).agg(F.min("lba").alias("lba"))
+    chosen = slices.reachable(heads, ways, keys, "lba", "_next", cut_lineage)
+    taken = first.where("is_ok").join(chosen, [*keys, "lba"], "left_semi")
+    parts = ranges.points_in_ranges(first.where("NOT is_ok"), taken.select(*keys, F.col("lba").alias("start_lba"), F.col("blocks").alias("block_count")), keys, "left_anti")
+    return taken.unionByName(parts)
 
 
 def assign_ids(artifacts: DataFrame, keys: Sequence[str], tier: int, order: str = "start_lba") -> DataFrame:

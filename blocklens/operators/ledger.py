@@ -190,23 +190,25 @@ def attempts_of(events: DataFrame, keys: Sequence[str]) -> DataFrame:
 def custody_admit(events: DataFrame, keys=("evidence_id",), slice_width: int = SEQ_SLICE) -> DataFrame:
     """CUS-3: like CUS-2, but a refused attempt does not enter the history.
 
-    Exact ordered fold in slices of ``event_id``: the state is the last accepted event, and
-    a slice is walked again only if the state entering it turns out different.
+    The last accepted event need not be carried along: nothing is accepted before the first opening; from there an attempt with its parties is
+    refused if it is earlier than some such attempt before it, because the accepted times only rise; a time that cannot be read is
+    accepted and starts the comparison anew; nothing is accepted after the first accepted terminal event. Running maxima
+    in slices of ``event_id`` decide it, in a fixed number of steps.
     """
-    def step(state, kind, has_parties, micros):
-        last = None if state is None else (state[0], None if state[1] is None else int(state[1]))
-        at = None if micros is None or micros != micros else int(micros)
-        why = judge(last, kind, has_parties, at)
-        if why is None:
-            state = (kind, None if at is None else str(at))
-        return state, why
-
-    def settle(state, _slice):
-        # after a terminal event its time no longer matters
-        return (state[0], None) if state is not None and state[0] in TERMINAL else state
-
-    done = slices.fold_slices(attempts_of(events, keys), list(keys), ["event_id"], slices.by_width("event_id", slice_width), step,
-                              ["event_type", "has_parties", "micros"], "reason string", ["kind", "at"], cut_lineage, settle)
+    keys = list(keys)
+    cut = slices.by_width("event_id", slice_width)
+    kind = F.col("event_type")
+    rows = attempts_of(events, keys)
+    opened = rows.where(kind.isin(OPENING)).groupBy(*keys).agg(F.min("event_id").alias("_open"))
+    rows = rows.join(opened, keys, "left").withColumn("_begun", F.coalesce(F.col("event_id") >= F.col("_open"), F.lit(False)))
+    rows = rows.withColumn("_lacks", (kind == "Transferred") & ~F.col("has_parties")).withColumn("_counts", F.col("_begun") & ~F.col("_lacks"))
+    rows = slices.running_total(rows, keys, ["event_id"], cut, (F.col("_counts") & F.col("micros").isNull()).cast("bigint"), "_part", inclusive=False)
+    rows = slices.max_so_far(rows, [*keys, "_part"], ["event_id"], cut, F.when(F.col("_counts"), F.col("micros")), "_latest")
+    rows = cut_lineage(rows.withColumn("_early", F.coalesce(F.col("micros") < F.col("_latest"), F.lit(False))))
+    ended = rows.where(F.col("_counts") & ~F.col("_early") & kind.isin(TERMINAL)).groupBy(*keys).agg(F.min("event_id").alias("_end"))
+    reason = (F.when(~F.col("_begun"), "invalid_initial").when(F.col("event_id") > F.col("_end"), "after_terminal")
+              .when(F.col("_lacks"), "missing_parties").when(F.col("_early"), "time_backwards"))
+    done = rows.join(ended, keys, "left").withColumn("reason", reason)
     return done.select(*keys, "event_id", "event_type", "reason", F.col("reason").isNull().alias("accepted"))
 
 

@@ -104,6 +104,33 @@ def max_so_far(df: DataFrame, keys: Sequence[str], order: Sequence[str], cut: Co
             .drop("_v", "_in", "_before", SLICE))
 
 
+def next_at_or_after(points: DataFrame, marks: DataFrame, keys: Sequence[str], at: str, width: int, name: str) -> DataFrame:
+    """Per row of ``points`` the smallest ``at`` of ``marks`` that is not below its own; null if there is none. One shuffle, no range join."""
+    both = points.withColumn("_tag", F.lit(0)).unionByName(marks.select(*keys, at).withColumn("_tag", F.lit(1)), allowMissingColumns=True)
+    cut = both.withColumn(SLICE, by_width(at, width)).withColumn("_v", F.when(F.col("_tag") == 1, F.col(at)))
+    inner = cut.withColumn("_in", F.min("_v").over(_inside(keys, [at, "_tag"]).rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    heads = cut.groupBy(*keys, SLICE).agg(F.min("_v").alias("_m")).withColumn("_later", F.min("_m").over(_over_slices(keys).rowsBetween(1, Window.unboundedFollowing))).drop("_m")
+    return inner.where("_tag = 0").join(heads, [*keys, SLICE], "left").withColumn(name, F.coalesce("_in", "_later")).drop("_tag", "_v", "_in", "_later", SLICE)
+
+
+def reachable(starts: DataFrame, links: DataFrame, keys: Sequence[str], at: str, to: str, cut_lineage) -> DataFrame:
+    """Every (keys, at) on the way from ``starts`` along ``links`` (keys, at, to), each place having one way on and ways leading ahead only.
+
+    Ways are doubled, then taken from the longest to the shortest: about twice log2(longest way) joins, however many rows or slices there are.
+    """
+    levels = [cut_lineage(links.select(*keys, at, to))]
+    while True:
+        ahead = levels[-1].select(*keys, F.col(at).alias(to), F.col(to).alias("_far"))
+        more = cut_lineage(levels[-1].join(ahead, [*keys, to]).select(*keys, at, F.col("_far").alias(to)))
+        if more.isEmpty():
+            break
+        levels.append(more)
+    met = cut_lineage(starts.select(*keys, at))
+    for level in reversed(levels):
+        met = cut_lineage(met.unionByName(met.join(level, [*keys, at]).select(*keys, F.col(to).alias(at))))
+    return met
+
+
 def fold_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], cut: Column, step, values: Sequence[str],
                 result: str, state_fields: Sequence[str], cut_lineage, settle=None) -> DataFrame:
     """Exact ordered fold per key over slices; gives keys, order, values and the ``result`` column.

@@ -140,12 +140,12 @@ def assign_ids(spark, sf):
     return carve.assign_ids(one, IMG, 2)
 
 
-@query("crv08_gap_plan", f"""WITH {LAYOUT}, e(i, g) AS (VALUES (0,8),(1,16),(2,32),(3,4),(4,64),(5,24),(6,40)),
- p AS (SELECT i AS gap_rank, g AS gap FROM e UNION ALL SELECT 6 + row_number() OVER (ORDER BY r), r FROM range(1, 65) t(r) WHERE r NOT IN (SELECT g FROM e))
+@query("crv08_gap_plan", f"""WITH {LAYOUT}, e(i, g) AS (VALUES (0,8),(1,16),(2,32),(3,4),(4,64),(5,24),(6,40),(7,128),(8,256),(9,512),(10,1024),(11,2048)),
+ p AS (SELECT i AS gap_rank, g AS gap FROM e UNION ALL SELECT 11 + row_number() OVER (ORDER BY r), r FROM range(1, 2049) t(r) WHERE r NOT IN (SELECT g FROM e))
 SELECT image_id, CAST(gap_rank AS INT) AS gap_rank, CAST(gap AS BIGINT) AS gap FROM tot JOIN p ON gap < total""")
 def gap_plan(spark, sf):
     lay = layout(spark, sf).groupBy("image_id").agg(F.sum("blocks").alias("total_blocks"))
-    plan = F.array(*[F.struct(F.lit(i).alias("gap_rank"), F.lit(g).cast("bigint").alias("gap")) for i, g in enumerate(carve.gap_plan(64))])
+    plan = F.array(*[F.struct(F.lit(i).alias("gap_rank"), F.lit(g).cast("bigint").alias("gap")) for i, g in enumerate(carve.gap_plan())])
     return lay.select("image_id", "total_blocks", F.explode(plan).alias("_g")).select("image_id", "_g.*", "total_blocks").where("gap < total_blocks").drop("total_blocks")
 
 
@@ -231,7 +231,7 @@ def recover(spark, sf):
 def recovery_check(spark, sf):
     wiped = F.when(F.col("image_id") % 2 == 0, ct.zeros(F.octet_length("payload"))).otherwise(F.col("payload"))
     m = cut_lineage(ct.media_of(ct.mixed(spark, sf)).withColumn("payload", wiped))
-    got = carve.recover_image(m, signatures.signature_rows(spark), IMG, tiers=(2, 3), radius=64)
+    got = carve.recover_image(m, signatures.signature_rows(spark), IMG, tiers=(2, 3))
     return wipe.recovery_check(got, carve.total_blocks(m, IMG), IMG)
 
 

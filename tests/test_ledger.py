@@ -113,3 +113,24 @@ def test_paged_report_is_whole(spark):
     assert max(len(p["items"]) for p in pages) == 100 and sum(len(p["items"]) for p in pages) == 2500
     hot = [x for p in sorted((p for p in pages if p["case_id"] == "hot"), key=lambda p: p["part"]) for x in p["items"]]
     assert hot == sorted(hot)
+
+
+def test_admission_equals_the_sequential_fold(spark):
+    import random
+    rng, rows = random.Random(11), []
+    kinds = ["Seized", "Received", "Transferred", "Analyzed", "Stored", "Returned"]
+    for item in range(40):
+        for k in range(rng.randrange(60)):
+            kind = rng.choices(kinds, [2, 1, 4, 4, 4, 0.15 if item % 2 else 2])[0]
+            at = None if rng.random() < 0.1 else 1_600_000_000 + k * 60 + rng.randrange(-200, 200)
+            rows.append((f"e{item}", item * 1000 + k * 3, kind, None if at is None else at, rng.choice([None, "a"]), rng.choice([None, "b", "c"])))
+    df = spark.createDataFrame(rows, "evidence_id string, event_id long, event_type string, at long, from_party string, to_party string").selectExpr("*", "timestamp_seconds(at) as ts")
+    want, last = {}, {}
+    for item, event, kind, at, a, b in sorted(rows, key=lambda r: r[1]):
+        why = ledger.judge(last.get(item), kind, a is not None and b is not None, None if at is None else at * 1_000_000)
+        want[event] = why
+        if why is None:
+            last[item] = (kind, None if at is None else at * 1_000_000)
+    for width in (7, 1 << 16):
+        assert {r["event_id"]: r["reason"] for r in ledger.custody_admit(df, slice_width=width).collect()} == want
+    assert {None, "invalid_initial", "after_terminal", "missing_parties", "time_backwards"} == set(want.values())
