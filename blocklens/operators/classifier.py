@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
+from pyspark.errors import AnalysisException
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blocklens.functions import scoring
 from blocklens.functions.payload import FEATURE_NAMES
-from blocklens.operators import byte_stats, slices
+from blocklens.operators import boosting, byte_stats, slices
+from blocklens.operators.boosting import Boosted
 from blocklens.session import cut_lineage
 
 # fixed values: claimed type -> class of the model
@@ -41,38 +43,42 @@ def features_of(objects: DataFrame, ids: Sequence[str], payload: str = "payload"
 
 
 def train_file_type(train: DataFrame, label: str = "label", rounds: int = 60, depth: int = 4, rate: float = 0.1, subsample: float = 0.85,
-                    seed: int = 42, boosted: bool = True) -> PipelineModel:
-    """ML-2: one boosted ensemble per class, or a random forest as the native multi-class form."""
+                    seed: int = 42, boosted: bool = True) -> Boosted | PipelineModel:
+    """ML-2: trees boosted over all classes at once (``boosting``), or a random forest as MLlib's native multi-class form."""
+    if boosted:
+        return boosting.fit(train, label, "features", rounds, depth, rate, subsample, seed)
     train = cut_lineage(train)  # fitting reads the features many times
     index = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc")
-    if boosted:
-        tree = GBTClassifier(labelCol="label_index", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=rate,
-                             subsamplingRate=subsample, seed=seed)
-        learner = OneVsRest(classifier=tree, labelCol="label_index", featuresCol="features")
-    else:
-        learner = RandomForestClassifier(labelCol="label_index", featuresCol="features", rawPredictionCol="raw", numTrees=rounds,
-                                         maxDepth=depth, subsamplingRate=subsample, seed=seed)
+    learner = RandomForestClassifier(labelCol="label_index", featuresCol="features", rawPredictionCol="raw", numTrees=rounds,
+                                     maxDepth=depth, subsamplingRate=subsample, seed=seed)
     return Pipeline(stages=[index, learner]).fit(train)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
+def save_model(model: Boosted | PipelineModel, path: str) -> None:
     """Stores a fitted classifier with its classes; ``path`` is a shared folder."""
-    model.write().overwrite().save(path)
+    if isinstance(model, Boosted):
+        boosting.save(model, path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> Boosted | PipelineModel:
+    # a stored pipeline is a folder of folders, a boosted model one of text files
+    try:
+        return boosting.load(path)
+    except (ValueError, TypeError, AnalysisException):
+        return PipelineModel.load(path)
 
 
-def classes_of(model: PipelineModel) -> list[str]:
-    return list(model.stages[0].labels)
+def classes_of(model: Boosted | PipelineModel) -> list[str]:
+    return list(model.classes if isinstance(model, Boosted) else model.stages[0].labels)
 
 
-def importances_of(model: PipelineModel) -> list[float]:
-    """One weight per feature: the forest's, or the mean over the per-class ensembles."""
-    learner = model.stages[-1]
-    parts = learner.models if hasattr(learner, "models") else [learner]
-    return [float(sum(m.featureImportances[i] for m in parts) / len(parts)) for i in range(len(FEATURE_NAMES))]
+def importances_of(model: Boosted | PipelineModel) -> list[float]:
+    """One weight per feature, adding up to one: its share of the gain of all splits, or the forest's."""
+    if isinstance(model, Boosted):
+        return model.gain.tolist()
+    return [float(model.stages[-1].featureImportances[i]) for i in range(len(FEATURE_NAMES))]
 
 
 def rank_importances(spark: SparkSession, model: PipelineModel, k: int = 15) -> DataFrame:
@@ -82,13 +88,6 @@ def rank_importances(spark: SparkSession, model: PipelineModel, k: int = 15) ->
     return spark.createDataFrame(rows, "rank int, feature_index int, feature string, importance double")
 
 
-def softmax(raw: Column) -> Column:
-    top = F.array_max(raw)
-    e = F.transform(raw, lambda v: F.exp(v - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(e, lambda v: v / total)
-
-
 def winner(df: DataFrame, classes: Sequence[str], probs: str = "probs") -> DataFrame:
     """Largest probability, the first class on a tie; unknown when nothing is above 0."""
     names = F.array(*[F.lit(c) for c in classes])
@@ -98,18 +97,12 @@ def winner(df: DataFrame, classes: Sequence[str], probs: str = "probs") -> DataF
             .withColumn("predicted", F.when(best > 0, F.element_at(names, at)).otherwise("unknown")))
 
 
-def classify(features: DataFrame, model: PipelineModel) -> DataFrame:
+def classify(features: DataFrame, model: Boosted | PipelineModel) -> DataFrame:
     """ML-5: distribution per class, winner and its probability."""
-    learner = model.stages[-1]
-    if hasattr(learner, "models"):
-        # margin of every per-class ensemble on the shared features, all in one projection chain
-        out = features
-        for i, m in enumerate(learner.models):
-            out = m.copy({m.rawPredictionCol: f"_r{i}", m.probabilityCol: f"_p{i}", m.predictionCol: f"_c{i}"}).transform(out)
-        margins = F.array(*[vector_to_array(f"_r{i}")[1] for i in range(len(learner.models))])
-        out = out.withColumn("probs", softmax(margins)).drop(*[f"_{k}{i}" for i in range(len(learner.models)) for k in "rpc"])
+    if isinstance(model, Boosted):
+        out = features.withColumn("probs", boosting.probabilities(model))
     else:
-        out = learner.transform(features).withColumn("probs", vector_to_array("probability")).drop("probability", "raw", "prediction")
+        out = model.stages[-1].transform(features).withColumn("probs", vector_to_array("probability")).drop("probability", "raw", "prediction")
     return winner(out, classes_of(model))
 
 

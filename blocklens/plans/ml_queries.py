@@ -12,7 +12,6 @@ from blocklens.plans.catalog import query, r6, table
 from blocklens.session import checkpoint_root, cut_lineage
 
 
-
 def featured(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("label"), F.encode("text", "UTF-8").alias("payload"))
     return ml.features_of(docs, ["doc_id", "label"])
@@ -24,8 +23,21 @@ def labelled(spark, sf):
     return featured(spark, sf).join(ml.stratified_split(ids, "label", "doc_id").drop("label"), "doc_id")
 
 
-def forest(spark, sf):
-    return ml.train_file_type(labelled(spark, sf).where("is_train"), boosted=False)
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark, sf, what, fit):
+    """A model is fitted once per session and input, stored in the shared folder and loaded by every query that asks for it."""
+    key = (spark.sparkContext.applicationId, sf, what)
+    if key not in _STORED:
+        at = f"{checkpoint_root(spark)}/models/{uuid.uuid4().hex}"
+        ml.save_model(fit(), at)
+        _STORED[key] = at
+    return ml.load_model(_STORED[key])
+
+
+def language_model(spark, sf):
+    return stored(spark, sf, "language", lambda: ml.train_file_type(labelled(spark, sf).where("is_train")))
 
 
 def files(spark, sf):
@@ -45,12 +57,10 @@ def file_features(spark, sf):
     return cut_lineage(ml.features_of(f, ["page_id", "label"]).join(ids, "page_id"))
 
 
-def file_forest(spark, sf):
-    """Fitted on the training share, stored and loaded again."""
+def file_model(spark, sf):
+    """The features and the model fitted on their training share."""
     data = file_features(spark, sf)
-    at = f"{checkpoint_root(spark)}/models/{uuid.uuid4().hex}"
-    ml.save_model(ml.train_file_type(data.where("is_train"), boosted=False), at)
-    return data, ml.load_model(at)
+    return data, stored(spark, sf, "files", lambda: ml.train_file_type(data.where("is_train")))
 
 
 FILES = f"""fl AS (SELECT page_id, {list(ct.FORMATS)!r}[page_id % 7 + 1] AS label FROM pages),
@@ -61,15 +71,23 @@ FILES = f"""fl AS (SELECT page_id, {list(ct.FORMATS)!r}[page_id % 7 + 1] AS labe
 SELECT class, support, true AS reliable FROM t UNION ALL SELECT 'macro', CAST(sum(support) AS BIGINT), true FROM t""")
 def file_types(spark, sf):
     """Held-out quality of the seven formats: macro F1 of 0.95 or more, and of every class."""
-    data, model = file_forest(spark, sf)
+    data, model = file_model(spark, sf)
     got = ml.evaluate_classifier(ml.classify(data.where("NOT is_train"), model))
     return got.select("class", "support", (F.col("f1") >= 0.95).alias("reliable"))
 
 
+@query("ml2_file_quality")
+def file_quality(spark, sf):
+    """Precision, recall and F1 of every format and their means, on the held-out files."""
+    data, model = file_model(spark, sf)
+    got = ml.evaluate_classifier(ml.classify(data.where("NOT is_train"), model))
+    return got.select("class", "support", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
 @query("ml5_file_classes", f"""WITH {FILES} SELECT page_id, label, 7 AS classes, 1.0::DOUBLE AS total, true AS named FROM sp""")
 def file_classes(spark, sf):
     """Distributions over the classes add up to one and the winner is one of them."""
-    data, model = file_forest(spark, sf)
+    data, model = file_model(spark, sf)
     got = ml.classify(data, model)
     total = F.aggregate("probs", F.lit(0.0), lambda a, v: a + v)
     return got.select("page_id", "label", F.size("probs").alias("classes"), F.round(total, 6).alias("total"), F.col("predicted").isin(*ml.classes_of(model)).alias("named"))
@@ -78,7 +96,7 @@ def file_classes(spark, sf):
 @query("ml7_file_basis", f"WITH {FILES} SELECT page_id, true AS told FROM sp")
 def file_basis(spark, sf):
     """The text names the winner, its share and three features with their values."""
-    data, model = file_forest(spark, sf)
+    data, model = file_model(spark, sf)
     got = ml.explain(ml.classify(data, model), model)
     shape = r"^ML Model: \w+ \(\d+\.\d% prob\) \| Top Features: \[\S+: -?\d+\.\d{4}, \S+: -?\d+\.\d{4}, \S+: -?\d+\.\d{4}\]$"
     return got.select("page_id", (F.col("basis").rlike(shape) & F.col("basis").contains(F.concat(F.lit("Model: "), "predicted", F.lit(" ")))).alias("told"))
@@ -92,10 +110,8 @@ def split(spark, sf):
 
 @query("ml2_train_file_type")
 def train(spark, sf):
-    """Boosted ensembles per class, few rounds; test accuracy per class."""
-    data = labelled(spark, sf)
-    model = ml.train_file_type(data.where("is_train"), rounds=3)
-    got = ml.classify(data.where("NOT is_train"), model)
+    """Held-out quality per language of the boosted model."""
+    got = ml.classify(labelled(spark, sf).where("NOT is_train"), language_model(spark, sf))
     return ml.evaluate_classifier(got).select("class", "support", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
 
 
@@ -121,12 +137,12 @@ def matrix(spark, sf):
 
 @query("ml4_rank_importances")
 def importances(spark, sf):
-    return ml.rank_importances(spark, forest(spark, sf), 15).withColumn("importance", r6("importance"))
+    return ml.rank_importances(spark, language_model(spark, sf), 15).withColumn("importance", r6("importance"))
 
 
 @query("ml5_classify")
 def classify(spark, sf):
-    return ml.classify(featured(spark, sf), forest(spark, sf)).select("doc_id", "label", "predicted", r6("probability").alias("probability"))
+    return ml.classify(featured(spark, sf), language_model(spark, sf)).select("doc_id", "label", "predicted", r6("probability").alias("probability"))
 
 
 PROB = """pb AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, [l_discount * 5, CASE WHEN l_linenumber = 1 THEN 0 ELSE l_tax * 6 END, l_discount * 5] AS probs,
@@ -161,5 +177,5 @@ def consistency(spark, sf):
 
 @query("ml7_explain")
 def explain(spark, sf):
-    m = forest(spark, sf)
+    m = language_model(spark, sf)
     return ml.explain(ml.classify(featured(spark, sf), m), m).select("doc_id", "predicted", "basis")

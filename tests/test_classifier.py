@@ -63,3 +63,38 @@ def test_classifier_scores_carved_files(spark, model):
     assert plain.keys() == scored.keys() == {4, 30}
     assert all(scored[k]["content_hash"] == plain[k]["content_hash"] and 0.1 <= scored[k]["entropy"] <= 1 for k in scored)
     assert scored[30]["entropy"] >= 0.6
+
+
+def test_boosting_equals_one_machine(spark):
+    """The distributed trees next to the same rule over one table in numpy."""
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+
+    from blocklens.operators import boosting
+    rng = np.random.default_rng(5)
+    x = np.round(rng.random((240, 6)), 2)
+    x[:, 5] = 1.0  # never varies
+    y = (x[:, 0] > 0.5).astype(int) + (x[:, 1] * x[:, 2] > 0.3)
+    df = spark.createDataFrame([(f"c{k}", v.tolist()) for k, v in zip(y, x)], "label string, v array<double>").repartition(5).withColumn("features", array_to_vector("v"))
+    model = boosting.fit(df, rounds=3, depth=2, subsample=1.0)
+    bins, prior = boosting.binned(x, model.edges), np.log(np.bincount(y) / len(y))
+    raw = np.tile(prior, (len(y), 1))
+    for turn in range(3):
+        p = boosting.softmax(raw)
+        for k in range(3):
+            g, h = p[:, k] - (y == k), np.maximum(p[:, k] * (1 - p[:, k]), 1e-6)
+            node = np.zeros(len(y), int)
+            for level in range(2):
+                for n in range(2**level - 1, 2 ** (level + 1) - 1):
+                    here = node == n
+                    if not here.any():
+                        continue
+                    worth = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1.0)
+                    gain = max((worth(here & (bins[:, f] <= b)) + worth(here & (bins[:, f] > b)) - worth(here), -f, -b) for f in range(6) for b in range(31)
+                               if h[here & (bins[:, f] <= b)].sum() >= 1e-3 and h[here & (bins[:, f] > b)].sum() >= 1e-3)
+                    f, b = model.feature[turn, k, n], model.bin[turn, k, n]
+                    got = worth(here & (bins[:, f] <= b)) + worth(here & (bins[:, f] > b)) - worth(here)
+                    assert got == pytest.approx(gain[0], rel=1e-9)
+                    node = np.where(here, 2 * n + 1 + (bins[:, f] > b), node)
+            raw[:, k] += [-0.1 * g[node == n].sum() / (h[node == n].sum() + 1.0) for n in node]
+    assert np.allclose(raw, model.raw(x)) and model.gain[5] == 0
