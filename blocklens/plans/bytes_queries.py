@@ -109,6 +109,28 @@ def feature_summary(spark, sf):
                       r6(F.element_at("features", 280)).alias("chi_square"))
 
 
+@query("byt07_feature_values", f"""WITH {HIST},
+ ch AS (SELECT doc_id, least(i // greatest(n//16,1), 15) k, bv, count(*) c FROM bytes GROUP BY ALL), tot AS (SELECT doc_id, k, sum(c) t FROM ch GROUP BY ALL),
+ pr AS (SELECT doc_id, bv || lead(bv) OVER (PARTITION BY doc_id ORDER BY i) p FROM bytes), pc AS (SELECT doc_id, p, count(*) c FROM pr WHERE p IS NOT NULL GROUP BY ALL),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, p) r, sum(c) OVER (PARTITION BY doc_id) t FROM pc),
+ st AS (SELECT doc_id, count(*) d, sum(c) FILTER (r<=10)::DOUBLE/any_value(t) top10, sum(-(c::DOUBLE/t)*log2(c::DOUBLE/t)) te, var_pop(c::DOUBLE/t) v FROM rk GROUP BY doc_id),
+ w AS (SELECT o.doc_id, CASE WHEN o.n=0 THEN 0 ELSE (65536-coalesce(d,0))/65536.0 END::DOUBLE sp, top10, te, (1.0/d)::DOUBLE mp, v, d::DOUBLE/65536 dr FROM objects o LEFT JOIN st USING (doc_id)),
+ f AS (SELECT doc_id, n, i, (bv BETWEEN '20' AND '7E') OR bv IN ('09','0A','0D') t FROM bytes),
+ g AS (SELECT doc_id, n, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) k FROM f WHERE t),
+ m AS (SELECT doc_id, any_value(n) n, max(c) run FROM (SELECT doc_id, n, k, count(*) c FROM g GROUP BY ALL) GROUP BY doc_id),
+ x AS (SELECT doc_id, sum((c-n/256.0)*(c-n/256.0)/(n/256.0)) + (256-count(*))*any_value(n)/256.0 chi2 FROM hist GROUP BY doc_id),
+ v AS (SELECT doc_id, ('0x' || bv)::INT feature, round(c::DOUBLE/n + 1e-9,6) AS val FROM hist
+  UNION ALL SELECT doc_id, 256 + k, round(abs(sum(-(c::DOUBLE/t)*log2(c::DOUBLE/t))),4) FROM ch JOIN tot USING (doc_id,k) GROUP BY doc_id, k
+  UNION ALL SELECT doc_id, unnest([272,273,274,275,276,277]), unnest([round(sp,6),round(top10,6),round(te,4),round(mp,6),round(v,6),round(dr,6)]) FROM w
+  UNION ALL SELECT doc_id, 278, round(log2(run+1)/log2(n+1),6) FROM m UNION ALL SELECT doc_id, 279, round(greatest(least(log10(chi2+1)/10,1),0),6) FROM x)
+SELECT doc_id, feature::INT AS feature, val AS feature_value FROM v WHERE val <> 0""")
+def feature_values(spark, sf):
+    """All 280 features as rows, those that are zero left out; byte shares are moved off exact halves before they are rounded."""
+    got = bs.feature_vector(objects(spark, sf), ["doc_id"]).select("doc_id", F.posexplode("features").alias("feature", "v"))
+    entropy = F.col("feature").between(256, 271) | (F.col("feature") == 274)
+    return got.select("doc_id", "feature", F.when(entropy, r4("v")).when(F.col("feature") < 256, r6(F.col("v") + F.when(F.col("v") > 0, 1e-9).otherwise(0.0))).otherwise(r6("v")).alias("feature_value")).where("feature_value <> 0")
+
+
 @query("byt08_entropy_consistency", f"""WITH {ENT}
 SELECT doc_id, file_type, round(e,4) AS entropy, CAST({BAND} AS DOUBLE) AS consistency FROM ent""")
 def entropy_consistency(spark, sf):
