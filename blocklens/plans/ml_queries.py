@@ -36,8 +36,8 @@ def stored(spark, sf, what, fit):
     return ml.load_model(_STORED[key])
 
 
-def language_model(spark, sf):
-    return stored(spark, sf, "language", lambda: ml.train_file_type(labelled(spark, sf).where("is_train")))
+def language_model(spark, sf, boosted=False):
+    return stored(spark, sf, f"language {boosted}", lambda: ml.train_file_type(labelled(spark, sf).where("is_train"), boosted=boosted))
 
 
 def files(spark, sf):
@@ -57,10 +57,10 @@ def file_features(spark, sf):
     return cut_lineage(ml.features_of(f, ["page_id", "label"]).join(ids, "page_id"))
 
 
-def file_model(spark, sf):
+def file_model(spark, sf, boosted=False):
     """The features and the model fitted on their training share."""
     data = file_features(spark, sf)
-    return data, stored(spark, sf, "files", lambda: ml.train_file_type(data.where("is_train")))
+    return data, stored(spark, sf, f"files {boosted}", lambda: ml.train_file_type(data.where("is_train"), boosted=boosted))
 
 
 FILES = f"""fl AS (SELECT page_id, {list(ct.FORMATS)!r}[page_id % 7 + 1] AS label FROM pages),
@@ -78,8 +78,8 @@ def file_types(spark, sf):
 
 @query("ml2_file_quality")
 def file_quality(spark, sf):
-    """Precision, recall and F1 of every format and their means, on the held-out files."""
-    data, model = file_model(spark, sf)
+    """Precision, recall and F1 of every format and their means, on the held-out files, by the boosted model."""
+    data, model = file_model(spark, sf, boosted=True)
     got = ml.evaluate_classifier(ml.classify(data.where("NOT is_train"), model))
     return got.select("class", "support", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
 
@@ -111,7 +111,7 @@ def split(spark, sf):
 @query("ml2_train_file_type")
 def train(spark, sf):
     """Held-out quality per language of the boosted model."""
-    got = ml.classify(labelled(spark, sf).where("NOT is_train"), language_model(spark, sf))
+    got = ml.classify(labelled(spark, sf).where("NOT is_train"), language_model(spark, sf, boosted=True))
     return ml.evaluate_classifier(got).select("class", "support", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
 
 
