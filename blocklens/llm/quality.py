@@ -2,8 +2,10 @@
 
 Per document five integer rates are measured with column expressions. Each (language, source) group summarises a rate in a
 mergeable quantile sketch: counts in bins that keep three leading digits, so a quantile is known to one part in a hundred,
-a sketch has under 1,000 bins for each power of ten, and sketches merge by adding counts. Small groups use the merged sketch
-of their language, or of everything. A document is rejected when a rate lies outside the fence of its group.
+a sketch has under 1,000 bins for each power of ten, and sketches merge by adding counts. Every group has fences of its own: to
+its counts those of its language are added, scaled to the weight of ``PRIOR`` documents, and to a language's those of everything, so a
+group of five leans on its language and a group of thousands on itself, without a size at which the rule changes.
+A document is rejected when a rate lies outside the fence of its group.
 
 Defined results: a null text is empty; null language and source form groups of their own; documents without words are
 measured as zero, fail the base rule and do not enter the sketches; repeated rows are measured one by one; an empty table gives
@@ -25,7 +27,8 @@ RATES = ["r_symbol", "r_dup", "r_repeat", "r_upper", "r_length"]
 MARGINS = {"r_symbol": 800, "r_dup": 4000, "r_repeat": 3000, "r_upper": 2500, "r_length": 250}
 #: rates that are also suspicious when low
 TWO_SIDED = ("r_length",)
-MIN_GROUP = 200
+#: documents that the sketch of the level above counts for in a blend
+PRIOR = 50
 SPREADS = 4
 
 
@@ -73,33 +76,47 @@ def _bin(x: Column) -> Column:
     return F.when(x < 1000, x).otherwise(x - x % F.pow(F.lit(10.0), digits - 3).cast("long"))
 
 
+#: weights of a blend are exact whole numbers: a group's counts times its language's total times the corpus's
+_EXACT = "decimal(38,0)"
+
+
+def _blend(own: DataFrame, above: DataFrame, by: list[str], above_by: list[str]) -> DataFrame:
+    """Sketch ``own`` (``by``, rate, bin, w) plus the one above it, scaled to ``PRIOR`` documents; all weights times the total above."""
+    keys = [*above_by, "rate"]
+    up = above.select(*[F.col(c).alias(f"{c}_up") for c in keys], F.col("bin").alias("bin_up"), F.col("w").alias("w_up"))
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        same = F.lit(True)
+        for c in keys:
+            same = same & left[c].eqNullSafe(right[f"{c}_up"])
+        return left.join(right, same)
+    totals = up.groupBy(*[f"{c}_up" for c in keys]).agg(F.sum("w_up").alias("total"))
+    mine = meet(own, totals).select(*by, "rate", "bin", (F.col("w") * F.col("total")).cast(_EXACT).alias("w"))
+    theirs = meet(own.select(*by, "rate").distinct(), up).select(*by, "rate", F.col("bin_up").alias("bin"), (F.lit(PRIOR) * F.col("w_up")).cast(_EXACT).alias("w"))
+    return mine.unionByName(theirs).groupBy(*by, "rate", "bin").agg(F.sum("w").cast(_EXACT).alias("w"))
+
+
 def _quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Quartiles of merged sketches: one row per group and rate."""
+    """Quartiles of sketches: one row per group and rate."""
     each = Window.partitionBy(*by, "rate").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    merged = (sketch.groupBy(*by, "rate", "bin").agg(F.sum("n").alias("n"))
-              .withColumn("below", F.sum("n").over(each)).withColumn("all", F.sum("n").over(Window.partitionBy(*by, "rate"))))
+    running = sketch.withColumn("below", F.sum("w").over(each)).withColumn("all", F.sum("w").over(Window.partitionBy(*by, "rate")))
     quarter = lambda k: F.min(F.when(4 * F.col("below") >= k * F.col("all"), F.col("bin"))).alias(f"q{k}")
-    return merged.groupBy(*by, "rate").agg(F.max("all").alias("n"), quarter(1), quarter(2), quarter(3))
+    return running.groupBy(*by, "rate").agg(quarter(1), quarter(2), quarter(3))
 
 
-def thresholds(measured: DataFrame, margins: dict[str, int] | None = None, min_group: int = MIN_GROUP, spreads: int = SPREADS) -> DataFrame:
+def thresholds(measured: DataFrame, margins: dict[str, int] | None = None, spreads: int = SPREADS) -> DataFrame:
     """Fences per (lang, source): columns ``lang``, ``source`` and ``low_<rate>``, ``high_<rate>``; one row per group.
 
     Rows are counted into sketch bins before anything is shuffled, so a source with a third of all rows costs what any other does.
-    The quartiles are taken of the group if it has ``min_group`` documents that pass the base rule, else of its language, else of all.
     """
     margins = margins or MARGINS
     long = (measured.filter(~base_failed())
             .select("lang", "source", F.explode(F.array(*[F.struct(F.lit(r).alias("rate"), _bin(F.col(r)).alias("bin")) for r in RATES])).alias("x"))
-            .select("lang", "source", "x.rate", "x.bin").groupBy("lang", "source", "rate", "bin").agg(F.count("*").alias("n")))
-    sketch = cut_lineage(long)
-    own = _quartiles(sketch, ["lang", "source"])
-    lang = _quartiles(sketch, ["lang"]).select(F.col("lang").alias("l_"), F.col("rate").alias("r_"), *[F.col(c).alias(f"{c}_l") for c in ("n", "q1", "q2", "q3")])
-    everything = _quartiles(sketch, []).select(F.col("rate").alias("r_"), *[F.col(c).alias(f"{c}_a") for c in ("q1", "q2", "q3")])
-    met = (own.join(lang, own["lang"].eqNullSafe(lang["l_"]) & (own["rate"] == lang["r_"])).drop("r_", "l_")
-           .join(everything, F.col("rate") == everything["r_"]).drop("r_"))
-    pick = lambda q: F.when(F.col("n") >= min_group, F.col(q)).when(F.col("n_l") >= min_group, F.col(f"{q}_l")).otherwise(F.col(f"{q}_a"))
-    fence = met.select("lang", "source", "rate", pick("q1").alias("q1"), pick("q2").alias("q2"), pick("q3").alias("q3"))
+            .select("lang", "source", "x.rate", "x.bin").groupBy("lang", "source", "rate", "bin").agg(F.count("*").cast(_EXACT).alias("w")))
+    own = cut_lineage(long)
+    merged = lambda *by: own.groupBy(*by, "rate", "bin").agg(F.sum("w").cast(_EXACT).alias("w"))
+    lang = cut_lineage(_blend(merged("lang"), merged(), ["lang"], []))
+    fence = _quartiles(_blend(own, lang, ["lang", "source"], ["lang"]), ["lang", "source"])
     margin = F.create_map(*[F.lit(x) for kv in margins.items() for x in kv])[F.col("rate")]
     fence = fence.select("lang", "source", "rate",
                          F.greatest(F.col("q2") + margin, F.col("q3") + spreads * (F.col("q3") - F.col("q1"))).alias("high"),
@@ -121,12 +138,9 @@ def judge(measured: DataFrame, fences: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """Documents that pass, with their own columns: the pipeline's stage. The fences are found in one pass, applied in a second."""
-    fences = thresholds(cut_lineage(measure(docs.select("text", "lang", "source")).drop("text")))
-    sized = measure(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("kept_row"), docs["text"], docs["lang"], docs["source"]))
-    # the row number keeps the optimiser from unfolding every measure into the filter, where it would be computed again and again
-    numbered = sized.withColumn("row_no", F.monotonically_increasing_id())
-    return judge(numbered, fences).filter("kept and row_no >= 0").select(*[F.col(f"kept_row.`{c}`").alias(c) for c in docs.columns])
+    """Documents that pass, with their own columns: the pipeline's stage. Rows are measured once and written with their rates; the fences filter those."""
+    sized = cut_lineage(measure(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("kept_row"), docs["text"], docs["lang"], docs["source"])).drop("text"))
+    return judge(sized, thresholds(sized)).filter("kept").select(*[F.col(f"kept_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,19 +169,21 @@ def _judge_sql() -> str:
     """The fences with exact quartiles over the sketch's bins, and the verdict."""
     binned = lambda r: f"CASE WHEN {r} < 1000 THEN {r} ELSE {r} - {r} % (10 ** (length({r}::VARCHAR) - 3))::BIGINT END"
     long = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rate, {binned(r)} AS bin FROM measured WHERE NOT base_failed" for r in RATES)
-
-    def level(name: str, by: list[str]) -> str:
-        keys = ", ".join([*by, "rate"])
-        quarters = ", ".join(f"min(CASE WHEN 4 * below >= {k} * total THEN bin END) AS q{k}" for k in (1, 2, 3))
-        return (f"{name} AS (SELECT {keys}, max(total) AS n, {quarters} FROM (SELECT {keys}, bin, sum(n) OVER (PARTITION BY {keys} ORDER BY bin) AS below, "
-                f"sum(n) OVER (PARTITION BY {keys}) AS total FROM (SELECT {keys}, bin, count(*) AS n FROM long GROUP BY {keys}, bin)) GROUP BY {keys})")
-    pick = lambda q: f"CASE WHEN o.n >= {MIN_GROUP} THEN o.{q} WHEN l.n >= {MIN_GROUP} THEN l.{q} ELSE e.{q} END AS {q}"
+    merged = lambda by: f"SELECT {by}rate, bin, count(*)::HUGEINT AS w FROM long GROUP BY ALL"
+
+    def blend(own: str, above: str, by: str, same: str) -> str:
+        return (f"SELECT {by}rate, bin, sum(w)::HUGEINT AS w FROM (SELECT o.* REPLACE (o.w * t.total AS w) FROM {own} o JOIN (SELECT * EXCLUDE (bin, w), sum(w)::HUGEINT AS total FROM {above} "
+                f"GROUP BY ALL) t ON o.rate = t.rate{same.format('t')} UNION ALL SELECT {by.replace('lang', 'g.lang')}g.rate, a.bin, {PRIOR} * a.w FROM (SELECT DISTINCT {by}rate FROM {own}) g "
+                f"JOIN {above} a ON g.rate = a.rate{same.format('a').replace('o.', 'g.')}) GROUP BY ALL")
+    keys = "lang, source, rate"
+    quarters = ", ".join(f"min(CASE WHEN 4 * below >= {k} * total THEN bin END) AS q{k}" for k in (1, 2, 3))
     margin = "CASE rate " + " ".join(f"WHEN '{r}' THEN {m}" for r, m in MARGINS.items()) + " END"
     inside = " AND ".join(f"{r} BETWEEN low_{r} AND high_{r}" for r in RATES)
     wide = ", ".join(f"max(CASE WHEN rate = '{r}' THEN {c} END) AS {c}_{r}" for r in RATES for c in ("low", "high"))
-    return f"""long AS ({long}),
-{level("own", ["lang", "source"])}, {level("lang", ["lang"])}, {level("everything", [])},
-picked AS (SELECT o.lang, o.source, o.rate, {pick("q1")}, {pick("q2")}, {pick("q3")} FROM own o JOIN lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rate = l.rate JOIN everything e ON o.rate = e.rate),
+    return f"""long AS ({long}), own AS ({merged("lang, source, ")}), lang_own AS ({merged("lang, ")}), everything AS ({merged("")}),
+lang_blend AS ({blend("lang_own", "everything", "lang, ", "")}),
+blended AS ({blend("own", "lang_blend", "lang, source, ", " AND o.lang IS NOT DISTINCT FROM {}.lang")}),
+picked AS (SELECT {keys}, {quarters} FROM (SELECT {keys}, bin, sum(w) OVER (PARTITION BY {keys} ORDER BY bin) AS below, sum(w) OVER (PARTITION BY {keys}) AS total FROM blended) GROUP BY {keys}),
 fence AS (SELECT lang, source, rate, greatest(q2 + {margin}, q3 + {SPREADS} * (q3 - q1)) AS high,
     CASE WHEN rate IN ('r_length') THEN least(q2 - {margin}, q1 - {SPREADS} * (q3 - q1)) ELSE -1 END AS low FROM picked),
 wide AS (SELECT lang, source, {wide} FROM fence GROUP BY lang, source),

@@ -8,6 +8,8 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
+from functools import cache
 
 import xxhash
 
@@ -41,28 +43,43 @@ def quality(text):
     return row, rates
 
 
-def kept_by_quality(docs, margins, min_group, spreads):
-    """docs: (doc_id, text, lang, source) rows; the verdict of each."""
+def kept_by_quality(docs, margins, prior, spreads):
+    """docs: (doc_id, text, lang, source) rows; the verdict of each. A level's weights are its counts plus the level above, worth ``prior`` documents."""
     measured = [(quality(t), lang, source) for _, t, lang, source in docs]
     cut = lambda x: x if x < 1000 else x - x % 10 ** (len(str(x)) - 3)
-    bins = defaultdict(list)
+    bins = defaultdict(Counter)
     for (row, rates), lang, source in measured:
         if not row["base_failed"]:
             for r, v in rates.items():
                 for level in ((lang, source, r), (lang, r), (r,)):
-                    bins[level].append(cut(v))
-
+                    bins[level][cut(v)] += 1
+
+    @cache
+    def weights(level):
+        own = {b: Fraction(n) for b, n in bins[level].items()}
+        if len(level) > 1:
+            above = weights((level[0], level[2]) if len(level) == 3 else (level[1],))
+            total = sum(above.values())
+            for b, w in above.items():
+                own[b] = own.get(b, 0) + prior * w / total
+        return own
+
+    @cache
     def quartiles(level):
-        v = sorted(bins[level])
-        return [v[-(-k * len(v) // 4) - 1] for k in (1, 2, 3)]
+        w, below, out = weights(level), Fraction(0), []
+        total = sum(w.values())
+        for b in sorted(w):
+            below += w[b]
+            while len(out) < 3 and 4 * below >= (len(out) + 1) * total:
+                out.append(b)
+        return out
     out = []
     for (row, rates), lang, source in measured:
-        ok = not row["base_failed"] and (lang, source, "r_symbol") in bins
+        ok = not row["base_failed"]
         for r, v in rates.items():
             if not ok:
                 break
-            level = next(x for x in ((lang, source, r), (lang, r), (r,)) if len(x) == 1 or len(bins[x]) >= min_group)
-            q1, q2, q3 = quartiles(level)
+            q1, q2, q3 = quartiles((lang, source, r))
             low = min(q2 - margins[r], q1 - spreads * (q3 - q1)) if r == "r_length" else -1
             ok = low <= v <= max(q2 + margins[r], q3 + spreads * (q3 - q1))
         out.append(ok)

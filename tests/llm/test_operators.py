@@ -22,8 +22,8 @@ def test_quality_counts_and_verdicts(docs, rows):
     measured = quality.measure(docs.select("doc_id", "text", "lang", "source", "kept"))
     from blocklens.session import cut_lineage
     measured = cut_lineage(measured)
-    got = by_id(quality.judge(measured, quality.thresholds(measured, min_group=8)))
-    want = plain.kept_by_quality([r[:4] for r in rows], quality.MARGINS, 8, quality.SPREADS)
+    got = by_id(quality.judge(measured, quality.thresholds(measured)))
+    want = plain.kept_by_quality([r[:4] for r in rows], quality.MARGINS, quality.PRIOR, quality.SPREADS)
     for r, kept in zip(rows, want):
         row, _ = plain.quality(r[1])
         assert {k: got[r[0]][k] for k in row} == row, r[0]
@@ -31,6 +31,20 @@ def test_quality_counts_and_verdicts(docs, rows):
     assert any(want) and not all(want)
 
 
+def test_quality_fences_of_small_and_large_groups(spark):
+    """Groups of 5 and of 5,000: the large one has fences of its own, the small one leans on its language; repeated rows count one by one."""
+    row = lambda k, source, rate: (k, "en", source, 100, 0, 0, 0, rate, 500)
+    data = [row(k, "large", 3000 + k % 7) for k in range(5000)] + [row(5000 + k, "small", 0) for k in range(5)]
+    data += [row(6000 + k, "plain", k % 5) for k in range(2000)]
+    names = ["k", "lang", "source", "n_words", "n_repeat_words", "r_symbol", "r_dup", "r_repeat", "r_length"]
+    measured = spark.createDataFrame(data, names).withColumn("r_upper", F.lit(0).cast("long"))
+    got = {r["source"]: r for r in quality.thresholds(measured).collect()}
+    assert got["plain"]["high_r_repeat"] == 2 + quality.MARGINS["r_repeat"]
+    assert got["large"]["high_r_repeat"] == 3003 - 3003 % 10 + quality.MARGINS["r_repeat"]
+    # 5 own rows at 0 and 50 of a language of which five sevenths lie at 3000: the quartiles are the language's
+    assert got["small"]["high_r_repeat"] > 3000 + quality.MARGINS["r_repeat"]
+
+
 def test_quality_repeats_with_equal_hash_prefixes(spark):
     # different windows whose kept hash bits are equal take the exact path, which is also that of texts of over 2 ** 24 words
     text = " ".join(f"w{i % 7}" for i in range(300)) + " " + " ".join(plain.words("a b c d e f a b c"))

@@ -32,7 +32,7 @@ def copies(docs):
 
 def expected(docs):
     """Rows after each of the first four stages, and the tokens of the last."""
-    kept = [r for r, ok in zip(docs, plain.kept_by_quality(docs, quality.MARGINS, quality.MIN_GROUP, quality.SPREADS)) if ok]
+    kept = [r for r, ok in zip(docs, plain.kept_by_quality(docs, quality.MARGINS, quality.PRIOR, quality.SPREADS)) if ok]
     yield kept
     cut = [(d, text, lang, source) for (d, _, lang, source), (text, _) in zip(kept, plain.line_dedup([r[:2] for r in kept]))]
     yield cut
