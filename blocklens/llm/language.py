@@ -1,21 +1,26 @@
 """Scoring texts with a log-bilinear language model.
 
-The model predicts a token's class from the three tokens before it: context vectors are weighted per position, summed and multiplied
-with the vectors of all classes, and a softmax normalises. The most frequent words are classes of their own; all other words
+The model predicts a token's class from the three tokens before it: context vectors are weighted per position and summed, and the sum
+is multiplied with class vectors in two steps, the groups of classes and the classes of one group, each normalised by a softmax. There are
+about as many classes as the square root of the number of distinct training words, in about as many groups as the square root of that, so the model grows
+with the vocabulary while a token costs its fourth root. The most frequent words are classes of their own; all other words
 fall into classes by their last bytes and share the class's probability by their smoothed counts, so every token of any text
-has a normalised probability. Training is noise-contrastive: each task runs mini-batches in numpy over its part of the training texts,
-and the tasks' parameters are averaged by the tokens they saw, for as many rounds as the texts are split into.
+has a normalised probability. Training is noise-contrastive on both steps: each task runs mini-batches in numpy over its part of the training
+texts, and the tasks' parameters are averaged by the tokens they saw, for as many rounds as the texts are split into.
 
-Word counts, the number of tokens and of distinct tokens come from all training texts through ``wordtable``; the driver only
-ever holds the bounded model: the head words, per-class sums and the parameters.
+Word counts, the number of tokens and of distinct tokens come from all training texts through ``wordtable``. A second pass writes every text as
+word numbers and the classes of its words; training and scoring read that. The driver holds the model alone: the head words, sums by
+class and the parameters, of the order of the square root of the vocabulary.
 
 Defined results: a null text is empty and has one token, its end; a null doc_id is hashed as the empty string; unseen words count
-zero; repeated rows are counted and scored one by one; an empty table gives an empty result, a table without training texts the
-uniform model; the input must be a stable table, which all passes read alike; other columns are not looked at.
+zero; repeated rows are counted and scored one by one; of head words with equal counts the smaller in byte order come first; an empty table gives
+an empty result, a table without training texts the uniform model; the input must be a stable table, which all passes read alike; other columns are
+not looked at.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 
@@ -29,32 +34,41 @@ from blocklens.llm.common import partitions, query, table
 from blocklens.session import cut_lineage
 
 FOLDS, HELD = 7, 2
-HEAD = 191
-TAILS = 64
-END = HEAD
-CLASSES = HEAD + 1 + TAILS
-#: the context before a text begins
-START = CLASSES
+#: class of the end of a text; head words follow, then classes by last bytes
+END = 0
 CONTEXT = 3
 WIDTH = 24
-NOISE = 32
+#: noise draws a batch for groups, and for the classes of each group
+NOISE, INNER = 16, 8
 BATCH = 1024
 RATE = 0.08
 ROUNDS = 2
-SCORED = 8192
+SCORED = 16384
+#: tokens whose order is shuffled together, or scored together, at least one text
+TOGETHER = 1 << 18
 
 
 def words_of(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
 
-def tail_class(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % TAILS
+def sizes(words: int) -> tuple[int, int, int]:
+    """Groups (and classes of a group), head words and tail classes of a vocabulary."""
+    side = max(8, math.ceil(words ** 0.25))
+    tails = 1 << int(math.log2(side * side // 4))
+    return side, side * side - 1 - tails, tails
+
+
+def tail_class(word: bytes, tails: int) -> int:
+    """``tails`` is a power of two, so classes of more tails fold into those of fewer."""
+    return zlib.crc32(word[-2:]) & (tails - 1)
 
 
 @dataclass
 class Model:
-    """Everything a task needs: bounded by the number of classes and head words."""
+    """Everything a task needs; its size is that of the classes."""
+    side: int
+    tails: int
     head: dict[bytes, int]
     class_tokens: np.ndarray
     class_words: np.ndarray
@@ -63,117 +77,151 @@ class Model:
     params: list[np.ndarray]
 
     def classes(self, words: list[bytes]) -> np.ndarray:
-        get = self.head.get
-        return np.array([k if (k := get(w)) is not None else END + 1 + tail_class(w) for w in words], np.int64)
+        get, first = self.head.get, self.side ** 2 - self.tails
+        return np.array([get(w) or first + tail_class(w, self.tails) for w in words], np.int64)
 
     def noise(self) -> np.ndarray:
-        return (self.class_tokens + 1.0) / (self.class_tokens.sum() + CLASSES)
+        return (self.class_tokens + 1.0) / (self.class_tokens.sum() + len(self.class_tokens))
+
+    def log_noise(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of groups, and of classes within their groups."""
+        noise = self.noise().reshape(self.side, self.side)
+        groups = noise.sum(axis=1)
+        return np.log(groups).astype(np.float32), np.log(noise / groups[:, None]).ravel().astype(np.float32)
 
 
 def initial(model: Model, seed: int = 1) -> list[np.ndarray]:
-    """Context vectors, class vectors, position weights, biases; the biases alone are the unigram model."""
+    """Vectors of contexts, groups and classes, position weights, biases of groups and classes; the biases alone are the unigram model."""
     rng = np.random.default_rng(seed)
-    return [(0.1 * rng.standard_normal((CLASSES + 1, WIDTH))).astype(np.float32), (0.1 * rng.standard_normal((CLASSES, WIDTH))).astype(np.float32),
-            np.full((CONTEXT, WIDTH), 1 / CONTEXT, np.float32), np.log(model.noise()).astype(np.float32)]
+    vectors = [(0.1 * rng.standard_normal((n, WIDTH))).astype(np.float32) for n in (model.side ** 2 + 1, model.side, model.side ** 2)]
+    return [*vectors, np.full((CONTEXT, WIDTH), 1 / CONTEXT, np.float32), *model.log_noise()]
+
+
+class Stream:
+    """Classes of whole texts one after the other, each with the context before a text begins (class ``start``) in front."""
 
+    def __init__(self, stream: np.ndarray, lengths: np.ndarray, start: int):
+        self.target = stream.astype(np.int32)
+        self.at = np.arange(len(stream)) + CONTEXT * np.repeat(np.arange(1, len(lengths) + 1), lengths)
+        self.padded = np.full(len(stream) + CONTEXT * len(lengths), start, np.int32)
+        self.padded[self.at] = stream
 
-def contexts(stream: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Per token of concatenated texts, the classes of the ``CONTEXT`` tokens before it, nearest first."""
-    begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    at = np.arange(len(stream))
-    out = np.full((len(stream), CONTEXT), START, np.int64)
-    for k in range(CONTEXT):
-        inside = at - k - 1 >= begin
-        out[inside, k] = stream[at[inside] - k - 1]
-    return out
+    def contexts(self, which) -> np.ndarray:
+        """Per token, the classes of the ``CONTEXT`` tokens before it, nearest first."""
+        return self.padded[self.at[which][:, None] - np.arange(1, CONTEXT + 1)]
 
 
-def _add_rows(target: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sum of the values of each."""
     order = np.argsort(rows, kind="stable")
     rows = rows[order]
     cut = np.flatnonzero(np.diff(rows, prepend=-1))
-    target[rows[cut]] += np.add.reduceat(values[order], cut, axis=0)
+    return rows[cut], np.add.reduceat(values[order], cut, axis=0)
+
+
+def _adagrad(param: np.ndarray, square: np.ndarray, rows, grad: np.ndarray) -> None:
+    """Only rows with a gradient change."""
+    s = square[rows] + grad * grad
+    square[rows] = s
+    param[rows] -= RATE * grad / np.sqrt(s + 1e-8)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train_step(params: list[np.ndarray], squares: list[np.ndarray], ctx: np.ndarray, target: np.ndarray, drawn: np.ndarray, log_noise: np.ndarray) -> None:
-    """One mini-batch of noise-contrastive estimation with Adagrad; the drawn noise classes are shared by the batch."""
-    q, r, c, b = params
+def train_step(model: Model, squares: list[np.ndarray], ctx: np.ndarray, target: np.ndarray, drawn: np.ndarray, inner: np.ndarray, log_noise: tuple[np.ndarray, np.ndarray]) -> None:
+    """One mini-batch of noise-contrastive estimation with Adagrad; ``target`` ascends by group.
+
+    The batch shares the drawn noise groups; tokens of a group share that group's drawn classes, a row of ``inner``.
+    """
+    q, t, r, c, bt, br = model.params
+    n = np.float32(len(target))
+    group = target // model.side
     seen = q[ctx]
     hidden = (seen * c).sum(axis=1)
-    k = len(drawn)
-    log_k = np.float32(np.log(k))
-    true = (hidden * r[target]).sum(axis=1) + b[target] - log_noise[target] - log_k
-    false = hidden @ r[drawn].T + (b - log_noise)[drawn] - log_k
-    d_true = -1 / (1 + np.exp(np.clip(true, -30, 30)))
-    d_false = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
-    d_hidden = d_true[:, None] * r[target] + d_false @ r[drawn]
-    grads = [np.zeros_like(p) for p in params]
-    _add_rows(grads[1], target, d_true[:, None] * hidden)
-    np.add.at(grads[1], drawn, d_false.T @ hidden)
-    grads[3] += np.bincount(target, weights=d_true, minlength=CLASSES).astype(np.float32)
-    np.add.at(grads[3], drawn, d_false.sum(axis=0))
-    for i in range(CONTEXT):
-        grads[2][i] = (d_hidden * seen[:, i]).sum(axis=0)
-        _add_rows(grads[0], ctx[:, i], d_hidden * c[i])
-    for p, s, g in zip(params, squares, grads):
-        g /= len(target)
-        s += g * g
-        p -= RATE * g / np.sqrt(s + 1e-8)
-
-
-def _streams(batches, model: Model, limit: int = 1 << 18):
-    """Class numbers of whole texts, ends included, in groups of about ``limit`` tokens: (rows, stream, lengths, words)."""
-    known = wordtable.Index()
-    classes = np.zeros(0, np.int64)
-    ids, codes, lengths, total = [], [], [], 0
-
-    def flush():
-        nonlocal classes
-        if len(known) > len(classes):
-            classes = np.concatenate([classes, model.classes(list(known)[len(classes):])])
-        lens = np.array(lengths, np.int64)
-        stream = np.full(int(lens.sum()), END, np.int64)
-        at = 0
-        for c in codes:
-            stream[at:at + len(c)] = classes[c]
-            at += len(c) + 1
-        return list(ids), stream, lens
+    # groups against noise groups
+    log_k = np.float32(np.log(len(drawn)))
+    t_true = -_sigmoid(-((hidden * t[group]).sum(axis=1) + (bt - log_noise[0])[group] - log_k))
+    t_false = _sigmoid(hidden @ t[drawn].T + (bt - log_noise[0])[drawn] - log_k)
+    # classes against noise classes of the same group
+    begin = np.flatnonzero(np.diff(group, prepend=-1))
+    present = group[begin]
+    mine = inner[group]
+    log_i = np.float32(np.log(inner.shape[1]))
+    r_target, r_mine = r[target], r[mine]
+    c_true = -_sigmoid(-((hidden * r_target).sum(axis=1) + br[target] - log_noise[1][target] - log_i))
+    c_false = _sigmoid((r_mine @ hidden[:, :, None])[:, :, 0] + (br - log_noise[1])[mine] - log_i)
+    d_hidden = t_true[:, None] * t[group] + t_false @ t[drawn] + c_true[:, None] * r_target + (c_false[:, None, :] @ r_mine)[:, 0]
+    # gradients, each with its bias in the last column
+    one = np.concatenate([hidden, np.ones((len(hidden), 1), np.float32)], axis=1)
+    g_t = np.zeros((model.side, WIDTH + 1), np.float32)
+    g_t[present] = np.add.reduceat(t_true[:, None] * one, begin, axis=0)
+    np.add.at(g_t, drawn, t_false.T @ one)
+    ends = np.append(begin[1:], len(target))
+    noise_grad = np.stack([c_false[a:b].T @ one[a:b] for a, b in zip(begin.tolist(), ends.tolist())])
+    rows, g_r = _sums(np.concatenate([target, inner[present].ravel()]), np.concatenate([c_true[:, None] * one, noise_grad.reshape(-1, WIDTH + 1)]))
+    g_c = (d_hidden[:, None, :] * seen).sum(axis=0)
+    at, g_q = _sums(ctx.ravel(), (d_hidden[:, None, :] * c).reshape(-1, WIDTH))
+    for k, (which, grad) in enumerate([(at, g_q), (slice(None), g_t[:, :-1]), (rows, g_r[:, :-1]), (slice(None), g_c), (slice(None), g_t[:, -1]), (rows, g_r[:, -1])]):
+        _adagrad(model.params[k], squares[k], which, grad / n)
+
+
+def _texts(batches):
+    """Rows of ``wordtable.positions`` with ``_describe``: (lengths with the end, class of each word number, flags, word numbers) of each chunk."""
+    head = None
     for batch in batches:
-        texts, keys = batch.column(1).cast(pa.binary()), batch.column(0).to_pylist()
-        for i, key in enumerate(keys):
-            words = words_of(texts[i].as_py() or b"")
-            codes.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-            ids.append(key)
-            lengths.append(len(words) + 1)
-            total += len(words) + 1
-            if total >= limit:
-                yield flush()
-                ids.clear(), codes.clear(), lengths.clear()
-                total = 0
-                if len(known) > 1 << 20:  # the table of words seen is only a shortcut
-                    known, classes = wordtable.Index(), np.zeros(0, np.int64)
-    if ids:
-        yield flush()
+        for at in range(batch.num_rows):
+            payload = batch.column(1)[at].as_py()
+            if batch.column(0)[at].as_py() == 1:
+                head = payload
+                continue
+            _, lengths, _, extra = wordtable.unpack_bytes(head)
+            kinds, flags = wordtable.unpack_bytes(extra)
+            yield np.frombuffer(lengths, np.uint32).astype(np.int64), np.frombuffer(kinds, np.uint32), np.frombuffer(flags, np.uint8) > 0, wordtable.unpack_numbers(payload)
+
+
+def _groups(lengths: np.ndarray, kinds: np.ndarray, codes: np.ndarray, start: int):
+    """The texts of a chunk in runs of about ``TOGETHER`` tokens: (first text, lengths with ends, stream)."""
+    ends = np.cumsum(lengths)
+    first = 0
+    while first < len(lengths):
+        begin = int(ends[first] - lengths[first])
+        last = max(first + 1, int(np.searchsorted(ends, begin + TOGETHER, side="right")))
+        lens = lengths[first:last] + 1
+        stream = np.full(int(lens.sum()), END, np.int64)
+        inside = np.ones(len(stream), bool)
+        inside[np.cumsum(lens) - 1] = False
+        stream[inside] = kinds[codes[begin:int(ends[last - 1])]]
+        yield first, lens, Stream(stream, lens, start)
+        first = last
 
 
 def _trainer(model: Model):
-    noise = model.noise()
-    log_noise, cumulative = np.log(noise).astype(np.float32), np.cumsum(noise)
-
     def run(batches):
-        params = [p.copy() for p in model.params]
-        squares = [np.zeros_like(p) for p in params]
+        own = Model(**{**model.__dict__, "params": [p.copy() for p in model.params]})
+        squares, log_noise = [np.zeros_like(p) for p in own.params], own.log_noise()
+        edges = np.concatenate([[0], np.cumsum(own.noise())])
+        low = edges[:-1:own.side]
+        high = np.append(low[1:], edges[-1])
+        groups, last = np.arange(own.side)[:, None] * own.side, own.side - 1
         seen, rng = 0, np.random.default_rng(7)
-        for _, stream, lengths in _streams(batches, model):
-            ctx = contexts(stream, lengths)
-            order = rng.permutation(len(stream))
-            for at in range(0, len(order), BATCH):
-                pick = order[at:at + BATCH]
-                drawn = np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]).clip(0, CLASSES - 1)
-                train_step(params, squares, ctx[pick], stream[pick], drawn, log_noise)
-            seen += len(stream)
+        for lengths, kinds, flags, codes in _texts(batches):
+            if not flags.any():
+                continue
+            codes = codes[np.repeat(flags, lengths)]
+            for _, lens, texts in _groups(lengths[flags], kinds, codes, own.side ** 2):
+                order = rng.permutation(len(texts.target))
+                for at in range(0, len(order), BATCH):
+                    pick = order[at:at + BATCH]
+                    pick = pick[np.argsort(texts.target[pick], kind="stable")]
+                    drawn = np.searchsorted(high, rng.random(NOISE) * high[-1], side="right").clip(0, last)
+                    draws = low[:, None] + rng.random((own.side, INNER)) * (high - low)[:, None]
+                    inner = (np.searchsorted(edges, draws, side="right") - 1).clip(groups, groups + last)
+                    train_step(own, squares, texts.contexts(pick), texts.target[pick], drawn, inner, log_noise)
+                seen += len(order)
         if seen:
-            yield _weighted([seen], [np.concatenate([p.ravel() for p in params]).astype(np.float64) * seen])
+            yield _weighted([seen], [np.concatenate([p.ravel() for p in own.params]).astype(np.float64) * seen])
     return run
 
 
@@ -191,13 +239,13 @@ def _sum_up(batches):
         yield _weighted([seen], [total])
 
 
-def train(docs: DataFrame, model: Model) -> Model:
-    """Fits the parameters to ``docs`` (doc_id, text), every text once: a round trains on each part and averages."""
+def train(places: DataFrame, model: Model) -> Model:
+    """Fits the parameters to the flagged texts of ``places``, every text once: a round trains on each part of the chunks and averages."""
     shape = "seen long, params binary"
     model.params = initial(model)
-    n = partitions(docs.sparkSession)
+    n = partitions(places.sparkSession)
     for k in range(ROUNDS):
-        part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k).select("doc_id", "text").mapInArrow(_trainer(model), shape)
+        part = places.filter(F.pmod(F.xxhash64("chunk"), F.lit(ROUNDS)) == k).select("kind", "payload").mapInArrow(_trainer(model), shape)
         # sums of sums: no task reads more than about the square root of the number of tasks, each row has the model's size
         few = part.repartition(max(1, round(n ** 0.5))).mapInArrow(_sum_up, shape).coalesce(1).mapInArrow(_sum_up, shape).collect()
         if few:
@@ -209,102 +257,121 @@ def train(docs: DataFrame, model: Model) -> Model:
     return model
 
 
-def class_scores(model: Model, stream: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def _log_sum(logits: np.ndarray) -> np.ndarray:
+    top = logits.max(axis=1)
+    logits -= top[:, None]
+    np.exp(logits, out=logits)
+    return top + np.log(logits.sum(axis=1))
+
+
+def class_scores(model: Model, texts: Stream) -> np.ndarray:
     """Normalised log10 probability of each token's class, by batched matrix products."""
-    q, r, c, b = model.params
-    out = np.empty(len(stream), np.float32)
-    ctx = contexts(stream, lengths)
-    for at in range(0, len(stream), SCORED):
-        hidden = q[ctx[at:at + SCORED, 0]] * c[0]
+    q, t, r, c, bt, br = model.params
+    side = model.side
+    out = np.empty(len(texts.target), np.float32)
+    for at in range(0, len(out), SCORED):
+        which = slice(at, at + SCORED)
+        target, ctx = texts.target[which], texts.contexts(which)
+        order = np.argsort(target, kind="stable")
+        target, ctx = target[order], ctx[order]
+        hidden = q[ctx[:, 0]] * c[0]
         for k in range(1, CONTEXT):
-            hidden += q[ctx[at:at + SCORED, k]] * c[k]
-        logits = hidden @ r.T
-        logits += b
-        top = logits.max(axis=1, keepdims=True)
-        logits -= top
-        mine = logits[np.arange(len(logits)), stream[at:at + SCORED]].copy()
-        np.exp(logits, out=logits)
-        out[at:at + SCORED] = mine - np.log(logits.sum(axis=1))
+            hidden += q[ctx[:, k]] * c[k]
+        group = target // side
+        lines = np.arange(len(target))
+        logits = hidden @ t.T
+        logits += bt
+        found = logits[lines, group]
+        found -= _log_sum(logits)
+        begin = np.flatnonzero(np.diff(group, prepend=-1))
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(group)]):
+            first = int(group[a]) * side
+            logits = hidden[a:b] @ r[first:first + side].T
+            logits += br[first:first + side]
+            found[a:b] += logits[lines[:b - a], target[a:b] - first]
+            found[a:b] -= _log_sum(logits)
+        out[at + order] = found
     return out / np.float32(np.log(10))
 
 
-def _counter():
-    def answer(rows):
-        held, total = [], {}
-        for chunk, words, extra in rows:
-            counts = wordtable.unpack_numbers(extra).tolist()
-            held.append((chunk, words))
-            for w, n in zip(words.split(b" "), counts):
-                total[w] = total.get(w, 0) + n
-        for chunk, words in held:
-            yield chunk, 0, wordtable.pack_numbers(np.fromiter(map(total.__getitem__, words.split(b" ")), np.int64))
-        # what the model needs to know of this bucket: its most frequent words and sums by tail class
-        seen = {w: n for w, n in total.items() if n}
-        top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:HEAD]
-        kinds = np.fromiter(map(tail_class, seen), np.int64, len(seen))
-        many = np.fromiter(seen.values(), np.int64, len(seen))
-        yield b"", 1, wordtable.pack_bytes([np.bincount(kinds, weights=many, minlength=TAILS).astype(np.int64).tobytes(),
-                                            np.bincount(kinds, minlength=TAILS).astype(np.int64).tobytes(),
-                                            b" ".join(w for w, _ in top), np.array([n for _, n in top], np.int64).tobytes()])
-    return answer
+def _counter(n: int):
+    def solve():
+        def answer(rows):
+            held, total = [], {}
+            for chunk, words, extra in rows:
+                counts = wordtable.unpack_numbers(extra).tolist()
+                held.append((chunk, words))
+                for w, m in zip(words.split(b" "), counts):
+                    total[w] = total.get(w, 0) + m
+            for chunk, words in held:
+                yield chunk, 0, wordtable.pack_numbers(np.fromiter(map(total.__getitem__, words.split(b" ")), np.int64))
+            # what the model needs to know of this bucket: its most frequent words and sums by tail class. Buckets are cut by a hash, so this one knows
+            # the size of all to a small factor; it answers for four times that, and what the model does not need is folded or left out
+            seen = {w: m for w, m in total.items() if m}
+            if seen:
+                _, heads, tails = sizes(4 * n * len(seen))
+                top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:heads]
+                kinds = np.fromiter((tail_class(w, tails) for w in seen), np.int64, len(seen))
+                many = np.fromiter(seen.values(), np.int64, len(seen))
+                yield b"", 1, wordtable.pack_bytes([np.bincount(kinds, weights=many, minlength=tails).astype(np.int64).tobytes(),
+                                                    np.bincount(kinds, minlength=tails).astype(np.int64).tobytes(),
+                                                    b" ".join(w for w, _ in top), np.array([m for _, m in top], np.int64).tobytes()])
+        return answer
+    return solve
+
+
+def _folded(sums: np.ndarray, tails: int) -> np.ndarray:
+    return sums.reshape(-1, tails).sum(axis=0)
 
 
 def _merge(batches):
-    """Summaries of buckets to one: sums by class and the ``HEAD`` most frequent words."""
-    tokens, words, top, any_ = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64), {}, False
+    """Summaries of buckets to one: sums by tail class, as coarse as the coarsest, and as many of the most frequent words as the longest list has."""
+    tokens = words = None
+    top, longest = {}, 0
     for batch in batches:
         for payload in batch.column(0).to_pylist():
             a, b, names, counts = wordtable.unpack_bytes(payload)
-            tokens, words, any_ = tokens + np.frombuffer(a, np.int64), words + np.frombuffer(b, np.int64), True
-            top.update(zip(names.split(b" ") if names else [], np.frombuffer(counts, np.int64).tolist()))
-            top = dict(sorted(top.items(), key=lambda x: (-x[1], x[0]))[:HEAD])
-    if any_:
+            a, b, counts = (np.frombuffer(x, np.int64) for x in (a, b, counts))
+            if tokens is None:
+                tokens, words = np.zeros_like(a), np.zeros_like(b)
+            tails = min(len(tokens), len(a))
+            tokens, words = _folded(tokens, tails) + _folded(a, tails), _folded(words, tails) + _folded(b, tails)
+            top.update(zip(names.split(b" "), counts.tolist()))
+            longest = max(longest, len(counts))
+            if len(top) > 4 * longest:
+                top = dict(sorted(top.items(), key=lambda x: (-x[1], x[0]))[:longest])
+    if tokens is not None:
+        top = dict(sorted(top.items(), key=lambda x: (-x[1], x[0]))[:longest])
         yield pa.RecordBatch.from_arrays([pa.array([wordtable.pack_bytes([tokens.tobytes(), words.tobytes(), b" ".join(top), np.array(list(top.values()), np.int64).tobytes()])], pa.binary())], names=["payload"])
 
 
 def summary(answers: DataFrame, n_texts: int, n: int) -> Model:
     one = (answers.filter("kind = 1").select("payload").repartition(max(1, round(n ** 0.5))).mapInArrow(_merge, "payload binary")
            .coalesce(1).mapInArrow(_merge, "payload binary").collect())
-    tokens, words, top = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64), {}
+    tokens, words, top = np.zeros(1, np.int64), np.zeros(1, np.int64), {}
     if one:
         a, b, names, counts = wordtable.unpack_bytes(bytes(one[0]["payload"]))
-        tokens, words = np.frombuffer(a, np.int64).copy(), np.frombuffer(b, np.int64).copy()
-        top = dict(zip(names.split(b" ") if names else [], np.frombuffer(counts, np.int64).tolist()))
+        tokens, words = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+        top = dict(zip(names.split(b" "), np.frombuffer(counts, np.int64).tolist()))
     all_tokens, all_words = int(tokens.sum()) + n_texts, int(words.sum()) + (n_texts > 0)
-    own = np.zeros(HEAD, np.int64)
-    for k, (w, c) in enumerate(top.items()):
-        tokens[tail_class(w)] -= c
-        words[tail_class(w)] -= 1
-        own[k] = c
-    return Model({w: k for k, w in enumerate(top)}, np.concatenate([own, [n_texts], tokens]), np.concatenate([np.ones(HEAD + 1, np.int64), words]), all_tokens, all_words, [])
+    side, _, tails = sizes(all_words)
+    tails = min(tails, len(tokens))
+    tokens, words, heads = _folded(tokens, tails).copy(), _folded(words, tails).copy(), side * side - 1 - tails
+    own, head = np.zeros(heads, np.int64), {}
+    for k, (w, c) in enumerate(list(top.items())[:heads]):
+        tokens[tail_class(w, tails)] -= c
+        words[tail_class(w, tails)] -= 1
+        own[k], head[w] = c, END + 1 + k
+    return Model(side, tails, head, np.concatenate([[n_texts], own, tokens]), np.concatenate([np.ones(heads + 1, np.int64), words]), all_tokens, all_words, [])
 
 
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
 def _describe(model: Model):
-    """What goes with a chunk's positions: the neural part of each text and the class of each word."""
+    """What goes with a chunk's positions: the class of each word and the flag of each text."""
     def describe(chunk: wordtable.Chunk) -> bytes:
-        kinds = model.classes(list(chunk.index))
-        parts, group, size = [], [], 0
-
-        def flush():
-            lengths = np.array([len(c) + 1 for c in group], np.int64)
-            stream = np.full(int(lengths.sum()), END, np.int64)
-            ends = np.cumsum(lengths)
-            for c, e in zip(group, ends):
-                stream[e - len(c) - 1:e - 1] = kinds[c]
-            each = class_scores(model, stream, lengths).astype(np.float64)
-            parts.append(np.add.reduceat(each, ends - lengths))
-        for c in chunk.codes:
-            group.append(c)
-            size += len(c) + 1
-            if size >= 1 << 17:
-                flush()
-                group, size = [], 0
-        if group:
-            flush()
-        return wordtable.pack_bytes([np.concatenate(parts).tobytes(), kinds.astype(np.uint16).tobytes()])
+        return wordtable.pack_bytes([model.classes(list(chunk.index)).astype(np.uint32).tobytes(), np.array(chunk.flags, np.uint8).tobytes()])
     return describe
 
 
@@ -312,23 +379,25 @@ def _score(model: Model):
     def finish():
         base = np.log10(model.tokens + model.words + 1.0)
         shared = np.log10(model.class_tokens + model.class_words + 1.0)
-        end_count = int(model.class_tokens[END])
+        end_count, first_tail = int(model.class_tokens[END]), model.side ** 2 - model.tails
 
         def done(ids, lengths, codes, replies, extra, place):
-            neural, kinds = wordtable.unpack_bytes(extra)
-            neural, kinds = np.frombuffer(neural, np.float64), np.frombuffer(kinds, np.uint16).astype(np.int64)
+            kinds = np.frombuffer(wordtable.unpack_bytes(extra)[0], np.uint32).astype(np.int64)
             count = wordtable.unpack_numbers(b"".join(replies))
             kind = np.empty_like(kinds)
             kind[place] = kinds
             logs = np.log10(count + 1.0)
-            own = np.where(kind <= END, 0.0, logs - shared[kind])
+            own = np.where(kind < first_tail, 0.0, logs - shared[kind])
             known = (count > 0).astype(np.int64)
             ends = np.cumsum(lengths)
             tail = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[codes])])[np.concatenate([[0], ends])])
+            neural = []
+            for _, lens, texts in _groups(lengths, kind, codes, model.side ** 2):
+                neural.append(np.add.reduceat(class_scores(model, texts).astype(np.float64), np.cumsum(lens) - lens))
             n = lengths + 1
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(tail(known) + (end_count > 0), pa.int64()),
-                pa.array(tail(logs) + np.log10(end_count + 1.0) - n * base, pa.float64()), pa.array(neural + tail(own), pa.float64())],
+                pa.array(tail(logs) + np.log10(end_count + 1.0) - n * base, pa.float64()), pa.array(np.concatenate(neural) + tail(own), pa.float64())],
                 names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
         return done
     return finish
@@ -342,9 +411,10 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: the model learns from texts that are not held out and scores all."""
     n = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (~held_out()).alias("flag"))
-    answers = cut_lineage(wordtable.by_bucket(wordtable.ask(rows, words_of, n, counted=True), _counter, n))
-    model = train(rows.filter("flag"), summary(answers, rows.filter("flag").count(), n))
-    scored = wordtable.meet(answers, wordtable.positions(rows, words_of, n, _describe(model)), _score(model), SCORES, n)
+    answers = cut_lineage(wordtable.by_bucket(wordtable.ask(rows, words_of, n, counted=True), _counter(n), n))
+    model = summary(answers, rows.filter("flag").count(), n)
+    places = cut_lineage(wordtable.positions(rows, words_of, n, _describe(model)))
+    scored = wordtable.meet(answers, places, _score(train(places, model)), SCORES, n)
     return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
