@@ -37,10 +37,11 @@ FOLDS, HELD = 7, 2
 #: class of the end of a text; head words follow, then classes by last bytes
 END = 0
 CONTEXT = 3
-WIDTH = 24
+WIDTH = 16
 #: noise draws a batch for groups, and for the classes of each group
 NOISE, INNER = 16, 8
-BATCH = 1024
+#: least and most tokens of a mini-batch; it grows with what the task has seen, a ``GROW``-th of it, as later steps need less noise and fewer updates
+BATCH, MOST_BATCH, GROW = 1024, 4096, 64
 RATE = 0.08
 ROUNDS = 2
 SCORED = 16384
@@ -91,10 +92,11 @@ class Model:
 
 
 def initial(model: Model, seed: int = 1) -> list[np.ndarray]:
-    """Vectors of contexts, groups and classes, position weights, biases of groups and classes; the biases alone are the unigram model."""
+    """Vectors of contexts, of groups and of classes, the last two with their bias at the end, and position weights; the biases alone are the unigram model."""
     rng = np.random.default_rng(seed)
-    vectors = [(0.1 * rng.standard_normal((n, WIDTH))).astype(np.float32) for n in (model.side ** 2 + 1, model.side, model.side ** 2)]
-    return [*vectors, np.full((CONTEXT, WIDTH), 1 / CONTEXT, np.float32), *model.log_noise()]
+    contexts, groups, classes = ((0.1 * rng.standard_normal((n, WIDTH))).astype(np.float32) for n in (model.side ** 2 + 1, model.side, model.side ** 2))
+    biased = [np.column_stack([v, bias]) for v, bias in zip((groups, classes), model.log_noise())]
+    return [contexts, *biased, np.full((CONTEXT, WIDTH), 1 / CONTEXT, np.float32)]
 
 
 class Stream:
@@ -111,60 +113,79 @@ class Stream:
         return self.padded[self.at[which][:, None] - np.arange(1, CONTEXT + 1)]
 
 
-def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows and the sum of the values of each."""
-    order = np.argsort(rows, kind="stable")
+def _sums(rows: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows, of ``size``, and the sum of the values of each."""
+    order = np.argsort(rows.astype(np.uint16) if size <= 1 << 16 else rows, kind="stable")
     rows = rows[order]
     cut = np.flatnonzero(np.diff(rows, prepend=-1))
-    return rows[cut], np.add.reduceat(values[order], cut, axis=0)
+    return rows[cut], np.add.reduceat(values.take(order, axis=0), cut, axis=0)
 
 
 def _adagrad(param: np.ndarray, square: np.ndarray, rows, grad: np.ndarray) -> None:
     """Only rows with a gradient change."""
     s = square[rows] + grad * grad
     square[rows] = s
-    param[rows] -= RATE * grad / np.sqrt(s + 1e-8)
+    s += 1e-8
+    param[rows] -= RATE * grad / np.sqrt(s, out=s)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def hidden_of(q: np.ndarray, c: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Context vectors of each token, and their weighted sum with a one at the end, which meets the biases."""
+    seen = q.take(ctx, axis=0)
+    hidden = np.ones((len(ctx), WIDTH + 1), np.float32)
+    np.einsum("bkw,kw->bw", seen, c, out=hidden[:, :-1])
+    return seen, hidden
+
+
 def train_step(model: Model, squares: list[np.ndarray], ctx: np.ndarray, target: np.ndarray, drawn: np.ndarray, inner: np.ndarray, log_noise: tuple[np.ndarray, np.ndarray]) -> None:
     """One mini-batch of noise-contrastive estimation with Adagrad; ``target`` ascends by group.
 
     The batch shares the drawn noise groups; tokens of a group share that group's drawn classes, a row of ``inner``.
     """
-    q, t, r, c, bt, br = model.params
-    n = np.float32(len(target))
+    q, t, r, c = model.params
     group = target // model.side
-    seen = q[ctx]
-    hidden = (seen * c).sum(axis=1)
+    seen, hidden = hidden_of(q, c, ctx)
     # groups against noise groups
-    log_k = np.float32(np.log(len(drawn)))
-    t_true = -_sigmoid(-((hidden * t[group]).sum(axis=1) + (bt - log_noise[0])[group] - log_k))
-    t_false = _sigmoid(hidden @ t[drawn].T + (bt - log_noise[0])[drawn] - log_k)
+    less = log_noise[0] + np.float32(np.log(len(drawn)))
+    t_mine, t_drawn = t.take(group, axis=0), t[drawn]
+    t_true = -_sigmoid(less[group] - np.einsum("bw,bw->b", hidden, t_mine))
+    t_false = _sigmoid(hidden @ t_drawn.T - less[drawn])
     # classes against noise classes of the same group
     begin = np.flatnonzero(np.diff(group, prepend=-1))
-    present = group[begin]
-    mine = inner[group]
-    log_i = np.float32(np.log(inner.shape[1]))
-    r_target, r_mine = r[target], r[mine]
-    c_true = -_sigmoid(-((hidden * r_target).sum(axis=1) + br[target] - log_noise[1][target] - log_i))
-    c_false = _sigmoid((r_mine @ hidden[:, :, None])[:, :, 0] + (br - log_noise[1])[mine] - log_i)
-    d_hidden = t_true[:, None] * t[group] + t_false @ t[drawn] + c_true[:, None] * r_target + (c_false[:, None, :] @ r_mine)[:, 0]
-    # gradients, each with its bias in the last column
-    one = np.concatenate([hidden, np.ones((len(hidden), 1), np.float32)], axis=1)
-    g_t = np.zeros((model.side, WIDTH + 1), np.float32)
-    g_t[present] = np.add.reduceat(t_true[:, None] * one, begin, axis=0)
-    np.add.at(g_t, drawn, t_false.T @ one)
-    ends = np.append(begin[1:], len(target))
-    noise_grad = np.stack([c_false[a:b].T @ one[a:b] for a, b in zip(begin.tolist(), ends.tolist())])
-    rows, g_r = _sums(np.concatenate([target, inner[present].ravel()]), np.concatenate([c_true[:, None] * one, noise_grad.reshape(-1, WIDTH + 1)]))
-    g_c = (d_hidden[:, None, :] * seen).sum(axis=0)
-    at, g_q = _sums(ctx.ravel(), (d_hidden[:, None, :] * c).reshape(-1, WIDTH))
-    for k, (which, grad) in enumerate([(at, g_q), (slice(None), g_t[:, :-1]), (rows, g_r[:, :-1]), (slice(None), g_c), (slice(None), g_t[:, -1]), (rows, g_r[:, -1])]):
-        _adagrad(model.params[k], squares[k], which, grad / n)
+    runs = list(zip(begin.tolist(), [*begin[1:].tolist(), len(target)]))
+    others = inner[group[begin]]
+    less = log_noise[1] + np.float32(np.log(inner.shape[1]))
+    r_mine, r_others = r.take(target, axis=0), r[others]
+    c_true = -_sigmoid(less[target] - np.einsum("bw,bw->b", hidden, r_mine))
+    c_false = np.empty((len(target), inner.shape[1]), np.float32)
+    for k, (a, b) in enumerate(runs):
+        np.matmul(hidden[a:b], r_others[k].T, out=c_false[a:b])
+    c_false = _sigmoid(c_false - less[others].repeat(np.diff(begin, append=len(target)), axis=0))
+    # what each token's hidden vector, and each vector it met, should change by
+    d_hidden = t_false @ t_drawn
+    t_mine *= t_true[:, None]
+    d_hidden += t_mine
+    r_mine *= c_true[:, None]
+    d_hidden += r_mine
+    g_others = np.empty_like(r_others)
+    for k, (a, b) in enumerate(runs):
+        d_hidden[a:b] += c_false[a:b] @ r_others[k]
+        np.matmul(c_false[a:b].T, hidden[a:b], out=g_others[k])
+    g_t = np.zeros_like(t)
+    g_t[group[begin]] = np.add.reduceat(t_true[:, None] * hidden, begin, axis=0)
+    np.add.at(g_t, drawn, t_false.T @ hidden)
+    rows, g_r = _sums(np.concatenate([target, others.ravel()]), np.concatenate([c_true[:, None] * hidden, g_others.reshape(-1, WIDTH + 1)]), len(r))
+    d_hidden = np.ascontiguousarray(d_hidden[:, :-1])
+    at, g_q = _sums(ctx.ravel(), (d_hidden[:, None, :] * c).reshape(-1, WIDTH), len(q))
+    g_c = np.einsum("bw,bkw->kw", d_hidden, seen)
+    n = np.float32(len(target))
+    for k, (which, grad) in enumerate([(at, g_q), (slice(None), g_t), (rows, g_r), (slice(None), g_c)]):
+        grad /= n
+        _adagrad(model.params[k], squares[k], which, grad)
 
 
 def _texts(batches):
@@ -212,14 +233,15 @@ def _trainer(model: Model):
             codes = codes[np.repeat(flags, lengths)]
             for _, lens, texts in _groups(lengths[flags], kinds, codes, own.side ** 2):
                 order = rng.permutation(len(texts.target))
-                for at in range(0, len(order), BATCH):
-                    pick = order[at:at + BATCH]
+                at = 0
+                while at < len(order):
+                    pick = order[at:at + min(MOST_BATCH, max(BATCH, seen // GROW))]
+                    at, seen = at + len(pick), seen + len(pick)
                     pick = pick[np.argsort(texts.target[pick], kind="stable")]
                     drawn = np.searchsorted(high, rng.random(NOISE) * high[-1], side="right").clip(0, last)
                     draws = low[:, None] + rng.random((own.side, INNER)) * (high - low)[:, None]
                     inner = (np.searchsorted(edges, draws, side="right") - 1).clip(groups, groups + last)
                     train_step(own, squares, texts.contexts(pick), texts.target[pick], drawn, inner, log_noise)
-                seen += len(order)
         if seen:
             yield _weighted([seen], [np.concatenate([p.ravel() for p in own.params]).astype(np.float64) * seen])
     return run
@@ -266,28 +288,24 @@ def _log_sum(logits: np.ndarray) -> np.ndarray:
 
 def class_scores(model: Model, texts: Stream) -> np.ndarray:
     """Normalised log10 probability of each token's class, by batched matrix products."""
-    q, t, r, c, bt, br = model.params
+    q, t, r, c = model.params
     side = model.side
     out = np.empty(len(texts.target), np.float32)
     for at in range(0, len(out), SCORED):
         which = slice(at, at + SCORED)
         target, ctx = texts.target[which], texts.contexts(which)
-        order = np.argsort(target, kind="stable")
+        order = np.argsort(target.astype(np.uint16) if len(r) <= 1 << 16 else target, kind="stable")
         target, ctx = target[order], ctx[order]
-        hidden = q[ctx[:, 0]] * c[0]
-        for k in range(1, CONTEXT):
-            hidden += q[ctx[:, k]] * c[k]
+        hidden = hidden_of(q, c, ctx)[1]
         group = target // side
         lines = np.arange(len(target))
         logits = hidden @ t.T
-        logits += bt
         found = logits[lines, group]
         found -= _log_sum(logits)
         begin = np.flatnonzero(np.diff(group, prepend=-1))
         for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(group)]):
             first = int(group[a]) * side
             logits = hidden[a:b] @ r[first:first + side].T
-            logits += br[first:first + side]
             found[a:b] += logits[lines[:b - a], target[a:b] - first]
             found[a:b] -= _log_sum(logits)
         out[at + order] = found

@@ -275,7 +275,8 @@ def test_language_model_is_normalised_and_learns_order():
 def test_language_model_scores_equal_a_plain_softmax():
     """Batched, grouped products against one token at a time."""
     model, rng = toy_model(), np.random.default_rng(5)
-    q, t, r, c, bt, br = model.params
+    q, t, r, c = model.params
+    t, bt, r, br = t[:, :-1], t[:, -1], r[:, :-1], r[:, -1]
     texts = language.Stream(rng.integers(0, 64, 300), np.array([100, 1, 199]), 64)
     got = language.class_scores(model, texts)
     for i, ctx in enumerate(texts.contexts(slice(None))):
