@@ -9,11 +9,16 @@ from blocklens.operators import reports
 
 
 def write_artifacts(artifacts: DataFrame, path: str, op_id, mode: str = "append") -> None:
-    """SNK-1: rows without payload by image and type, payloads in their own table."""
+    """SNK-1: rows without payload by type, payloads in their own table; both sorted by image inside a file.
+
+    A task writes one file per type: folders per image would be as many as the images times the types. A reader
+    of one image skips the row groups of others by their bounds.
+    """
     rows = artifacts.withColumn("op_id", F.lit(op_id)).withColumn("tier", F.col("tier").cast("int"))
-    rows.drop("payload").write.mode(mode).partitionBy("image_id", "file_type").parquet(f"{path}/artifacts")
+    rows.drop("payload").sortWithinPartitions("file_type", "image_id").write.mode(mode).partitionBy("file_type").parquet(f"{path}/artifacts")
     if "payload" in artifacts.columns:
-        rows.select("image_id", "artifact_id", "op_id", "content_hash", "payload").write.mode(mode).partitionBy("image_id").parquet(f"{path}/payloads")
+        payloads = rows.select("image_id", "artifact_id", "op_id", "content_hash", "payload")
+        payloads.sortWithinPartitions("image_id").write.mode(mode).parquet(f"{path}/payloads")
 
 
 def write_report(report: DataFrame, path: str, id_cols, title: str, list_col: str) -> None:

@@ -48,6 +48,16 @@ def test_objects_and_artifact_sink(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "payloads")).count() == 1
 
 
+def test_artifact_files_do_not_grow_with_images(spark, tmp_path):
+    rows = spark.range(600).select((F.col("id") % 300).alias("image_id"), F.element_at(F.array(F.lit("png"), F.lit("pdf")), (F.col("id") % 2 + 1).cast("int")).alias("file_type"),
+                                   F.col("id").alias("artifact_id"), F.lit(2).alias("tier"), F.lit("h").alias("content_hash"), F.lit(b"x").alias("payload")).repartition(3)
+    sinks.write_artifacts(rows, str(tmp_path), "op")
+    assert len(list((tmp_path / "artifacts").rglob("*.parquet"))) <= 6 and len(list((tmp_path / "payloads").rglob("*.parquet"))) <= 3
+    back = spark.read.parquet(str(tmp_path / "artifacts"))
+    assert back.count() == 600 and back.where("image_id = 7").select("artifact_id").distinct().count() == 2
+    assert spark.read.parquet(str(tmp_path / "payloads")).count() == 600
+
+
 def test_report_sink(spark, tmp_path):
     hist = custody(spark, [("Seized", 0, None, "x"), ("Transferred", 1, "x", "y"), ("Returned", 2, "y", None)])
     ev = spark.createDataFrame([("e", "disk")], "evidence_id string, model string")
