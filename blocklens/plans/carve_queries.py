@@ -73,7 +73,7 @@ def candidates(spark, sf):
 def candidate_window(spark, sf):
     m = chunks(spark, sf)
     sized = carve.windowed(page_candidates(spark, sf, m), carve.total_blocks(m, IMG), IMG, carve.FIRST_WINDOW)
-    w = carve.candidate_windows(sized, m, IMG)
+    w = carve.candidate_windows(sized, m, IMG, most=carve.FIRST_WINDOW)
     return w.select("image_id", "lba", "window_blocks", F.octet_length("payload").cast("bigint").alias("window_bytes"),
                     F.sha2(F.substring("payload", 1, 512), 256).alias("first_block"))
 
@@ -82,7 +82,7 @@ def candidate_window(spark, sf):
 def validate(spark, sf):
     m = chunks(spark, sf)
     sized = carve.windowed(page_candidates(spark, sf, m), carve.total_blocks(m, IMG), IMG, carve.FIRST_WINDOW)
-    w = carve.candidate_windows(sized, m, IMG, carry=carve.CARRY)
+    w = carve.candidate_windows(sized, m, IMG, carry=carve.CARRY, most=carve.FIRST_WINDOW)
     return carve.verdict_summary(carve.validate_candidates(w), IMG)
 
 

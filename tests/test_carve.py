@@ -172,3 +172,36 @@ def test_signature_json(spark, tmp_path):
         ("a", b"\x01\xff", None, 0, 0), ("b", b"\x07", b"\x00\x09", 4, 1)]
     both = signatures.append_signatures(signatures.signature_rows(spark), signatures.read_signatures(spark, str(p)))
     assert both.agg(F.max("sig_order")).first()[0] == 8
+
+
+def _shuffled(spark):
+    """Bytes that the session has written to shuffles."""
+    seen = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(seen.apply(i).totalShuffleWrite() for i in range(seen.size()))
+
+
+def test_windows_from_spans_equal_the_medium(spark):
+    """Chunks of uneven sizes with a hole, windows of all three sizes, over the edges of spans: the bytes themselves, or no row."""
+    import os
+    total, hole = 40000, range(5000, 5010)
+    data = os.urandom(total * 512)
+    cuts = [0, 1, 130, 2047, 2049, 5000, 5010, 9000, 16383, 16500, 33000, total]
+    rows = [("m", a // 128, a, b - a, bytearray(data[a * 512:b * 512])) for a, b in zip(cuts, cuts[1:]) if a != 5000]
+    chunks = spark.createDataFrame(rows, "image_id string, chunk_no long, start_lba long, n long, payload binary")
+    asked = [(a, k, w) for k, w in enumerate([1, 3, 2048, 2176, 2177, 16384, 20000]) for a in (0, 1, 2000, 2047, 2048, 4990, 5009, 5010, 16000, 20000, 39999) if a + w <= total + 1]
+    cands = spark.createDataFrame([("m", *x) for x in asked], "image_id string, lba long, sig_order int, window_blocks long")
+    got = {(r["lba"], r["sig_order"]): bytes(r["payload"]) for r in carve.candidate_windows(cands, chunks, ["image_id"]).collect()}
+    want = {(a, k): data[a * 512:(a + w) * 512] for a, k, w in asked if a + w <= total and not any(a <= x < a + w for x in hole)}
+    assert got == want and len(want) > 20
+
+
+def test_windows_of_dense_candidates_move_the_medium_twice(spark):
+    """256 windows of a MiB over two MiB: what is shuffled follows the medium."""
+    import os
+    total = 4096
+    rows = [("m", c, c * 128, 128, bytearray(os.urandom(128 * 512))) for c in range(total // 128)]
+    chunks = spark.createDataFrame(rows, "image_id string, chunk_no long, start_lba long, n long, payload binary")
+    cands = spark.range(256).selectExpr("'m' as image_id", "id * 8 as lba", "0 as sig_order", "cast(2048 as bigint) as window_blocks")
+    before = _shuffled(spark)
+    assert carve.candidate_windows(cands, chunks, ["image_id"]).selectExpr("sum(octet_length(payload))").first()[0] == 256 << 20
+    assert _shuffled(spark) - before < 4 * total * 512
