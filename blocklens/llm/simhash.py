@@ -49,6 +49,11 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
         begins = ends - size
         h = xxhash.xxh64_intdigest
         hashes = np.fromiter((h(norm[a:b], SEED) for a, b in zip(begins[:len(words) - shingle + 1].tolist(), ends[shingle - 1:].tolist())), np.uint64, len(words) - shingle + 1)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Fingerprint of hashes: bit k is set if it is in over half of them."""
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     whole = len(bits) // 255 * 255
     count = bits[whole:].sum(axis=0, dtype=np.int64)

@@ -139,3 +139,18 @@ def test_near_dedup_of_awkward_rows(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["node"]) for r in got.collect()) == [
         (False, 5, "x"), (False, 7, "y"), (False, 11, None), (False, 20, "x"), (True, 0, "z")]
     assert nearcopies.drop_near_copies(df.limit(0)).count() == 0
+
+
+def test_fingerprints_bring_near_copies_together(spark):
+    """Texts with one of 400 words changed: fingerprints within three bits share a key that no band gave them; wordless texts get none."""
+    base = plain.prose(31, 400)
+    texts = {0: " ".join(base), **{k: changed(k, base, 1) for k in range(1, 9)}, 20: "", 21: None, 22: " ".join(plain.prose(77, 300))}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = cut_lineage(nearcopies.signatures(df).withColumnRenamed("doc_id", "first"))
+    prints = {r["first"]: r["print"] for r in found.collect()}
+    near = {k for k in range(1, 9) if bin((prints[0] ^ prints[k]) & (2**64 - 1)).count("1") <= 3}
+    bands = {r["first"]: set(r["keys"]) for r in found.collect()}
+    keys = {r["first"]: set(r["keys"]) - bands[r["first"]] for r in nearcopies.with_fingerprint_key(found.dropDuplicates(["node"])).collect()}
+    assert near and all(keys[k] == keys[0] and len(keys[k]) == 1 for k in near) and keys[22] != keys[0]
+    assert not keys.get(20) and not keys.get(21) and prints[20] is None and prints[21] is None
+    assert nearcopies.drop_near_copies(df).count() == len(survivors(texts))
