@@ -100,15 +100,15 @@ def pack_numbers(values: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def unpack_numbers(data: bytes) -> np.ndarray:
+def unpack_numbers(data: bytes, kind: type = np.int64) -> np.ndarray:
     raw, parts, at = np.frombuffer(data, np.uint8), [], 0
     while at < len(raw):
         end = min(at + PACK_STEP, len(raw))
         while raw[end - 1] >= 0x80:  # a number of at most five bytes goes on
             end += 1
-        parts.append(_unpack(raw[at:end]))
+        parts.append(_unpack(raw[at:end]).astype(kind))
         at = end
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
 def _unpack(raw: np.ndarray) -> np.ndarray:
@@ -141,10 +141,13 @@ def ask(docs: DataFrame, words_of: Callable[[bytes], list[bytes]], n: int, count
                 count = np.bincount(np.concatenate(flagged), minlength=len(words)) if flagged else np.zeros(len(words), np.int64)
             cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=n))
             rows = [order[a:b] for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([
+            batch = pa.RecordBatch.from_arrays([
                 pa.array([int(bucket[r[0]]) for r in rows], pa.int32()), pa.array([chunk.key()] * len(rows), pa.binary()),
                 pa.array([b" ".join([words[i] for i in r.tolist()]) for r in rows], pa.binary()),
                 pa.array([pack_numbers(count[r]) if counted else b"" for r in rows], pa.binary())], names=["bucket", "chunk", "words", "extra"])
+            # the next chunk is built while this frame waits: it must not hold the one before
+            chunk = words = bucket = order = rows = None
+            yield batch
     return docs.mapInArrow(run, ASKED)
 
 
@@ -158,7 +161,8 @@ def by_bucket(asked: DataFrame, solve: Callable[[], Callable], n: int) -> DataFr
 
         def rows():
             for batch in batches:
-                yield from zip(*[batch.column(k).to_pylist() for k in range(4)])
+                for at in range(batch.num_rows):
+                    yield tuple(batch.column(k)[at].as_py() for k in range(4))
         source = rows()
         row = next(source, None)
         while row is not None:
@@ -198,8 +202,10 @@ def positions(docs: DataFrame, words_of: Callable[[bytes], list[bytes]], n: int,
             head = [pack_bytes([b"" if i is None else str(i).encode() for i in chunk.ids]), np.array([len(c) for c in chunk.codes], np.uint32).tobytes(),
                     pack_numbers(buckets_of(words, n)) if words else b"", describe(chunk) if describe else b""]
             codes = pack_numbers(np.concatenate(chunk.codes))
-            yield pa.RecordBatch.from_arrays([pa.array([chunk.key()] * 2, pa.binary()), pa.array([1, 2], pa.int32()), pa.array([-1, -1], pa.int32()),
-                                              pa.array([pack_bytes(head), codes], pa.binary())], names=["chunk", "kind", "bucket", "payload"])
+            batch = pa.RecordBatch.from_arrays([pa.array([chunk.key()] * 2, pa.binary()), pa.array([1, 2], pa.int32()), pa.array([-1, -1], pa.int32()),
+                                                pa.array([pack_bytes(head), codes], pa.binary())], names=["chunk", "kind", "bucket", "payload"])
+            chunk = words = head = codes = None
+            yield batch
     return docs.mapInArrow(run, ANSWERED)
 
 
@@ -241,6 +247,6 @@ def meet(answers: DataFrame, places: DataFrame, finish: Callable[[], Callable],
                     place = np.empty(len(bucket_of), np.int64)
                     place[np.argsort(bucket_of, kind="stable")] = np.arange(len(bucket_of))
                     ids = [int(i) if i else None for i in unpack_bytes(ids)]
-                    yield from done(ids, lengths, place[unpack_numbers(payload)], [replies[b] for b in wanted], extra, place)
+                    yield from done(ids, lengths, place[unpack_numbers(payload, np.uint32)], [replies[b] for b in wanted], extra, place)
     # (kind, bucket) order puts the answers first; repeated rows of equal chunks bring equal answers
     return (answers.filter("kind = 0").unionByName(places).repartition(n, "chunk").sortWithinPartitions("chunk", "kind", "bucket").mapInArrow(run, schema))
