@@ -171,32 +171,50 @@ def _le_int(p: Column, at: int, width: int) -> Column:
     return total
 
 
-def _boot_blocks(sectors: DataFrame, keys: Sequence[str], wanted: dict[int, str]) -> DataFrame:
-    """Pivot a few named blocks per image; the lba filter reaches the scan first."""
-    few = sectors.where(F.col("lba").isin(list(wanted)))
-    return few.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("lba") == lba, F.col("payload"))).alias(name) for lba, name in wanted.items()])
+def _boot_facts(sectors: DataFrame, keys: Sequence[str], facts: dict[str, tuple[int, Column]]) -> DataFrame:
+    """One row per image: numbers and flags read from a few blocks where those lie, ``name -> (lba, fact)``.
+
+    Facts have a fixed width, so images meet in a hash aggregation and no block is sorted or moved. Null where the block is absent;
+    of several rows for one block the greatest fact counts.
+    """
+    few = sectors.where(F.col("lba").isin([lba for lba, _ in facts.values()]))
+    read = few.select(*keys, *[F.when(F.col("lba") == lba, fact).alias(name) for name, (lba, fact) in facts.items()])
+    return read.groupBy(*keys).agg(*[F.max(name).alias(name) for name in facts])
+
+
+def _first_of(cases: Sequence[tuple[Column, int]], otherwise: int) -> Column:
+    out = None
+    for test, code in cases:
+        out = F.when(test, code) if out is None else out.when(test, code)
+    return out.otherwise(otherwise)
+
+
+def _named(code: Column, names: Sequence[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(n) for n in names]), code + 1)
+
+
+TABLE_KINDS = ["Raw / Unknown", "Raw / Unpartitioned", "GPT (Protective MBR detected)", "MBR (Master Boot Record)"]
 
 
 def partition_table_kind(sectors: DataFrame, keys: Sequence[str]) -> DataFrame:
     """PRJ-4."""
-    b = _boot_blocks(sectors, keys, {0: "b0", 1: "b1"})
-    b0 = F.col("b0")
+    p = F.col("payload")
     protective = None
     for at in (446, 462, 478, 494):
-        hit = _byte(b0, at + 4) == 0xEE
+        hit = _byte(p, at + 4) == 0xEE
         protective = hit if protective is None else protective | hit
-    kind = (F.when(F.octet_length(b0) < 512, "Raw / Unknown")
-            .when(F.hex(F.substring(b0, 511, 2)) != "55AA", "Raw / Unpartitioned")
-            .when(protective & (F.substring(F.col("b1"), 1, 8) == F.lit(b"EFI PART")), "GPT (GUID Partition Table)")
-            .when(protective, "GPT (Protective MBR detected)").otherwise("MBR (Master Boot Record)"))
-    return b.where("b0 IS NOT NULL").select(*keys, kind.alias("partition_table"))
+    code = F.when(p.isNotNull(), _first_of([(F.octet_length(p) < 512, 0), (F.hex(F.substring(p, 511, 2)) != "55AA", 1), (protective, 2)], 3))
+    b = _boot_facts(sectors, keys, {"_code": (0, code), "_efi": (1, F.substring(p, 1, 8) == F.lit(b"EFI PART"))}).where("_code IS NOT NULL")
+    kind = F.when((F.col("_code") == 2) & F.col("_efi"), "GPT (GUID Partition Table)").otherwise(_named(F.col("_code"), TABLE_KINDS))
+    return b.select(*keys, kind.alias("partition_table"))
+
+
+FILESYSTEMS = ["NTFS", "exFAT", "APFS", "Unknown", "FAT32", "FAT16", "FAT12"]
 
 
 def detect_filesystem(sectors: DataFrame, keys: Sequence[str], offset: int = 0) -> DataFrame:
     """PRJ-5: ordered byte tests on the boot block and the block two after it."""
-    b = _boot_blocks(sectors, keys, {offset: "b0", offset + 2: "b2"}).where("b0 IS NOT NULL")
-    p, sb = F.col("b0"), F.col("b2")
+    p = F.col("payload")
     oem = F.substring(p, 4, 8)
     bps, spc, reserved, fats = _le_int(p, 11, 2), _byte(p, 13), _le_int(p, 14, 2), _byte(p, 16)
     sane = (F.hex(F.substring(p, 511, 2)).eqNullSafe("55AA") & _byte(p, 0).isin(0xEB, 0xE9)
@@ -207,15 +225,15 @@ def detect_filesystem(sectors: DataFrame, keys: Sequence[str], offset: int = 0)
     fat = F.when(small_fat != 0, small_fat).otherwise(_le_int(p, 36, 4))
     root = F.floor((_le_int(p, 17, 2) * 32 + bps - 1) / bps)
     clusters = F.floor(F.greatest(total - (reserved + fats * fat + root), F.lit(0)) / spc)
-    kind = (F.when(oem == F.lit(b"NTFS    "), "NTFS").when(oem == F.lit(b"EXFAT   "), "exFAT")
-            .when(F.hex(F.substring(sb, 57, 2)).eqNullSafe("53EF"), "ext4")
-            .when(F.substring(p, 33, 4) == F.lit(b"NXSB"), "APFS")
-            .when(~F.coalesce(sane, F.lit(False)), "Unknown")
-            .when(F.substring(p, 83, 8) == F.lit(b"FAT32   "), "FAT32")
-            .when(F.substring(p, 55, 8) == F.lit(b"FAT16   "), "FAT16")
-            .when(F.substring(p, 55, 8) == F.lit(b"FAT12   "), "FAT12")
-            .when((small_fat == 0) | (clusters >= 65525), "FAT32")
-            .when(clusters >= 4085, "FAT16").when(clusters > 0, "FAT12").otherwise("Unknown"))
+    at = {name: i for i, name in enumerate(FILESYSTEMS)}
+    code = F.when(p.isNotNull(), _first_of([
+        (oem == F.lit(b"NTFS    "), at["NTFS"]), (oem == F.lit(b"EXFAT   "), at["exFAT"]), (F.substring(p, 33, 4) == F.lit(b"NXSB"), at["APFS"]),
+        (~F.coalesce(sane, F.lit(False)), at["Unknown"]), (F.substring(p, 83, 8) == F.lit(b"FAT32   "), at["FAT32"]),
+        (F.substring(p, 55, 8) == F.lit(b"FAT16   "), at["FAT16"]), (F.substring(p, 55, 8) == F.lit(b"FAT12   "), at["FAT12"]),
+        ((small_fat == 0) | (clusters >= 65525), at["FAT32"]), (clusters >= 4085, at["FAT16"]), (clusters > 0, at["FAT12"])], at["Unknown"]))
+    b = _boot_facts(sectors, keys, {"_code": (offset, code), "_ext": (offset + 2, F.hex(F.substring(p, 57, 2)) == "53EF")}).where("_code IS NOT NULL")
+    # the superblock is asked after the first two names
+    kind = F.when((F.col("_code") > at["exFAT"]) & F.col("_ext"), "ext4").otherwise(_named(F.col("_code"), FILESYSTEMS))
     return b.select(*keys, kind.alias("filesystem"))
 
 

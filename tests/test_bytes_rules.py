@@ -118,3 +118,20 @@ def test_fingerprint_ignores_interface_and_case(spark):
     df = spark.createDataFrame(data, "serial string, model string, capacity_bytes bigint, interface string, boundary_sample binary").coalesce(1)
     a, b, c, e = [r["fingerprint"] for r in filters.device_fingerprint(df).collect()]
     assert a == b and len({a, c, e}) == 3
+
+
+def test_boot_blocks_stay_where_they_lie(spark):
+    """Only numbers of fixed width are grouped: no sort aggregation over blocks; a missing boot block is no row, a short one has a kind."""
+    boot = bytes(510) + b"\x55\xaa"
+    gpt = bytes(450) + b"\xee" + bytes(59) + b"\x55\xaa"
+    magic = bytes(56) + b"\x53\xef" + bytes(454)
+    data = [("g", 0, gpt), ("g", 1, b"EFI PART" + bytes(504)), ("p", 0, gpt), ("p", 1, bytes(512)), ("q", 0, gpt), ("m", 0, boot), ("s", 0, b"x"), ("none", 1, boot), ("null", 0, None),
+            ("e", 0, bytes(512)), ("e", 2, magic), ("n", 0, b"EB0NTFS    " + bytes(501)), ("n", 2, magic), ("a", 0, bytes(32) + b"NXSB" + bytes(476)), ("a", 2, magic)]
+    df = spark.createDataFrame(data, "image_id string, lba bigint, payload binary")
+    kinds, systems = filters.partition_table_kind(df, ["image_id"]), filters.detect_filesystem(df, ["image_id"])
+    for got in (kinds, systems):
+        assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    raw = "Raw / Unpartitioned"
+    assert {r[0]: r[1] for r in kinds.collect()} == {
+        "g": "GPT (GUID Partition Table)", "p": "GPT (Protective MBR detected)", "q": "GPT (Protective MBR detected)", "m": "MBR (Master Boot Record)", "s": "Raw / Unknown", "e": raw, "n": raw, "a": raw}
+    assert {r[0]: r[1] for r in systems.collect()} == {"g": "Unknown", "p": "Unknown", "q": "Unknown", "m": "Unknown", "s": "Unknown", "e": "ext4", "n": "NTFS", "a": "ext4"}
