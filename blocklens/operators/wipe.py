@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blocklens.functions import rules
-from blocklens.operators import byte_stats
+from blocklens.operators import byte_stats, slices
+from blocklens.session import cut_lineage
 
 
 def deterministic_check(sectors: DataFrame, wanted: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -32,26 +33,29 @@ def statistical_check(sectors: DataFrame, totals: DataFrame, keys: Sequence[str]
 
     n is at most 50 000 per medium. The hash is uniform, so the n smallest lie below
     ``(n + 8 sqrt(n) + 40) / N`` of its range but for a chance far under 1e-12; that filter
-    runs in the scan and only its survivors, about n per medium, are ranked. A medium of which
-    it keeps fewer than n (unlucky hashes, or absent blocks) is ranked whole, so the sample is
-    the n smallest of what can be read in every case.
+    runs in the scan and only its survivors, about n per medium, are tested, moved and ranked.
+    A medium of which it keeps fewer than n (unlucky hashes, or absent blocks) is ranked whole,
+    so the sample is the n smallest of what can be read in every case. The media are a short
+    table next to their blocks: counted, then broadcast, so that no medium's blocks meet in a task.
     """
     keys = list(keys)
-    need = totals.withColumn("sample_size", rules.required_sample_size(F.col("total_blocks"), confidence, defect_rate))
+    need = cut_lineage(totals.withColumn("sample_size", rules.required_sample_size(F.col("total_blocks"), confidence, defect_rate)))
     n = F.col("sample_size")
     limit = (n + 8 * F.sqrt(n) + 40) / F.col("total_blocks") * 2.0 ** 64 - 2.0 ** 63
     h = F.xxhash64(*keys, F.col("lba"), F.lit(seed))
-    near = (sectors.select(*keys, "lba", h.alias("_h")).join(need.select(*keys, "sample_size", limit.alias("_limit")), keys)
-            .where(F.col("_h") <= F.col("_limit")))
+    tested = [*keys, "lba", "sample_size", "_h", byte_stats.is_uniform().alias("_uniform")]
+    hashed = sectors.select(*keys, "lba", "payload", h.alias("_h"))
+    near = cut_lineage(hashed.join(slices.few(need.select(*keys, "sample_size", limit.alias("_limit"))), keys)
+                       .where(F.col("_h") <= F.col("_limit")).select(*tested))
     held = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("_held"))
-    short = need.join(held, keys, "left").where(F.coalesce("_held", F.lit(0)) < n).select(*keys, "sample_size")
-    whole = sectors.select(*keys, "lba", h.alias("_h")).join(short, keys)
-    near = near.drop("_limit").join(short.select(*keys), keys, "left_anti").unionByName(whole)
+    short = cut_lineage(need.join(held, keys, "left").where(F.coalesce("_held", F.lit(0)) < n).select(*keys, "sample_size"))
+    if not short.isEmpty():
+        whole = hashed.join(slices.few(short), keys).select(*tested)
+        near = near.join(slices.few(short.select(*keys)), keys, "left_anti").unionByName(whole)
     order = Window.partitionBy(*keys).orderBy("_h", "lba")
-    picked = near.withColumn("_r", F.row_number().over(order)).where("_r <= sample_size").select(*keys, "lba")
-    tested = sectors.join(picked, [*keys, "lba"], "left_semi").groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("sampled"), F.count_if(~byte_stats.is_uniform()).alias("non_conforming"))
-    out = need.join(tested, keys, "left").na.fill(0, ["sampled", "non_conforming"])
+    picked = near.withColumn("_r", F.row_number().over(order)).where("_r <= sample_size")
+    found = picked.groupBy(*keys).agg(F.count(F.lit(1)).alias("sampled"), F.count_if(~F.col("_uniform")).alias("non_conforming"))
+    out = need.join(found, keys, "left").na.fill(0, ["sampled", "non_conforming"])
     # blocks of the sample that could not be read count as non-conforming
     return (out.withColumn("non_conforming", F.col("non_conforming") + F.col("sample_size") - F.col("sampled"))
             .withColumn("passed", (F.col("sample_size") > 0) & (F.col("non_conforming") == 0)))

@@ -135,3 +135,15 @@ def test_boot_blocks_stay_where_they_lie(spark):
     assert {r[0]: r[1] for r in kinds.collect()} == {
         "g": "GPT (GUID Partition Table)", "p": "GPT (Protective MBR detected)", "q": "GPT (Protective MBR detected)", "m": "MBR (Master Boot Record)", "s": "Raw / Unknown", "e": raw, "n": raw, "a": raw}
     assert {r[0]: r[1] for r in systems.collect()} == {"g": "Unknown", "p": "Unknown", "q": "Unknown", "m": "Unknown", "s": "Unknown", "e": "ext4", "n": "NTFS", "a": "ext4"}
+
+
+def test_statistical_check_moves_the_sample_only(spark):
+    """Two media of 200,000 blocks: what is shuffled follows the sample, not the media; one with absent blocks is ranked whole and fails."""
+    from test_carve import _shuffled
+    df = spark.range(400000).selectExpr("id % 2 as image_id", "id div 2 as lba", "unhex(repeat('00', 32)) as payload")
+    tot = spark.createDataFrame([(0, 200000), (1, 200000), (2, 30)], "image_id bigint, total_blocks bigint")
+    before = _shuffled(spark)
+    got = {r["image_id"]: r for r in wipe.statistical_check(df.unionByName(df.where("image_id = 0 AND lba < 5").withColumn("image_id", F.lit(2).cast("bigint"))), tot, ["image_id"]).collect()}
+    assert _shuffled(spark) - before < 1 << 20
+    assert got[0]["passed"] and got[1]["passed"] and got[0]["sampled"] == got[0]["sample_size"] > 290
+    assert got[2]["sampled"] == 5 and not got[2]["passed"] and got[2]["non_conforming"] == got[2]["sample_size"] - 5
