@@ -268,15 +268,12 @@ def greedy_select(sized: DataFrame, keys: Sequence[str], cut_width: int = FOLD_S
 
     One winner per block (first signature in list order). An accepted whole object claims its blocks, later starts inside them are dropped,
     partials claim nothing. Behind every whole object the next choice is the first whole one at or after its end, so the chosen ones are
-    those on the way from an image's first: found by doubling, in rounds that follow the logarithm of the choices.
+    those on the way from an image's first (``slices.hops``).
     """
     rest = [c for c in sized.columns if c not in (*keys, "lba")]
     first = cut_lineage(sized.groupBy(*keys, "lba").agg(F.min_by(F.struct(*rest), "sig_order").alias("_w")).select(*keys, "lba", "_w.*"))
-    whole = first.where("is_ok").select(*keys, F.col("lba").alias("_from"), (F.col("lba") + F.greatest(F.col("blocks"), F.lit(1))).alias("lba"))
-    after = slices.next_at_or_after(whole, first.where("is_ok").select(*keys, "lba"), keys, "lba", cut_width, "_next")
-    ways = after.where("_next IS NOT NULL").select(*keys, F.col("_from").alias("lba"), "_next")
-    heads = first.where("is_ok").groupBy(*keys).agg(F.min("lba").alias("lba"))
-    chosen = slices.reachable(heads, ways, keys, "lba", "_next", cut_lineage)
+    whole = first.where("is_ok").select(*keys, "lba", (F.col("lba") + F.greatest(F.col("blocks"), F.lit(1))).alias("_end"))
+    chosen = slices.hops(whole, keys, "lba", "_end", cut_width, cut_lineage)
     taken = first.where("is_ok").join(chosen, [*keys, "lba"], "left_semi")
     parts = ranges.points_in_ranges(first.where("NOT is_ok"), taken.select(*keys, F.col("lba").alias("start_lba"), F.col("blocks").alias("block_count")), keys, "left_anti")
     return taken.unionByName(parts)

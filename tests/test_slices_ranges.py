@@ -83,3 +83,39 @@ def test_storage_map_priority(spark):
                                 "image_id string, start_lba bigint, block_count bigint, kind string")
     got = {r["segment"]: r["status"] for r in ranges.storage_map(tot, ext, ["image_id"]).collect()}
     assert [got[i] for i in (0, 1, 2, 3, 127)] == ["bad_sector", "artifact", "allocated", "unallocated", "sanitized"] and len(got) == 128
+
+
+def _way(rows):
+    met, until = [], None
+    for at, to in sorted(rows):
+        if until is None or at >= until:
+            met.append(at)
+            until = to
+    return met
+
+
+def test_hops_equal_the_plain_way(spark):
+    """Dense and sparse ways, spans longer than slices, empty slices, a single row, over two keys."""
+    import random
+
+    from blocklens.session import cut_lineage
+    rng = random.Random(3)
+    data = {"dense": [(i, i + rng.randint(1, 9)) for i in range(2000)], "long": [(i * 3, i * 3 + rng.choice([1, 5, 700])) for i in range(900)],
+            "gaps": [(i * i, i * i + rng.randint(1, 40)) for i in range(90)], "one": [(70, 71)], "ahead": [(5, 10**6), (6, 7), (10**6, 10**6 + 1)]}
+    df = spark.createDataFrame([(k, a, b) for k, v in data.items() for a, b in v], "k string, at bigint, until bigint")
+    got = {}
+    for r in slices.hops(df, ["k"], "at", "until", 64, cut_lineage).collect():
+        got.setdefault(r["k"], []).append(r["at"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: _way(v) for k, v in data.items()}
+
+
+def test_next_mark_reads_frames_that_grow(spark):
+    """One slice of 60,000 rows: linear, where a frame to the far end is read again for every row; a mark on the point itself counts."""
+    import time
+    points = spark.range(30000).selectExpr("'a' as k", "id * 2 as at")
+    marks = spark.range(30000).selectExpr("'a' as k", "id * 2 + (id % 2) as at")
+    got = slices.next_at_or_after(points, marks, ["k"], "at", 1 << 20, "next")
+    assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower()
+    t0 = time.time()
+    rows = {r["at"]: r["next"] for r in got.collect()}
+    assert rows[4] == 4 and rows[6] == 7 and rows[59998] == 59999 and len(rows) == 30000 and time.time() - t0 < 60
