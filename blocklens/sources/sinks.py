@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,3 +65,29 @@ def checkpoint_sink(progress: DataFrame, path: str, checkpoint: str, every_block
         upsert_latest(batch, path, ["job_id"], "current_lba")
 
     return due.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
+def write_objects(rows: DataFrame, directory: str, key: str, payload: str, suffix: str = "") -> int:
+    """A file ``<key><suffix>`` per row, in one folder, each written where its row lies; gives their number.
+
+    A file writer partitioned by the key makes a folder per row and moves each of them at the end. A task that runs again writes the same
+    files. Keys are unique; a null payload is an empty file.
+    """
+    from pyarrow import fs as arrow_fs
+
+    def place():
+        return arrow_fs.FileSystem.from_uri(directory) if "://" in directory else (arrow_fs.LocalFileSystem(), directory)
+
+    def run(batches):
+        system, inner = place()
+        for batch in batches:
+            names, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for name, body in zip(names, data):
+                with system.open_output_stream(f"{inner}/{name}{suffix}") as out:
+                    out.write(body or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    system, inner = place()
+    system.create_dir(inner, recursive=True)
+    wanted = rows.select(F.col(key).cast("string").alias("name"), F.col(payload).alias("body"))
+    return wanted.mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]

@@ -133,3 +133,15 @@ def test_progress_checkpoint_sink(spark, tmp_path):
     feed = vault.stream_ledger(spark, str(tmp_path / "in"), df.schema, files_per_trigger=1)
     sinks.checkpoint_sink(feed, str(tmp_path / "t"), str(tmp_path / "s")).trigger(availableNow=True).start().awaitTermination()
     assert {r["job_id"]: r["current_lba"] for r in sinks.read_latest(spark, str(tmp_path / "t")).collect()} == {1: 20_000, 2: 10_000}
+
+
+def test_objects_are_written_in_one_folder_by_the_tasks(spark, tmp_path):
+    """A file per row under its key, no folder per row; a null payload is an empty file, no rows are no files."""
+    from blocklens.sources import sinks, vault
+    rows = spark.range(300).selectExpr("id", "if(id = 7, null, encode(concat('body ', id), 'UTF-8')) as body")
+    at = str(tmp_path / "objects")
+    assert sinks.write_objects(rows.repartition(4), at, "id", "body", ".txt") == 300
+    assert not [p for p in (tmp_path / "objects").iterdir() if p.is_dir()]
+    got = {r["path"].rsplit("/", 1)[1]: bytes(r["payload"]) for r in vault.load_objects(spark, at, "*.txt").collect()}
+    assert got == {f"{i}.txt": b"" if i == 7 else f"body {i}".encode() for i in range(300)}
+    assert sinks.write_objects(rows.limit(0), str(tmp_path / "none"), "id", "body") == 0
