@@ -142,6 +142,8 @@ def test_objects_are_written_in_one_folder_by_the_tasks(spark, tmp_path):
     at = str(tmp_path / "objects")
     assert sinks.write_objects(rows.repartition(4), at, "id", "body", ".txt") == 300
     assert not [p for p in (tmp_path / "objects").iterdir() if p.is_dir()]
+    assert (tmp_path / "objects" / "7.txt").stat().st_size == 0
     got = {r["path"].rsplit("/", 1)[1]: bytes(r["payload"]) for r in vault.load_objects(spark, at, "*.txt").collect()}
-    assert got == {f"{i}.txt": b"" if i == 7 else f"body {i}".encode() for i in range(300)}
+    got.pop("7.txt", None)  # Spark's file sources leave out files without a byte
+    assert got == {f"{i}.txt": f"body {i}".encode() for i in range(300) if i != 7}
     assert sinks.write_objects(rows.limit(0), str(tmp_path / "none"), "id", "body") == 0
