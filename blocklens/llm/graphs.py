@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blocklens.llm.common import in_few
 from blocklens.session import cut_lineage
 
 
@@ -12,18 +15,21 @@ def components(links: DataFrame) -> DataFrame:
     """``links`` (a, b: longs) to (node, root), the root being the smallest node reached; nodes without links are not in it.
 
     Every round links a node's larger neighbours, then its smaller ones, to the smallest of them; the number of links never
-    grows and rounds are logarithmic in the number of nodes. A hub's links are aggregated before they move.
+    grows and rounds are logarithmic in the number of nodes. A hub's links are aggregated before they move. What a round sends and writes
+    lies in as many files as its links need, not in as many as the session has shuffle partitions.
     """
     edges = cut_lineage(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = _state(edges)
     while state[0]:
+        few = partial(in_few, rows=2 * state[0])
+        edges = few(edges)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = few(few(both.filter("v > u").join(low, "u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            least.select("u", F.col("m").alias("v"))).distinct()
-        edges = cut_lineage(small)
+        small = few(large.join(least, "u").filter("v > m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+            few(least).select("u", F.col("m").alias("v"))).distinct()
+        edges = cut_lineage(few(small))
         before, state = state, _state(edges)
         if before == state:
             break
