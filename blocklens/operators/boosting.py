@@ -1,9 +1,10 @@
 """Gradient boosting over all classes at once, from distributed histograms (ML-2).
 
 Features are cut into bins at quantiles, one byte each, once. Every round fits one tree per class to the softmax gradients; a level of all
-those trees is one aggregation: tasks sum gradients by (class, node, feature, bin), the sums are added by Spark, and only the best split of each
-node comes to the driver, a handful of numbers. Scores are brought up to date in the rows every ``KEEP`` rounds and written; between,
-tasks add the few trees that are newer. A model is small: classes, bin edges and trees as arrays.
+those trees is one aggregation: tasks sum gradients by (class, node, feature, bin), the sums meet by class and node, and only the best split of each
+node comes to the driver, a handful of numbers. Byte features are mostly at one value, so the commonest bin of a feature is not summed: it is what the
+other bins leave of the node. Scores are brought up to date in the rows every ``KEEP`` rounds and written; between, tasks add the few trees that are
+newer. The rows lie in one partition per core, for every partition sends sums. A model is small: classes, bin edges and trees as arrays.
 
 Defined results: a feature that never varies is never split; a class seen once is a class; repeated rows count each; an empty table is refused.
 """
@@ -17,13 +18,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blocklens.session import cut_lineage
 
 BINS = 32
-KEEP = 10
+KEEP = 5
+#: share by which gains may differ and still are equal
+SAME_GAIN = 1e-10
+#: partitions in which the sums of tasks meet, at most
+MEETS = 8
 #: added to the curvature of every leaf; least gain and least curvature of a split
 SHRINK, LEAST_GAIN, LEAST_WEIGHT = 1.0, 1e-6, 1e-3
 
@@ -77,7 +82,13 @@ def softmax(raw: np.ndarray) -> np.ndarray:
 def _rows(batch, n_features: int, n_classes: int):
     """Class numbers, bins, sampling numbers and scores of a batch."""
     m = batch.num_rows
-    flat = lambda k, kind: np.frombuffer(b"".join(batch.column(k).to_pylist()), kind)
+
+    def flat(k: int, kind) -> np.ndarray:
+        """The bytes of a column's rows, which lie side by side."""
+        values = batch.column(k)
+        _, ends, data = values.buffers()
+        ends = np.frombuffer(ends, np.int32)[values.offset:values.offset + m + 1]
+        return np.frombuffer(data, np.uint8)[ends[0]:ends[-1]].view(kind)
     return (np.asarray(batch.column(0)), flat(1, np.uint8).reshape(m, n_features), np.asarray(batch.column(2)).astype(np.uint64),
             flat(3, np.float64).reshape(m, n_classes))
 
@@ -115,71 +126,78 @@ def _sample(mark: np.ndarray, turn: int, share: float) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) < share * float(1 << 53)
 
 
-def _histograms(newer: tuple, grown: tuple, level: int, turn: int, share: float, n_features: int, n_classes: int):
-    """A task's sums of gradient and curvature per class, node of the level, feature and bin."""
-    first, nodes = 2**level - 1, 2**level
+def _histograms(newer: tuple, grown: tuple, level: int, turn: int, share: float, common: np.ndarray, n_classes: int):
+    """A task's sums of gradient and curvature per class and node of the level, whole and by feature and bin, without the ``common`` bin of a feature."""
+    first, nodes, n_features, common = 2**level - 1, 2**level, len(common), common.astype(np.uint8)
 
     def run(batches):
-        total = np.zeros((2, n_classes, nodes * n_features * BINS))
+        whole, parts = np.zeros((2, n_classes, nodes)), np.zeros((2, n_classes, nodes * n_features * BINS))
         for batch in batches:
             if not batch.num_rows:
                 continue
             y, bins, mark, now = _rows(batch, n_features, n_classes)
-            p = softmax(now + scores(bins, *newer))
             chosen = _sample(mark, turn, share)
-            y, bins, p = y[chosen], bins[chosen], p[chosen]
+            y, bins, now = y[chosen], bins[chosen], now[chosen]
+            p = softmax(now + scores(bins, *newer))
+            off = bins != common
+            at, row = np.flatnonzero(off), np.repeat(np.arange(len(bins)), np.count_nonzero(off, axis=1))
+            place = np.tile(np.arange(n_features) * BINS, len(bins))[at] + bins.ravel()[at]
             for k in range(n_classes):
-                node = leaves(bins, grown[0][k], grown[1][k])
-                here = node >= first
+                node = leaves(bins, grown[0][k], grown[1][k]) - first
+                here, node, q = node >= 0, np.maximum(node, 0), p[:, k]
                 if not here.any():
                     continue
-                b, q = bins[here], p[here, k]
-                place = ((node[here, None] - first) * n_features + np.arange(n_features)) * BINS + b
-                for j, weight in enumerate((q - (y[here] == k), np.maximum(q * (1 - q), 1e-6))):
-                    total[j, k] += np.bincount(place.ravel(), np.repeat(weight, n_features), nodes * n_features * BINS)
-        total = total.reshape(2, n_classes * nodes * n_features, BINS)
-        some = np.flatnonzero(total[1].any(axis=1))
-        k, rest = np.divmod(some, nodes * n_features)
-        node, feature = np.divmod(rest, n_features)
-        sums = [pa.array(total[j][some, b]) for j in range(2) for b in range(BINS)]
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in (k, node + first, feature)] + sums, names=["k", "node", "feature", *_SUMS])
+                here_at = place + (node * (n_features * BINS))[row]
+                for j, weight in enumerate((q - (y == k), np.maximum(q * (1 - q), 1e-6))):
+                    weight = np.where(here, weight, 0.0)
+                    whole[j, k] += np.bincount(node, weight, nodes)
+                    parts[j, k] += np.bincount(here_at, weight[row], nodes * n_features * BINS)
+        k, node = np.nonzero(whole[1])
+        parts = parts.reshape(2, n_classes, nodes, -1)
+        columns = [pa.array(c.astype(np.int32)) for c in (k, node + first)] + [pa.array(whole[j, k, node]) for j in range(2)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([parts[:, a, b].tobytes() for a, b in zip(k, node)], pa.binary())], names=["k", "node", "g", "h", "parts"])
     return run
 
 
-_SUMS = [f"{c}{b}" for c in "gh" for b in range(BINS)]
-_HISTOGRAM = "k int, node int, feature int, " + ", ".join(f"{c} double" for c in _SUMS)
+_HISTOGRAM = "k int, node int, g double, h double, parts binary"
 _SPLIT = "k int, node int, gain double, feature int, bin int, gl double, hl double, g double, h double"
 
 
-def _best(batches):
-    """The best cut of every (class, node) among the rows of a batch."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sums = np.stack([np.asarray(batch.column(3 + i)) for i in range(2 * BINS)], axis=1)
-        left_g, left_h = np.cumsum(sums[:, :BINS], axis=1), np.cumsum(sums[:, BINS:], axis=1)
-        g, h = left_g[:, -1:], left_h[:, -1:]
-        worth = lambda a, b: a * a / (b + SHRINK)
-        gain = worth(left_g, left_h) + worth(g - left_g, h - left_h) - worth(g, h)
-        gain[(left_h < LEAST_WEIGHT) | (h - left_h < LEAST_WEIGHT)] = 0.0
-        at = gain.argmax(axis=1)
-        k, node, feature = (np.asarray(batch.column(i)) for i in range(3))
-        order = np.lexsort((feature, -gain[np.arange(len(at)), at], node, k))
-        rows = order[np.flatnonzero(np.diff(k[order], prepend=-1) | np.diff(node[order], prepend=-1))]
-        at = at[rows]
-        yield pa.RecordBatch.from_arrays([pa.array(k[rows]), pa.array(node[rows]), pa.array(gain[rows, at]), pa.array(feature[rows]), pa.array(at.astype(np.int32)),
-                                          pa.array(left_g[rows, at]), pa.array(left_h[rows, at]), pa.array(g[rows, 0]), pa.array(h[rows, 0])], names=[c.split()[0] for c in _SPLIT.split(", ")])
-
-
-def edges_of(data: DataFrame, n_features: int) -> np.ndarray:
-    """Inner bin edges (features, BINS - 1) at quantiles."""
+def _best(common: np.ndarray):
+    """The best cut of every (class, node), all of whose sums are in one partition; they are added as they come."""
+    def run(batches):
+        found: dict[tuple[int, int], list[np.ndarray]] = {}
+        for batch in batches:
+            for k, node, g, h, parts in zip(*(c.to_pylist() for c in batch.columns)):
+                sums = found.setdefault((k, node), [np.zeros(2), np.zeros((2, len(common), BINS))])
+                sums[0] += (g, h)
+                sums[1] += np.frombuffer(parts).reshape(2, -1, BINS)
+        out = []
+        for (k, node), ((g, h), sums) in sorted(found.items()):
+            sums[:, np.arange(len(common)), common] = np.array([[g], [h]]) - sums.sum(axis=2)
+            left_g, left_h = np.cumsum(sums, axis=2)
+            worth = lambda a, b: a * a / (b + SHRINK)
+            gain = worth(left_g, left_h) + worth(g - left_g, h - left_h) - worth(g, h)
+            gain[(left_h < LEAST_WEIGHT) | (h - left_h < LEAST_WEIGHT)] = 0.0
+            # sums differ in their last digits by the order in which they came: of equal gains the first counts
+            f, b = np.unravel_index(np.argmax(gain >= gain.max() * (1 - SAME_GAIN)), gain.shape)
+            out.append((k, node, gain[f, b], f, b, left_g[f, b], left_h[f, b], g, h))
+        if out:
+            kinds = [{"int": pa.int32(), "double": pa.float64()}[c.split()[1]] for c in _SPLIT.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(c), kind) for c, kind in zip(zip(*out), kinds)], names=[c.split()[0] for c in _SPLIT.split(", ")])
+    return run
+
+
+def edges_of(data: DataFrame, n_features: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inner bin edges (features, BINS - 1) at quantiles, and per feature the bin that most quantiles fall in."""
     parts = F.array(*[F.lit(k / BINS) for k in range(1, BINS)])
     found = data.select(F.posexplode("x").alias("f", "v")).groupBy("f").agg(F.percentile_approx("v", parts, F.lit(1000)).alias("e")).collect()  # one row per feature
-    out = np.full((n_features, BINS - 1), np.inf)
+    out, common = np.full((n_features, BINS - 1), np.inf), np.zeros(n_features, np.int64)
     for r in found:
-        cuts = np.unique(r["e"])
+        cuts, times = np.unique(r["e"], return_counts=True)
         out[r["f"], :len(cuts)] = cuts
-    return out
+        common[r["f"]] = times.argmax()
+    return out, common
 
 
 def fit(train: DataFrame, label: str = "label", features: str = "features", rounds: int = 60, depth: int = 4, rate: float = 0.1, subsample: float = 0.85,
@@ -192,9 +210,10 @@ def fit(train: DataFrame, label: str = "label", features: str = "features", roun
     classes, n_features, n_classes = [r["label"] for r in counts], counts[0]["size"], len(counts)
     weight = np.array([r["n"] for r in counts], float)
     prior = np.log(weight / weight.sum())
-    edges = edges_of(data, n_features)
+    edges, common = edges_of(data, n_features)
     number = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")).cast("int") - 1
-    rows = cut_lineage(data.select(number.alias("y"), "x", F.xxhash64("x", "label", F.lit(seed)).alias("mark")).mapInArrow(_prepare(edges, prior), _ROW))
+    numbered = data.select(number.alias("y"), "x", F.xxhash64("x", "label", F.lit(seed)).alias("mark"))
+    rows = cut_lineage(numbered.coalesce(train.sparkSession.sparkContext.defaultParallelism).mapInArrow(_prepare(edges, prior), _ROW))
     nodes = 2 ** (depth + 1) - 1
     feature, cut, value = np.full((rounds, n_classes, nodes), -1), np.zeros((rounds, n_classes, nodes), np.int64), np.zeros((rounds, n_classes, nodes))
     gains, written = np.zeros(n_features), 0
@@ -202,20 +221,16 @@ def fit(train: DataFrame, label: str = "label", features: str = "features", roun
         newer = (feature[written:turn], cut[written:turn], value[written:turn])
         for level in range(depth):
             grown = (feature[turn].copy(), cut[turn].copy())
-            sums = rows.mapInArrow(_histograms(newer, grown, level, turn, subsample, n_features, n_classes), _HISTOGRAM)
-            merged = sums.groupBy("k", "node", "feature").agg(*[F.sum(c).alias(c) for c in _SUMS])
-            top: dict[tuple[int, int], Row] = {}
-            for b in merged.mapInArrow(_best, _SPLIT).collect():  # a row per class, node and batch of merged rows, of which there are 280 a node
-                now = top.setdefault((b["k"], b["node"]), b)
-                if (-b["gain"], b["feature"]) < (-now["gain"], now["feature"]):
-                    top[b["k"], b["node"]] = b
-            for (k, n), b in top.items():
+            sums = rows.mapInArrow(_histograms(newer, grown, level, turn, subsample, common, n_classes), _HISTOGRAM)
+            met = sums.repartition(min(n_classes * 2**level, MEETS), "k", "node")
+            for r in met.mapInArrow(_best(common), _SPLIT).collect():  # a row per class and node
+                k, n = r["k"], r["node"]
                 step = lambda g, h: -rate * g / (h + SHRINK)
-                value[turn, k, n] = step(b["g"], b["h"])
-                if b["gain"] > LEAST_GAIN:
-                    feature[turn, k, n], cut[turn, k, n] = b["feature"], b["bin"]
-                    value[turn, k, 2 * n + 1], value[turn, k, 2 * n + 2] = step(b["gl"], b["hl"]), step(b["g"] - b["gl"], b["h"] - b["hl"])
-                    gains[b["feature"]] += b["gain"]
+                value[turn, k, n] = step(r["g"], r["h"])
+                if r["gain"] > LEAST_GAIN:
+                    feature[turn, k, n], cut[turn, k, n] = r["feature"], r["bin"]
+                    value[turn, k, 2 * n + 1], value[turn, k, 2 * n + 2] = step(r["gl"], r["hl"]), step(r["g"] - r["gl"], r["h"] - r["hl"])
+                    gains[r["feature"]] += r["gain"]
             if (feature[turn, :, 2**level - 1:2 ** (level + 1) - 1] < 0).all():
                 break
         if turn + 1 - written == KEEP and turn + 1 < rounds:

@@ -17,10 +17,10 @@ def featured(spark, sf):
     return ml.features_of(docs, ["doc_id", "label"])
 
 
-def labelled(spark, sf):
-    """The split runs on ids and labels alone, so every payload is read and profiled once."""
+def labelled(spark, sf, features):
+    """``features`` with their split, which runs on ids and labels alone."""
     ids = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("label"))
-    return featured(spark, sf).join(ml.stratified_split(ids, "label", "doc_id").drop("label"), "doc_id")
+    return features.join(ml.stratified_split(ids, "label", "doc_id").drop("label"), "doc_id")
 
 
 _STORED: dict[tuple[str, str, str], str] = {}
@@ -36,8 +36,9 @@ def stored(spark, sf, what, fit):
     return ml.load_model(_STORED[key])
 
 
-def language_model(spark, sf, boosted=False):
-    return stored(spark, sf, f"language {boosted}", lambda: ml.train_file_type(labelled(spark, sf).where("is_train"), boosted=boosted))
+def language_model(spark, sf, features, boosted=False):
+    """Fitted on the training share of ``features``; who reads these again should materialise them, for profiling reads every payload."""
+    return stored(spark, sf, f"language {boosted}", lambda: ml.train_file_type(labelled(spark, sf, features).where("is_train"), boosted=boosted))
 
 
 def files(spark, sf):
@@ -111,7 +112,8 @@ def split(spark, sf):
 @query("ml2_train_file_type")
 def train(spark, sf):
     """Held-out quality per language of the boosted model."""
-    got = ml.classify(labelled(spark, sf).where("NOT is_train"), language_model(spark, sf, boosted=True))
+    data = cut_lineage(featured(spark, sf))
+    got = ml.classify(labelled(spark, sf, data).where("NOT is_train"), language_model(spark, sf, data, boosted=True))
     return ml.evaluate_classifier(got).select("class", "support", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
 
 
@@ -137,12 +139,13 @@ def matrix(spark, sf):
 
 @query("ml4_rank_importances")
 def importances(spark, sf):
-    return ml.rank_importances(spark, language_model(spark, sf), 15).withColumn("importance", r6("importance"))
+    return ml.rank_importances(spark, language_model(spark, sf, featured(spark, sf)), 15).withColumn("importance", r6("importance"))
 
 
 @query("ml5_classify")
 def classify(spark, sf):
-    return ml.classify(featured(spark, sf), language_model(spark, sf)).select("doc_id", "label", "predicted", r6("probability").alias("probability"))
+    data = cut_lineage(featured(spark, sf))
+    return ml.classify(data, language_model(spark, sf, data)).select("doc_id", "label", "predicted", r6("probability").alias("probability"))
 
 
 PROB = """pb AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, [l_discount * 5, CASE WHEN l_linenumber = 1 THEN 0 ELSE l_tax * 6 END, l_discount * 5] AS probs,
@@ -177,5 +180,6 @@ def consistency(spark, sf):
 
 @query("ml7_explain")
 def explain(spark, sf):
-    m = language_model(spark, sf)
-    return ml.explain(ml.classify(featured(spark, sf), m), m).select("doc_id", "predicted", "basis")
+    data = cut_lineage(featured(spark, sf))
+    m = language_model(spark, sf, data)
+    return ml.explain(ml.classify(data, m), m).select("doc_id", "predicted", "basis")

@@ -101,3 +101,35 @@ def test_boosting_equals_one_machine(spark):
                     node = np.where(here, 2 * n + 1 + (bins[:, f] > b), node)
             raw[:, k] += [-0.1 * g[node == n].sum() / (h[node == n].sum() + 1.0) for n in node]
     assert np.allclose(raw, model.raw(x)) and model.gain[5] == 0
+
+
+def test_boosting_leaves_out_commonest_bins(spark):
+    """Tasks send the sums of rare bins only, of one partition per core at most; of cuts that divide alike the first feature counts."""
+    import numpy as np
+    import pyarrow as pa
+
+    from blocklens.operators import boosting
+    bins = np.zeros((600, 3), np.uint8)
+    bins[::3, 1] = bins[::3, 2] = 4
+    y, prior = (bins[:, 1] > 0).astype(np.int32), np.log([2 / 3, 1 / 3])
+    batch = pa.RecordBatch.from_arrays([pa.array(y), pa.array([b.tobytes() for b in bins], pa.binary()), pa.array(range(600), pa.int64()), pa.array([prior.tobytes()] * 600, pa.binary())],
+                                       names=["y", "bins", "mark", "scores"])
+    common, none = np.zeros(3, np.int64), np.full((2, 7), -1)
+    no_trees = tuple(np.zeros((0, 2, 7)) for _ in range(3))
+    # a slice of a batch starts inside its buffers
+    sums = list(boosting._histograms(no_trees, (none, none), 0, 0, 1.0, common, 2)([batch.slice(0, 250), batch.slice(250)]))
+    rows = sums[0].to_pylist()
+    assert [(r["k"], r["node"]) for r in rows] == [(0, 0), (1, 0)]
+    parts = np.frombuffer(rows[0]["parts"]).reshape(2, 3, boosting.BINS)
+    assert not parts[:, 0].any() and not parts[:, :, 0].any() and parts[0, 1, 4] == pytest.approx(200 * 2 / 3)
+    best = list(boosting._best(common)(sums))[0].to_pylist()
+    assert [(r["feature"], r["bin"]) for r in best] == [(1, 0), (1, 0)] and best[0]["gl"] == pytest.approx(400 * (2 / 3 - 1))
+    df = spark.range(400).selectExpr("if(id % 4 = 0, 'a', 'b') AS label", "array(double(id % 4), double(id % 7)) AS v").repartition(40)
+    from pyspark.ml.functions import array_to_vector
+    cut, seen = boosting.cut_lineage, []
+    boosting.cut_lineage = lambda d: seen.append(cut(d)) or seen[-1]
+    try:
+        boosting.fit(df.withColumn("features", array_to_vector("v")), rounds=1, depth=1)
+    finally:
+        boosting.cut_lineage = cut
+    assert seen[1].rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
