@@ -119,3 +119,24 @@ def test_next_mark_reads_frames_that_grow(spark):
     t0 = time.time()
     rows = {r["at"]: r["next"] for r in got.collect()}
     assert rows[4] == 4 and rows[6] == 7 and rows[59998] == 59999 and len(rows) == 30000 and time.time() - t0 < 60
+
+
+def test_hops_of_many_short_keys_take_one_pass(spark):
+    """A call per slice cost over a millisecond each, in one task: most media hold a few objects."""
+    rng = random.Random(8)
+    data = [(2 ** 60 + k, at, at + rng.randint(1, 90)) for k in range(300) for at in rng.sample(range(400), rng.randint(1, 40))]
+    df = spark.createDataFrame(data, "k bigint, at bigint, until bigint")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")  # slices cross batches
+    try:
+        got = slices.hops(df, ["k"], "at", "until", 64, cut_lineage)
+        assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+        met = sorted((r["k"], r["at"]) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want, end = [], {}
+    for k, at, until in sorted(data):
+        if at >= end.get(k, 0):
+            want.append((k, at))
+            end[k] = until
+    assert met == want
