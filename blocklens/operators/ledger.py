@@ -11,8 +11,10 @@ import hashlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from blocklens.operators import slices
 from blocklens.session import cut_lineage
@@ -72,47 +74,63 @@ def verify_segment(reports: DataFrame, segment: str = "audit_chain_segment") ->
             .withColumn("is_valid", F.coalesce("is_valid", F.lit(False))))
 
 
+def link(prev: str, body: str) -> str:
+    """AUD-1 of one canonical body, outside the JVM."""
+    return hashlib.sha256(f"{body}||{prev}".encode()).hexdigest()
+
+
+def json_tail() -> Column:
+    """``canonical_json`` behind its sequence number."""
+    rest = F.to_json(F.struct(*HASHED[1:]))
+    return F.when(rest == "{}", "}").otherwise(F.concat(F.lit(","), F.substring(rest, 2, 1 << 30)))
+
+
 def chain_fold(prev: str, bodies) -> list[tuple[str, str]]:
     """``(prev_hash, entry_hash)`` of consecutive canonical bodies."""
     out = []
     for body in bodies:
-        mine = hashlib.sha256(f"{body}||{prev}".encode()).hexdigest()
+        mine = link(prev, body)
         out.append((prev, mine))
         prev = mine
     return out
 
 
-def append_chain(events: DataFrame, keys: Sequence[str], order: Sequence[str], cut: Column, heads: DataFrame | None = None) -> DataFrame:
+def append_chain(events: DataFrame, keys: Sequence[str], order: Sequence[str], cut: Column | None = None, heads: DataFrame | None = None) -> DataFrame:
     """AUD-4: sequence numbers and linked hashes for new events, in ``order`` per chain.
 
-    Numbers and JSON bodies are computed in parallel; only the hash itself is sequential.
-    Rows stream through sorted partitions, so a long chain costs time in one task but no
-    memory. ``heads`` (AUD-5) continues existing chains.
+    JSON is made in parallel; only the hash itself is sequential, and the numbers are counted beside it. Rows pass the fold as they are,
+    in one shuffle, and stream through sorted partitions, so a long chain costs time in one task but no memory. ``cut`` is not
+    needed for that and only taken for its callers. ``heads`` (AUD-5) continues existing chains.
     """
     keys = list(keys)
-    rows = slices.row_numbers(events, keys, order, cut, "seq")
+    rows = events.drop("seq")
+    rest = [c for c in rows.columns if c not in keys]
     if heads is not None:
-        rows = (rows.join(heads.select(*keys, F.col("latest_seq").alias("_s"), F.col("latest_hash").alias("_h")), keys, "left")
-                .withColumn("seq", F.col("seq") + F.coalesce("_s", F.lit(0))).withColumn("_h", F.coalesce("_h", F.lit(GENESIS))).drop("_s"))
+        rows = rows.join(heads.select(*keys, F.col("latest_seq").alias("_s"), F.col("latest_hash").alias("_h")), keys, "left")
     else:
-        rows = rows.withColumn("_h", F.lit(GENESIS))
-    small = rows.select(*keys, "seq", "_h", canonical_json().alias("_body"))
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in small.select(*keys, "seq").schema.fields)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, prev = None, None
-        for pdf in batches:
-            links = []
-            for key, start, body in zip(pdf[keys].itertuples(index=False, name=None), pdf["_h"], pdf["_body"]):
-                if key != current:
-                    current, prev = key, start
-                links.append(chain_fold(prev, [body])[0])
-                prev = links[-1][1]
-            yield pdf[[*keys, "seq"]].assign(prev_hash=[a for a, _ in links], entry_hash=[b for _, b in links])
-
-    linked = (small.repartition(*keys).sortWithinPartitions(*keys, "seq")
-              .mapInPandas(run, types + ", prev_hash string, entry_hash string"))
-    return rows.drop("_h").join(linked, [*keys, "seq"])
+        rows = rows.withColumns({"_s": F.lit(None).cast("bigint"), "_h": F.lit(None).cast("string")})
+    small = rows.select(*keys, *rest, "_s", "_h", json_tail().alias("_tail"))
+    kept = [f for f in small.schema.fields if f.name not in ("_s", "_h", "_tail")]
+    schema = StructType([*kept, StructField("seq", LongType()), StructField("prev_hash", StringType()), StructField("entry_hash", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, seq, prev = None, 0, GENESIS
+        for batch in batches:
+            chains = zip(*[batch.column(k).to_pylist() for k in keys])
+            seqs, before, after = [], [], []
+            for chain, s, h, tail in zip(chains, *[batch.column(c).to_pylist() for c in ("_s", "_h", "_tail")]):
+                if chain != current:
+                    current, seq, prev = chain, s or 0, h or GENESIS
+                seq += 1
+                seqs.append(seq)
+                before.append(prev)
+                prev = link(prev, f'{{"seq":{seq}{tail}')
+                after.append(prev)
+            new = [pa.array(seqs, pa.int64()), pa.array(before, pa.string()), pa.array(after, pa.string())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], *new], names=schema.names)
+
+    linked = small.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return linked.select(*keys, "seq", *rest, "prev_hash", "entry_hash")
 
 
 def chain_head(entries: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -47,21 +47,33 @@ def custody_stream(attempts: DataFrame, key: str = "evidence_id") -> DataFrame:
         "append", GroupStateTimeout.NoTimeout)
 
 
+def _in_order(numbered: DataFrame, key: str, number: Column | str, *fields: Column | str) -> DataFrame:
+    """``key`` and one array of texts, the number first: what a chain costs in a trigger is mostly its columns and frames, not its rows."""
+    texts = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in (number, *fields)]
+    return numbered.select(key, F.array(*texts).alias("_row"))
+
+
+def _rows(batches: Iterator[pd.DataFrame]) -> list[tuple]:
+    """The arrays of one chain, ordered by their number, then by the texts behind it; nulls come last."""
+    rows = [(None if r[0] is None else int(r[0]), *r[1:]) for pdf in batches for r in pdf["_row"]]
+    rows.sort(key=lambda r: [(v is None, 0 if v is None else v) for v in r[:2]])
+    return rows
+
+
 def audit_stream(entries: DataFrame, key: str = "case_id") -> DataFrame:
     """STR-3: AUD-2 continuously. Hashes are recomputed in the JVM; the state is (seq, head hash)."""
-    small = entries.select(key, "seq", "prev_hash", "entry_hash", ledger.entry_hash(F.col("prev_hash")).alias("recomputed"))
+    small = _in_order(entries, key, "seq", "entry_hash", "prev_hash", ledger.entry_hash(F.col("prev_hash")))
     kind = small.schema[key].dataType.simpleString()
 
     def step(keys, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seq, head = state.get if state.exists else (0, ledger.GENESIS)
-        rows = pd.concat(list(batches)).sort_values(["seq", "entry_hash"])
-        out = []
-        for s, prev, mine, again in zip(rows["seq"], rows["prev_hash"], rows["entry_hash"], rows["recomputed"]):
+        rows, out = _rows(batches), []
+        for s, mine, prev, again in rows:
             seq += 1
             out.append("gap" if s != seq else "broken" if prev != head else "mismatch" if mine != again else None)
             head = mine
         state.update((seq, head))
-        yield pd.DataFrame({key: rows[key], "seq": rows["seq"], "failure": out})
+        yield pd.DataFrame({key: [keys[0]] * len(rows), "seq": [r[0] for r in rows], "failure": out})
 
     return small.groupBy(key).applyInPandasWithState(
         step, f"{key} {kind}, seq bigint, failure string", "seq bigint, head string", "append", GroupStateTimeout.NoTimeout)
@@ -69,17 +81,15 @@ def audit_stream(entries: DataFrame, key: str = "case_id") -> DataFrame:
 
 def append_stream(events: DataFrame, key: str = "case_id") -> DataFrame:
     """AUD-4 on a stream: numbers and links new events behind the head kept as state."""
-    tail = F.substring(F.to_json(F.struct(*ledger.HASHED[1:])), 2, 1 << 30)
-    small = events.select(key, "event_id", tail.alias("_tail"))
+    small = _in_order(events, key, "event_id", ledger.json_tail())
     kind = small.schema[key].dataType.simpleString()
 
     def step(keys, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seq, head = state.get if state.exists else (0, ledger.GENESIS)
-        rows = pd.concat(list(batches)).sort_values("event_id")
-        bodies = [f'{{"seq":{seq + 1 + i},{t}' for i, t in enumerate(rows["_tail"])]
-        links = ledger.chain_fold(head, bodies)
+        rows = _rows(batches)
+        links = ledger.chain_fold(head, [f'{{"seq":{seq + 1 + i}{r[1]}' for i, r in enumerate(rows)])
         state.update((seq + len(rows), links[-1][1]))
-        yield pd.DataFrame({key: rows[key], "event_id": rows["event_id"], "seq": range(seq + 1, seq + 1 + len(rows)),
+        yield pd.DataFrame({key: [keys[0]] * len(rows), "event_id": [r[0] for r in rows], "seq": range(seq + 1, seq + 1 + len(rows)),
                             "prev_hash": [a for a, _ in links], "entry_hash": [b for _, b in links]})
 
     return small.groupBy(key).applyInPandasWithState(

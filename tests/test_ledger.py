@@ -134,3 +134,22 @@ def test_admission_equals_the_sequential_fold(spark):
     for width in (7, 1 << 16):
         assert {r["event_id"]: r["reason"] for r in ledger.custody_admit(df, slice_width=width).collect()} == want
     assert {None, "invalid_initial", "after_terminal", "missing_parties", "time_backwards"} == set(want.values())
+
+
+def test_append_is_one_shuffle_and_equals_the_plain_fold(spark):
+    """The rows were numbered, hashed and joined back to themselves: four shuffles of the ledger instead of one."""
+    import hashlib
+    import json
+    rows = [(e, f"case-{e * 7 % 5}", f"2026-01-01T00:00:{e % 60:02d}+00:00", "op", "view", 'disk "1"', "SUCCESS") for e in range(200)]
+    ev = spark.createDataFrame(rows, SCHEMA)
+    got = ledger.append_chain(ev, ["case_id"], ["event_id"], cut())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    want, state = {}, {}
+    for e, case, *rest in rows:
+        seq, prev = state.get(case, (0, ledger.GENESIS))
+        body = json.dumps(dict(zip(ledger.HASHED, (seq + 1, rest[0], rest[1], case, *rest[2:]))), separators=(",", ":"))
+        state[case] = seq + 1, hashlib.sha256(f"{body}||{prev}".encode()).hexdigest()
+        want[e] = (seq + 1, prev, state[case][1])
+    assert {r["event_id"]: (r["seq"], r["prev_hash"], r["entry_hash"]) for r in got.collect()} == want
+    assert verdict(got.where("case_id = 'case-3'")) == (True, None, None)
