@@ -7,10 +7,11 @@ built for the candidates of one step and dropped with it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -567,23 +568,31 @@ def _search(headers: DataFrame, chunks: DataFrame, totals: DataFrame, claims: Da
         sized.select(*keys, "lba", "sig_order", F.col("window_blocks").alias("_wb")),
         claims.select(*keys, F.col("start_lba").alias("_cs"), F.col("block_count").alias("_cc")), keys, ("lba", "_wb"), ("_cs", "_cc"))
     near = near.groupBy(*keys, "lba", "sig_order").agg(F.collect_set(F.struct("_cs", "_cc")).alias("_claims"))
-    w = w.join(near, [*keys, "lba", "sig_order"], "left")
-
-    @F.pandas_udf(f"struct<{FOUND.replace(' ', ':').replace(',:', ',')}>")
-    def assemble(kind: pd.Series, lba: pd.Series, data: pd.Series, claimed: pd.Series) -> pd.DataFrame:
-        rows = []
-        for k, start, d, c in zip(kind, lba, data, claimed):
-            n = len(d) // BLOCK
-            blocked = np.zeros(n, dtype=np.int64)
-            for x in (c if c is not None else []):
-                s, m = (x["_cs"], x["_cc"]) if isinstance(x, dict) else (x[0], x[1])
-                blocked[max(s - start, 0):max(min(s + m - start, n), 0)] = 1
-            rows.append(first_assembly(d, blocked, table[k], k in PREFIX_FINAL, gaps, max_expected) or (None,) * 4)
-        return pd.DataFrame({name: pd.array([r[i] for r in rows], dtype="Int64")
-                             for i, name in enumerate(("expected", "split", "gap", "length"))})
-
-    got = w.withColumn("_f", assemble("file_type", "lba", "payload", "_claims")).select(*keys, "lba", "sig_order", "file_type", "_f.*")
-    return got.where("expected IS NOT NULL").withColumns({
+    ids = [*keys, "lba", "sig_order", "file_type"]
+    w = w.join(near, [*keys, "lba", "sig_order"], "left").select(*ids, "payload", "_claims")
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in w.select(*ids).schema.fields)
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            payloads = batch.column("payload")
+            rows = zip(*[batch.column(c).to_pylist() for c in ("file_type", "lba", "_claims")])
+            for i, (kind, start, claimed) in enumerate(rows):
+                data = payloads[i].as_py()  # windows are taken one at a time, not as a second copy of the batch
+                n = len(data) // BLOCK
+                blocked = np.zeros(n, dtype=np.int64)
+                for x in claimed or []:
+                    blocked[max(x["_cs"] - start, 0):max(min(x["_cs"] + x["_cc"] - start, n), 0)] = 1
+                got = first_assembly(data, blocked, table[kind], kind in PREFIX_FINAL, gaps, max_expected)
+                if got is not None:
+                    at.append(i)
+                    found.append(got)
+            small = [batch.column(c).take(pa.array(at, pa.int64())) for c in ids]
+            more = [pa.array([f[i] for f in found], pa.int32() if i == 0 else pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*small, *more], names=[*ids, "expected", "split", "gap", "length"])
+
+    # an operator of its own: as a column, the search would run again for the filter on what it found
+    return w.mapInArrow(assemble, f"{types}, {FOUND}").withColumns({
         "frag2_lba": F.col("lba") + F.col("split") + F.col("gap"), "frag2_blocks": F.col("expected") - F.col("split")})
 
 

@@ -205,3 +205,19 @@ def test_windows_of_dense_candidates_move_the_medium_twice(spark):
     before = _shuffled(spark)
     assert carve.candidate_windows(cands, chunks, ["image_id"]).selectExpr("sum(octet_length(payload))").first()[0] == 256 << 20
     assert _shuffled(spark) - before < 4 * total * 512
+
+
+def test_search_runs_once_per_header(spark):
+    """As a column the search ran a second time for the filter on its result, in a worker of its own."""
+    chunks = carve.to_chunks(golden.sectors(spark, golden.carve_image()), KEYS)
+    totals = carve.total_blocks(chunks, KEYS)
+    hits = carve.candidates(carve.block_heads(chunks, KEYS), signatures.signature_rows(spark), KEYS)
+    none = totals.select(*KEYS, F.lit(0).cast("bigint").alias("start_lba"), F.lit(0).cast("bigint").alias("block_count")).limit(0)
+    pick = lambda claims: carve._search(hits, chunks, totals, claims, KEYS, 64, carve.packs_for_tier3(), carve.MAX_EXPECTED)
+    found = pick(none)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    two = {(r["lba"], r["split"], r["gap"], r["frag2_lba"], r["frag2_blocks"]) for r in found.where("lba = 150").collect()}
+    assert two == {(150, 1, 8, 159, 1)}
+    taken = spark.createDataFrame([("img", 159, 1)], "image_id string, start_lba bigint, block_count bigint")
+    assert (150, 159) not in {(r["lba"], r["frag2_lba"]) for r in pick(taken).collect()}
