@@ -134,6 +134,8 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
         raise ValueError("the segments find pairs at three or fewer differing bits")
     own = prints.mapInArrow(_keys(False), "key int, fingerprint long").withColumnRenamed("fingerprint", "a")
     near = prints.mapInArrow(_keys(True), "key int, fingerprint long").withColumnRenamed("fingerprint", "b")
+    # about a hundred keys of a fingerprint are hidden from Spark's size estimates, which would broadcast them: only a merge join holds at any size
+    near = near.hint("merge")
     # a link is found from either side; the order keeps one
     return own.join(near, (own["key"] == near["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select("a", "b").distinct()
 

@@ -7,7 +7,7 @@ import numpy as np
 import plain
 import pytest
 
-from blocklens.llm import nearcopies
+from blocklens.llm import nearcopies, simhash
 from blocklens.session import cut_lineage
 
 SF = "/root/testdata/sf0.001"
@@ -154,3 +154,15 @@ def test_fingerprints_bring_near_copies_together(spark):
     assert near and all(keys[k] == keys[0] and len(keys[k]) == 1 for k in near) and keys[22] != keys[0]
     assert not keys.get(20) and not keys.get(21) and prints[20] is None and prints[21] is None
     assert nearcopies.drop_near_copies(df).count() == len(survivors(texts))
+
+
+def test_rows_made_inside_tasks_are_not_broadcast(spark):
+    """Keys of fingerprints and rows of blocks outnumber what Spark's size estimates see; the joins of small estimates must not broadcast them."""
+    prints = spark.range(300).selectExpr("xxhash64(id) as fingerprint").unionByName(spark.range(30).selectExpr("xxhash64(id) ^ 5 as fingerprint")).distinct()
+    pairs = simhash.links(prints)
+    rows = spark.range(4).selectExpr("0L as hub", "id as node", "id as root", "0L as block", "explode(sequence(0L, 40L)) as x").selectExpr("hub", "x", "x as y", "node", "root", "block")
+    met = nearcopies._met(rows, spark.range(4).selectExpr("id as node", "unhex(repeat('0100000000000000', 2)) as set"))
+    assert len({tuple(sorted(r)) for r in pairs.collect()}) == 30 and {tuple(r) for r in met.collect()} == {(0, 1), (0, 2), (0, 3)}
+    for got in (pairs, met):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
