@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from blocklens.operators import classifier as ml
 from blocklens.plans import containers as ct
-from blocklens.plans.catalog import query, r6, table
+from blocklens.plans.catalog import query, r6, rounded, table
 from blocklens.session import checkpoint_root, cut_lineage
 
 
@@ -174,7 +174,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, round(greatest(least(CAS
 def consistency(spark, sf):
     w = ml.winner(probabilities(spark, sf), CLASSES)
     p = ml.target_probability(CLASSES, F.col("file_type"), F.col("probs"))
-    return w.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.round(ml.ml_consistency(
+    return w.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", rounded(ml.ml_consistency(
         F.col("file_type"), F.col("predicted"), p, F.col("l_quantity") / 50), 5).alias("consistency"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from blocklens.functions import rules, scoring
 from blocklens.operators import acquire, byte_stats, calibrate, filters, wipe
 from blocklens.plans import domain as d
-from blocklens.plans.catalog import query, r6, table
+from blocklens.plans.catalog import query, r4, r6, table
 
 
 # ---- filters -----------------------------------------------------------------------
@@ -175,7 +175,7 @@ def dual_hash(spark, sf):
 @query("acq6_progress", f"""WITH {d.OPERATIONS} SELECT op_id, CASE WHEN parsable THEN round(CASE WHEN blocks = 0 THEN 0 ELSE
  least(current_lba * 100.0::DOUBLE / blocks, 100) END, 4) END AS percent FROM operations""")
 def progress(spark, sf):
-    return acquire.progress(d.operations(spark, sf)).select("op_id", F.round("percent", 4).alias("percent"))
+    return acquire.progress(d.operations(spark, sf)).select("op_id", r4("percent").alias("percent"))
 
 
 @query("acq7_preflight", f"""WITH {d.OPERATIONS} SELECT op_id, blocks * 512 AS required_bytes, coalesce(CAST(floor(s_acctbal * 10000) AS BIGINT) >= blocks * 512, false) AS accepted
@@ -429,4 +429,4 @@ def block_summary(spark, sf):
     s = filled(spark, sf).withColumn("image_id", F.col("image_id") % 16)
     kinds = F.element_at(F.array(F.lit("allocated"), F.lit("artifact"), F.lit("bad_sector")), (F.col("start_lba") % 3 + 1).cast("int"))
     ext = d.extents(spark, sf).withColumn("start_lba", F.floor(F.col("start_lba") / 10).cast("bigint")).withColumn("kind", kinds)
-    return byte_stats.block_summary(s, ext, ["image_id"]).withColumn("entropy", F.round("entropy", 4))
+    return byte_stats.block_summary(s, ext, ["image_id"]).withColumn("entropy", r4("entropy"))

@@ -12,7 +12,7 @@ from blocklens.plans import carve_queries as cq
 from blocklens.plans import domain as d
 from blocklens.plans import fs_queries as fq
 from blocklens.plans import ledger_queries as lq
-from blocklens.plans.catalog import ORACLES, query, table
+from blocklens.plans.catalog import ORACLES, query, r4, table
 from blocklens.session import checkpoint_root
 from blocklens.sources import signatures, vault
 from blocklens.streaming import jobs
@@ -97,7 +97,7 @@ def progress_stream(spark, sf):
     p = parted_feed(spark, sf, "event_id").select(F.col("user_id").alias("job_id"), "event_id", (F.col("event_id") * 3).alias("current_lba"), F.lit(20000).alias("total_blocks"),
                                (F.col("event_id") * 1536).alias("bytes_written"), (d.k_of() % 4).alias("bad_blocks"))
     got = replay(jobs.progress_stream(p), "update", ("job_id",))
-    return got.select("job_id", "current_lba", "bytes_written", "bad_blocks", F.round("percent", 4).alias("percent"))
+    return got.select("job_id", "current_lba", "bytes_written", "bad_blocks", r4("percent").alias("percent"))
 
 
 @query("str5_deletion_stream", "SELECT user_id % 4 AS volume, event_id AS usn, user_id AS record_ref FROM events WHERE event_type = 'purchase'")

@@ -147,3 +147,21 @@ def test_statistical_check_moves_the_sample_only(spark):
     assert _shuffled(spark) - before < 1 << 20
     assert got[0]["passed"] and got[1]["passed"] and got[0]["sampled"] == got[0]["sample_size"] > 290
     assert got[2]["sampled"] == 5 and not got[2]["passed"] and got[2]["non_conforming"] == got[2]["sample_size"] - 5
+
+
+@pytest.mark.parametrize("name", ["byt07_feature_summary", "byt01_byte_histogram"])
+def test_shares_at_exact_halves_round_as_sql_does(spark, tmp_path, name):
+    """41 of 640 bytes are half a unit of the sixth digit; documents without bytes or id have no summary."""
+    import duckdb
+
+    import __spark_entry__ as entry
+    import oracle
+    rest = "bcdefghijklmnopqrstu"
+    texts = ["a" * k + "".join(rest[i % 20] for i in range(n - k)) for k, n in ((41, 640), (82, 1280), (123, 1920), (7, 160), (9, 160), (1, 128), (3, 128), (1, 3))]
+    texts += ["a" * k + "b" * (n - k) for k in range(1, 160) for n in (160, 800)] + ["", None, "x"]
+    rows = [(i, t, "s0") for i, t in enumerate(texts)] + ([(None, "no id", "s0")] if name.startswith("byt07") else [])
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    res = oracle.compare(spark, con, entry.queries()[name], entry.oracle_sql()[name], str(tmp_path))
+    assert res.startswith("ok"), res
